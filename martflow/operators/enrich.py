@@ -23,10 +23,8 @@ def lookup(df: DataFrame, dim: DataFrame, on: dict[str, str], take: dict[str, st
     side = dim.select(*[F.col(c).alias(n) for n, c in keys.items()],
                       *[c.alias(n) for n, c in values.items()])
     condition = [F.col(left) == F.col(name) for left, name in zip(on, keys)]
-    joined = df.join(side, condition, "left")
-    taken = dict(zip(take, values))
-    kept = [F.col(taken.pop(c)).alias(c) if c in taken else F.col(c) for c in df.columns]
-    return joined.select(*kept, *[F.col(v).alias(c) for c, v in taken.items()])
+    named = {c: F.col(v) for c, v in zip(take, values)}
+    return df.join(side, condition, "left").withColumns(named).drop(*keys, *values)
 
 
 def one_per_key(dim: DataFrame, keys: list[str]) -> DataFrame:

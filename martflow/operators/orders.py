@@ -17,12 +17,13 @@ def with_create_parts(orders: DataFrame) -> DataFrame:
             .withColumn("create_ts", F.unix_millis(t)))
 
 
-# order_wide columns that come from the dimensions, filled by operators.enrich.
-_DIM_COLUMNS = {
+# order_wide columns the join leaves null: operators.enrich fills the dimension
+# columns, and no input ever carries the other two.
+_UNSET = {
     "province_name": "string", "province_area_code": "string", "province_iso_code": "string",
     "province_3166_2_code": "string", "user_age": "int", "user_gender": "string", "spu_id": "bigint",
     "tm_id": "bigint", "category3_id": "bigint", "spu_name": "string", "tm_name": "string",
-    "category3_name": "string",
+    "category3_name": "string", "expire_time": "string", "split_feight_fee": "decimal(16,2)",
 }
 
 
@@ -49,10 +50,9 @@ def order_lines(order_info: DataFrame, order_detail: DataFrame,
     if watermark:
         heads, lines = heads.withWatermark("order_ts", watermark), lines.withWatermark("detail_ts", watermark)
     joined = interval_join(heads, lines, ("head_id", "order_id"), ("order_ts", "detail_ts"), before_s, after_s)
-    nulls = {**_DIM_COLUMNS, "expire_time": "string", "split_feight_fee": "decimal(16,2)"}
-    for name, kind in nulls.items():
-        joined = joined.withColumn(name, F.lit(None).cast(kind))
-    return joined.select(*schemas.column_names(schemas.ORDER_WIDE), "order_ts", "detail_ts")
+    return joined.selectExpr(
+        *[f"CAST(NULL AS {_UNSET[c]}) AS {c}" if c in _UNSET else c
+          for c in schemas.column_names(schemas.ORDER_WIDE)], "order_ts", "detail_ts")
 
 
 def payment_wide(payments: DataFrame, order_wide: DataFrame,

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from martflow import settings
 from martflow.functions.text import words
 from martflow.functions.times import from_millis, from_text, to_text
-from martflow.operators.parse import is_entry_page
 
 _SUM = "decimal(28,2)"
 
@@ -33,19 +32,18 @@ _VISITOR_METRICS = ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
 _VISITOR_KEYS = ["vc", "ch", "ar", "is_new"]
 
 
-def _visitor_rows(logs: DataFrame, **metrics: Column) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    return logs.select(from_millis("ts").alias("ts"), *[F.col(f"common.{k}").alias(k) for k in _VISITOR_KEYS],
-                       *[metrics.get(m, zero).cast("bigint").alias(m) for m in _VISITOR_METRICS])
+def _visitor_rows(logs: DataFrame, **metrics: str) -> DataFrame:
+    return logs.selectExpr(
+        "timestamp_millis(ts) AS ts", *[f"common.{k} AS {k}" for k in _VISITOR_KEYS],
+        *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _VISITOR_METRICS])
 
 
 def visitor_rows(pages: DataFrame, uniques: DataFrame, jumps: DataFrame) -> DataFrame:
     """One metric row per page, unique visitor and bounce."""
-    visits = F.when(is_entry_page(), 1).otherwise(0)
-    duration = F.coalesce("page.during_time", F.lit(0))
-    return (_visitor_rows(pages, pv_ct=F.lit(1), sv_ct=visits, dur_sum=duration)
-            .unionByName(_visitor_rows(uniques, uv_ct=F.lit(1)))
-            .unionByName(_visitor_rows(jumps, uj_ct=F.lit(1))))
+    return (_visitor_rows(pages, pv_ct="1", sv_ct="if(coalesce(page.last_page_id, '') = '', 1, 0)",
+                          dur_sum="coalesce(page.during_time, 0)")
+            .unionByName(_visitor_rows(uniques, uv_ct="1"))
+            .unionByName(_visitor_rows(jumps, uj_ct="1")))
 
 
 def visitor_stats(rows: DataFrame, window: str = settings.STATS_WINDOW, watermark: str | None = None) -> DataFrame:
@@ -62,55 +60,61 @@ _AMOUNTS = ["order_amount", "payment_amount", "refund_amount"]
 _ORDER_KINDS = {"order": "order_ct", "paid": "paid_order_ct", "refund": "refund_order_ct"}
 
 
-def _product_rows(df: DataFrame, ts: Column, sku: Column, kind: str | None = None,
-                  order_id: Column | None = None, **metrics: Column) -> DataFrame:
-    zero, money = F.lit(0).cast("bigint"), F.lit(0).cast("decimal(16,2)")
-    return df.select(
-        ts.alias("ts"), sku.cast("bigint").alias("sku_id"), F.lit(kind).cast("string").alias("order_kind"),
-        (order_id if order_id is not None else F.lit(None)).cast("bigint").alias("order_id"),
-        *[metrics.get(m, zero).cast("bigint").alias(m) for m in _COUNTS],
-        *[metrics.get(m, money).cast("decimal(16,2)").alias(m) for m in _AMOUNTS])
+def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None = None,
+                  **metrics: str) -> DataFrame:
+    """SQL expressions by metric; the others are zero.  ``kind`` says which
+    distinct-order count the row's ``order_id`` feeds."""
+    order = [f"'{kind}'", "order_id"] if kind else ["NULL", "NULL"]
+    return df.selectExpr(
+        f"{ts} AS ts", f"try_cast({sku} AS BIGINT) AS sku_id",
+        f"CAST({order[0]} AS STRING) AS order_kind", f"CAST({order[1]} AS BIGINT) AS order_id",
+        *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _COUNTS],
+        *[f"CAST({metrics.get(m, '0')} AS DECIMAL(16,2)) AS {m}" for m in _AMOUNTS])
+
+
+_LOG_TIME = "timestamp_millis(ts)"
+
+
+def _text_time(column: str) -> str:
+    return f"try_to_timestamp({column}, '{settings.TIMESTAMP_FORMAT}')"
 
 
 def click_rows(pages: DataFrame) -> DataFrame:
     clicks = pages.filter(F.col("page.page_id") == settings.PAGE_GOOD_DETAIL)
-    return _product_rows(clicks, from_millis("ts"), F.col("page.item").try_cast("bigint"),
-                         click_ct=F.lit(1))
+    return _product_rows(clicks, _LOG_TIME, "page.item", click_ct="1")
 
 
 def display_rows(pages: DataFrame) -> DataFrame:
     shown = (pages.select("ts", F.explode("displays").alias("d"))
              .filter(F.col("d.item_type") == settings.ITEM_SKU))
-    return _product_rows(shown, from_millis("ts"), F.col("d.item").try_cast("bigint"), display_ct=F.lit(1))
+    return _product_rows(shown, _LOG_TIME, "d.item", display_ct="1")
 
 
 def favor_rows(favors: DataFrame) -> DataFrame:
-    return _product_rows(favors, from_text("create_time"), F.col("sku_id"), favor_ct=F.lit(1))
+    return _product_rows(favors, _text_time("create_time"), favor_ct="1")
 
 
 def cart_rows(carts: DataFrame) -> DataFrame:
-    return _product_rows(carts, from_text("create_time"), F.col("sku_id"), cart_ct=F.lit(1))
+    return _product_rows(carts, _text_time("create_time"), cart_ct="1")
 
 
 def order_rows(order_wide: DataFrame) -> DataFrame:
-    return _product_rows(order_wide, from_text("create_time"), F.col("sku_id"), "order", F.col("order_id"),
-                         order_sku_num=F.col("sku_num"), order_amount=F.col("split_total_amount"))
+    return _product_rows(order_wide, _text_time("create_time"), kind="order",
+                         order_sku_num="sku_num", order_amount="split_total_amount")
 
 
 def payment_rows(payment_wide: DataFrame) -> DataFrame:
-    return _product_rows(payment_wide, from_text("callback_time"), F.col("sku_id"), "paid", F.col("order_id"),
-                         payment_amount=F.col("split_total_amount"))
+    return _product_rows(payment_wide, _text_time("callback_time"), kind="paid",
+                         payment_amount="split_total_amount")
 
 
 def refund_rows(refunds: DataFrame) -> DataFrame:
-    return _product_rows(refunds, from_text("create_time"), F.col("sku_id"), "refund", F.col("order_id"),
-                         refund_amount=F.col("refund_amount"))
+    return _product_rows(refunds, _text_time("create_time"), kind="refund", refund_amount="refund_amount")
 
 
 def comment_rows(comments: DataFrame) -> DataFrame:
-    good = F.when(F.col("appraise") == settings.APPRAISE_GOOD, 1).otherwise(0)
-    return _product_rows(comments, from_text("create_time"), F.col("sku_id"),
-                         comment_ct=F.lit(1), good_comment_ct=good)
+    return _product_rows(comments, _text_time("create_time"), comment_ct="1",
+                         good_comment_ct=f"if(appraise = '{settings.APPRAISE_GOOD}', 1, 0)")
 
 
 def product_rows(pages: DataFrame, favors: DataFrame, carts: DataFrame, order_wide: DataFrame,

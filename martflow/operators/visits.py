@@ -1,14 +1,15 @@
-"""New-visitor repair, unique visitors and bounces (batch twins).
+"""New-visitor repair, unique visitors and bounces.
 
 One device may own a large share of all rows, so none of these gathers a
-device's whole history: repair joins against a map-side-combined minimum,
-unique visitors are cut to one row per task and (device, day) before the
-shuffle, and bounces are found inside short overlapping time slices.
+device's history: repair joins against a map-side-combined minimum, unique
+visitors are cut to one row per task and (device, day) before the shuffle, and
+bounces are found by aggregating short time slots.  Bounces run on streams as
+they are; the streaming forms of the other two are in streaming.visits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from martflow import settings
 from martflow.functions.times import day_key, from_millis
@@ -41,47 +42,30 @@ def unique_visitors(pages: DataFrame) -> DataFrame:
             .filter(F.col("nth") == 1).drop("nth"))
 
 
-def slice_start(ts_ms: str | Column, slice_s: int) -> Column:
-    ts_ms = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms
-    return ts_ms - F.pmod(ts_ms, F.lit(slice_s * 1000))
-
-
-def with_slices(pages: DataFrame, timeout_s: int, slice_s: int) -> DataFrame:
-    """Rows assigned to time slices ``slice_ms``, overlapping by the timeout.
-
-    A row in the first ``timeout_s`` of a slice is also sent to the slice before
-    it as an echo (``is_echo``), which carries its time only.  Every row's next
-    row within the timeout is then in its own slice.
-    """
-    if slice_s < timeout_s:
-        raise ValueError("a slice must be at least one timeout long")
-    own = slice_start("ts", slice_s)
-    early = F.col("ts") - own < timeout_s * 1000
-    homes = F.when(early, F.array(own, own - slice_s * 1000)).otherwise(F.array(own))
-    payload = [c for c in pages.columns if c not in ("common", "ts")]
-    exploded = pages.select("*", F.posexplode(homes).alias("echo_no", "slice_ms"))
-    echo = F.col("echo_no") == 1
-    common = F.col("common")
-    return exploded.select(
-        F.when(~echo, common).alias("common"), F.col("common.mid").alias("mid"), "slice_ms", "ts",
-        *[F.when(~echo, F.col(c)).alias(c) for c in payload],
-        echo.alias("is_echo"))
-
-
-def bounces(pages: DataFrame, timeout_s: int = settings.BOUNCE_TIMEOUT_S, slice_s: int | None = None) -> DataFrame:
+def bounces(pages: DataFrame, timeout_s: int = settings.BOUNCE_TIMEOUT_S, watermark: str | None = None) -> DataFrame:
     """Entry pages that no other row of the device follows within the timeout.
 
     The next row counts whatever its page is: a named page completes the visit,
     an unnamed one breaks the pattern, and either way nothing is emitted.  A row
-    exactly ``timeout_s`` later is too late.  Slices are six timeouts long
-    unless given, so a sixth of the rows is duplicated, and a sort group is one
-    device's rows of one slice.
+    exactly ``timeout_s`` later is too late.
+
+    Time is cut into slots of one timeout.  Two rows of a device in one slot are
+    less than a timeout apart, so only the last row of a slot can be a bounce,
+    and only the first row of the slot after it can prevent that.  Sliding
+    windows of two slots hold both: a plain aggregate with map-side combine,
+    however many rows the device has, and the same on a stream (``watermark``).
     """
-    columns = pages.columns
-    sliced = with_slices(pages, timeout_s, slice_s or 6 * timeout_s)
-    w = Window.partitionBy("mid", "slice_ms").orderBy("ts")
-    following = F.lead("ts").over(w)
-    return (sliced.withColumn("next_ts", following)
-            .filter(~F.col("is_echo") & is_entry_page()
-                    & (F.col("next_ts").isNull() | (F.col("next_ts") - F.col("ts") >= timeout_s * 1000)))
-            .select(*columns))
+    time = from_millis("ts")
+    rows = pages.select(F.col("common.mid").alias("mid"), time.alias("t"), F.struct(*pages.columns).alias("row"))
+    if watermark:
+        rows = rows.withWatermark("t", watermark)
+    slots = F.window("t", f"{2 * timeout_s} seconds", f"{timeout_s} seconds")
+    rows = rows.select("mid", "row", slots.alias("slots"))
+    second_slot = F.unix_millis("slots.start") + timeout_s * 1000
+    ts, own = F.col("row.ts"), F.col("row.ts") < second_slot
+    order = F.when(own, F.struct("row.ts", "row.page.page_id"))
+    last = (rows.groupBy("mid", "slots")
+            .agg(F.max_by(F.col("row"), order).alias("row"), F.min(F.when(~own, ts)).alias("next_ts")))
+    return (last.filter(F.col("row").isNotNull() & is_entry_page("row.page.last_page_id")
+                        & (F.col("next_ts").isNull() | (F.col("next_ts") - F.col("row.ts") >= timeout_s * 1000)))
+            .select("row.*"))

@@ -291,8 +291,7 @@ SELECT {_PRODUCT_COLUMNS}, sku_name, skus.spu_id, spu_name, skus.category3_id, c
     "keyword_stats": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
     "word_counts": _WORD_COUNTS,
     "udtf_tokens": _WORD_COUNTS,
-    "stats_table": f"""WITH {_PROVINCE_STATS} SELECT * REPLACE (CAST(order_amount AS DOUBLE) AS order_amount)
-FROM province_stats WHERE stt LIKE '1998-01-15%'""",
+    "stats_table": f"WITH {_VISITOR_STATS} SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-15%'",
     "dash_spu": _top("spu_id", "spu_name", ", CAST(sum(order_ct) AS BIGINT) AS order_ct"),
     "dash_category3": _top("category3_id", "category3_name"),
     "dash_tm": _top("tm_id", "tm_name"),
@@ -316,3 +315,54 @@ FROM province_stats WHERE stt LIKE '1998-01-15%' GROUP BY province_id, province_
     "dash_keyword": f"""WITH {_KEYWORD_STATS} SELECT keyword AS name, CAST(sum(ct * 10) AS BIGINT) AS value FROM keyword_stats
 WHERE stt LIKE '2024-01-01%' GROUP BY keyword ORDER BY value DESC, keyword LIMIT 10""",
 }
+
+# --- streams: the same rows, less the windows the watermark has not passed -----
+
+
+def _closed(width: str, ts: str, last: str, delay: str = "3 seconds") -> str:
+    """Windows of ``width`` that end at or before the watermark."""
+    return f"time_bucket(INTERVAL '{width}', {ts}) + INTERVAL '{width}' <= {last} - INTERVAL '{delay}'"
+
+
+_PAGE_TIME = "make_timestamp(ts * 1000)"
+_TIMEOUT = "INTERVAL '4 hours'"
+
+ORACLE.update({
+    "stream_is_new_repair": ORACLE["is_new_repair"],
+    "stream_unique_visitor": ORACLE["unique_visitor"],
+    "stream_user_jump": f"""WITH {_LOGS} SELECT mid, ts, page_id FROM {_uj('pages')}
+WHERE time_bucket({_TIMEOUT}, {_PAGE_TIME}) + {_TIMEOUT} + {_TIMEOUT} <= (SELECT max({_PAGE_TIME}) FROM pages)""",
+    "stream_order_join": f"""WITH {_LINES} SELECT detail_id, order_id, sku_id, sku_num, user_id, create_time,
+  strftime(detail_ts, {_T}) AS detail_time FROM lines""",
+    "stream_visitor_stats": f"""WITH {_LOGS},
+jumps AS (SELECT * FROM {_uj('pages')}
+  WHERE time_bucket({_TIMEOUT}, {_PAGE_TIME}) + {_TIMEOUT} + {_TIMEOUT} <= (SELECT max({_PAGE_TIME}) FROM pages)),
+uniques AS (SELECT * FROM {_uv('pages')}),
+rows_ AS (
+  SELECT vc, ch, ar, is_new, ts, 0 AS uv, 1 AS pv, CASE WHEN coalesce(last_page_id, '') = '' THEN 1 ELSE 0 END AS sv, 0 AS uj,
+    coalesce(during_time, 0) AS dur FROM pages
+  UNION ALL SELECT vc, ch, ar, is_new, ts, 1, 0, 0, 0, 0 FROM uniques
+  UNION ALL SELECT vc, ch, ar, is_new, ts, 0, 0, 0, 1, 0 FROM jumps)
+SELECT {_bounds('1 hour', _PAGE_TIME)}, vc, ch, ar, is_new, CAST(sum(uv) AS BIGINT) AS uv_ct, CAST(sum(pv) AS BIGINT) AS pv_ct,
+  CAST(sum(sv) AS BIGINT) AS sv_ct, CAST(sum(uj) AS BIGINT) AS uj_ct, CAST(sum(dur) AS BIGINT) AS dur_sum
+FROM rows_ WHERE {_closed('1 hour', _PAGE_TIME, f"(SELECT max({_PAGE_TIME}) FROM rows_)")}
+GROUP BY ALL""",
+    "stream_product_stats": f"""WITH {_LOGS}, {_DISPLAYS},
+metrics AS (
+  SELECT {_PAGE_TIME} AS ts, CAST(item AS BIGINT) AS sku_id, 0 AS display, 1 AS click, 0 AS favor, 0 AS cart FROM pages
+  WHERE page_id = 'good_detail'
+  UNION ALL SELECT make_timestamp(CAST(ts AS BIGINT) * 1000), CAST(item AS BIGINT), 1, 0, 0, 0 FROM displays WHERE item_type = 'sku_id'
+  UNION ALL SELECT {_SECONDS}, k, 0, 0, 1, 0 FROM k WHERE event_type = 'click'
+  UNION ALL SELECT {_SECONDS}, k, 0, 0, 0, 1 FROM k WHERE event_type = 'purchase')
+SELECT {_bounds('1 hour')}, sku_id, CAST(sum(display) AS BIGINT) AS display_ct, CAST(sum(click) AS BIGINT) AS click_ct,
+  CAST(sum(favor) AS BIGINT) AS favor_ct, CAST(sum(cart) AS BIGINT) AS cart_ct
+FROM metrics WHERE {_closed('1 hour', 'ts', '(SELECT max(ts) FROM metrics)')} GROUP BY stt, edt, sku_id""",
+    "stream_province_stats": f"""WITH {_LINES}
+SELECT {_bounds('1 day', 'order_ts')}, province_id, CAST(sum(split_total_amount) AS DOUBLE) AS order_amount,
+  count(DISTINCT order_id) AS order_count
+FROM lines WHERE {_closed('1 day', 'order_ts', '(SELECT max(order_ts) FROM lines)')} GROUP BY stt, edt, province_id""",
+    "stream_keyword_stats": f"""WITH keyword_rows AS (SELECT {_WORDS.format('text')} AS keyword,
+  make_timestamp((1704067200000 + doc_id * 60000) * 1000) AS ts FROM documents)
+SELECT keyword, count(*) AS ct, 'SEARCH' AS source, {_bounds('1 hour')} FROM keyword_rows
+WHERE keyword <> '' AND {_closed('1 hour', 'ts', '(SELECT max(ts) FROM keyword_rows)')} GROUP BY keyword, stt, edt""",
+})

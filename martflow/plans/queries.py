@@ -57,8 +57,8 @@ def _as_of() -> Column:
 
 def _doubles(df: DataFrame) -> DataFrame:
     """Decimals as doubles, which both engines print alike."""
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal"
-                       else F.col(f.name) for f in df.schema])
+    return df.selectExpr(*[f"CAST({f.name} AS DOUBLE) AS {f.name}" if f.dataType.typeName() == "decimal"
+                           else f.name for f in df.schema])
 
 
 # --- logs ----------------------------------------------------------------------
@@ -316,10 +316,10 @@ def udtf_tokens(spark, sf):
 
 
 def stats_table(spark, sf):
-    """Write province statistics in the table's shape, read one day back."""
-    path = fresh_dir(spark, "province-stats")
-    stats_sink.append_batch(_province_stats(spark, sf), schemas.PROVINCE_STATS, path)
-    return _doubles(tables.stats_table(spark, path, "1998-01-15").drop("ts", "dt"))
+    """Write visitor statistics in the table's shape, read one day back."""
+    path = fresh_dir(spark, "visitor-stats")
+    stats_sink.append_batch(visitor_stats(spark, sf), schemas.VISITOR_STATS, path)
+    return tables.stats_table(spark, path, "2024-01-15").drop("ts", "dt")
 
 
 # --- dashboard -------------------------------------------------------------------

@@ -9,8 +9,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from martflow import settings
+from martflow import schemas, settings
 from martflow.operators import enrich, orders, routing, stats, visits
 from martflow.session import materialize
 
@@ -62,14 +63,10 @@ def product_stats(pages: DataFrame, favors: DataFrame, carts: DataFrame, order_i
 
 
 def _paid_lines(payments: DataFrame, wide: DataFrame, spans: Spans) -> DataFrame:
-    from martflow import schemas
-    from pyspark.sql.types import StructType
-
     # payment_wide expects the full order_wide; columns nobody reads are null
     # here and pruned by Catalyst.
-    full = StructType.fromDDL(schemas.ORDER_WIDE)
-    padded = wide.select(*[F.col(f.name) if f.name in wide.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                           for f in full])
+    padded = wide.selectExpr(*[f.name if f.name in wide.columns else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+                               for f in StructType.fromDDL(schemas.ORDER_WIDE)])
     return payment_wide(payments, padded, spans)
 
 

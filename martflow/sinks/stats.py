@@ -18,8 +18,12 @@ def sink_rows(stats: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def append_batch(stats: DataFrame, columns: list[str], path: str) -> None:
-    """Append to a parquet table with one folder per day."""
-    sink_rows(stats, columns).write.mode("append").partitionBy("dt").parquet(path)
+    """Append to a parquet table with one folder per day.
+
+    The rebalance hint gathers a day's rows into few files, and lets AQE split
+    a day that is too large for one task.
+    """
+    sink_rows(stats, columns).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def start_append(stats: DataFrame, columns: list[str], path: str, checkpoint: str,
