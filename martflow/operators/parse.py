@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 
 def parse(messages: DataFrame, schema: str, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -11,6 +12,17 @@ def parse(messages: DataFrame, schema: str, value: str = "value", keep: tuple[st
     return rows.filter(_readable()).select(*keep, "v.*").drop("_corrupt_record")
 
 
+def parse_record(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Parse flat JSON records and coerce each field to its column's type.
+
+    Change feeds carry numbers as text or as numbers; both are taken, and what
+    does not fit the type is null.
+    """
+    fields = StructType.fromDDL(schema)
+    rows = messages.select(F.from_json(value, "map<string,string>").alias("v")).filter(F.size("v") > 0)
+    return rows.selectExpr(*[f"try_cast(v['{f.name}'] AS {f.dataType.simpleString()}) AS {f.name}" for f in fields])
+
+
 def malformed(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """The quarantine: messages that ``parse`` leaves out, untouched."""
     rows = messages.select("*", F.from_json(value, _marked(schema), _OPTIONS).alias("v"))

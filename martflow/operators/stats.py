@@ -164,10 +164,17 @@ def province_stats(order_wide: DataFrame, window: str = settings.STATS_WINDOW,
 # --- keywords --------------------------------------------------------------------
 
 
-def searches(pages: DataFrame) -> DataFrame:
-    """Search texts with their time: list pages that carry an item."""
-    return (pages.filter((F.col("page.page_id") == settings.PAGE_GOOD_LIST) & F.col("page.item").isNotNull())
-            .select(F.col("page.item").alias("full_word"), from_millis("ts").alias("ts")))
+def searches(pages: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Search texts with their time: list pages that carry an item.
+
+    On a stream every page moves the watermark, not only searches.  Spark pushes
+    a filter below the watermark unless it uses the event time, hence its form.
+    """
+    is_search = (F.col("page.page_id") == settings.PAGE_GOOD_LIST) & F.col("page.item").isNotNull()
+    if watermark is None:
+        return pages.filter(is_search).select(F.col("page.item").alias("full_word"), from_millis("ts").alias("ts"))
+    timed = pages.select("page", from_millis("ts").alias("ts")).withWatermark("ts", watermark)
+    return timed.filter(F.when(is_search, F.col("ts")).isNotNull()).select(F.col("page.item").alias("full_word"), "ts")
 
 
 def keywords(search_rows: DataFrame, splitter=words) -> DataFrame:
@@ -175,8 +182,7 @@ def keywords(search_rows: DataFrame, splitter=words) -> DataFrame:
     return search_rows.select(F.explode(splitter(F.col("full_word"))).alias("keyword"), "ts")
 
 
-def keyword_stats(keyword_rows: DataFrame, window: str = settings.STATS_WINDOW, watermark: str | None = None,
+def keyword_stats(keyword_rows: DataFrame, window: str = settings.STATS_WINDOW,
                   source: str = settings.KEYWORD_SEARCH) -> DataFrame:
-    rows, w = _windowed(keyword_rows, window, watermark)
-    counts = rows.groupBy(w, "keyword").agg(F.count("*").alias("ct"))
+    counts = keyword_rows.groupBy(F.window("ts", window).alias("w"), "keyword").agg(F.count("*").alias("ct"))
     return counts.select("keyword", "ct", F.lit(source).alias("source"), *_bounds())

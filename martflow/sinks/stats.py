@@ -26,6 +26,12 @@ def append_batch(stats: DataFrame, columns: list[str], path: str) -> None:
     sink_rows(stats, columns).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
+def write_batch(stats: DataFrame, columns: list[str], path: str, batch_id: int) -> None:
+    """One micro-batch of a table, in ``batch_id`` folders that a replay replaces."""
+    (sink_rows(stats, columns).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(path))
+
+
 def start_append(stats: DataFrame, columns: list[str], path: str, checkpoint: str,
                  **trigger) -> StreamingQuery:
     """Stream into a parquet table, exactly once (file sink with a checkpoint)."""

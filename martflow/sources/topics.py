@@ -19,25 +19,38 @@ TOPIC_ROW = "value STRING, topic STRING"
 
 @dataclass(frozen=True)
 class FileBus:
-    """Topics as folders: ``<root>/<job>/topic=<name>/``."""
+    """Topics as folders: ``<root>/<job>/topic=<name>/``.
+
+    ``batched_jobs`` write from ``foreachBatch`` into ``batch_id=<n>`` folders
+    below that, which a replayed micro-batch replaces.
+    """
 
     root: str
     max_files_per_trigger: int | None = None
+    batched_jobs: frozenset[str] = frozenset({"base_db", "order_wide"})
+
+    def _schema(self, job: str) -> str:
+        return TOPIC_ROW + (", batch_id BIGINT" if job in self.batched_jobs else "")
 
     def read(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
-        reader = spark.readStream.schema(TOPIC_ROW)
+        reader = spark.readStream.schema(self._schema(job))
         if self.max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
         return reader.format("text").load(f"{self.root}/{job}").filter(F.col("topic") == topic).select("value")
 
     def read_batch(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
-        rows = spark.read.schema(TOPIC_ROW).format("text").load(f"{self.root}/{job}")
+        rows = spark.read.schema(self._schema(job)).format("text").load(f"{self.root}/{job}")
         return rows.filter(F.col("topic") == topic).select("value")
 
     def writer(self, rows: DataFrame, job: str) -> DataStreamWriter:
         return (rows.select("value", "topic").writeStream.outputMode("append").format("text")
                 .partitionBy("topic").option("path", f"{self.root}/{job}"))
 
+    def write_batch(self, rows: DataFrame, job: str, batch_id: int) -> None:
+        (rows.select("value", "topic", F.lit(batch_id).alias("batch_id")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch_id")
+         .text(f"{self.root}/{job}"))
+
 
 @dataclass(frozen=True)
 class KafkaBus:
@@ -66,6 +79,9 @@ class KafkaBus:
         return (rows.select("value", "topic").writeStream.outputMode("append")
                 .format("kafka").option("kafka.bootstrap.servers", self.servers))
 
+    def write_batch(self, rows: DataFrame, job: str, batch_id: int) -> None:
+        rows.select("value", "topic").write.format("kafka").option("kafka.bootstrap.servers", self.servers).save()
+
 
 Bus = FileBus | KafkaBus
 

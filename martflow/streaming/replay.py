@@ -100,8 +100,8 @@ def stream_province_stats(spark, sf):
 
 def stream_keyword_stats(spark, sf):
     pages = routing.page_logs(td.search_logs(td.table_stream(spark, sf, "documents")))
-    words = stats.keywords(stats.searches(pages))
-    return drain(stats.keyword_stats(words, "1 hour", DELAY), "keyword-stats")
+    words = stats.keywords(stats.searches(pages, DELAY))
+    return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats")
 
 
 STREAMS = {f.__name__: f for f in (
