@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from martflow.settings import DAY_FORMAT, TIMESTAMP_FORMAT
 
@@ -12,6 +13,11 @@ def from_text(c: str | Column) -> Column:
     return F.try_to_timestamp(F.col(c) if isinstance(c, str) else c, F.lit(TIMESTAMP_FORMAT))
 
 
+def time_column(df: DataFrame, name: str) -> Column:
+    """A time column that holds timestamps (tables) or text (topics)."""
+    return from_text(name) if isinstance(df.schema[name].dataType, StringType) else F.col(name).cast("timestamp")
+
+
 def to_text(c: str | Column) -> Column:
     return F.date_format(c, TIMESTAMP_FORMAT)
 

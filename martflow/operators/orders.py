@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from martflow import schemas, settings
-from martflow.functions.times import from_text
+from martflow.functions.times import time_column
 from martflow.operators.intervals import interval_join
 
 
 def with_create_parts(orders: DataFrame) -> DataFrame:
     """``create_date``, ``create_hour`` and epoch-millisecond ``create_ts``."""
-    t = from_text("create_time")
+    t = time_column(orders, "create_time")
     return (orders.withColumn("create_date", F.to_date(t).cast("string"))
             .withColumn("create_hour", F.date_format(t, "HH"))
             .withColumn("create_ts", F.unix_millis(t)))
@@ -39,14 +39,14 @@ def order_lines(order_info: DataFrame, order_detail: DataFrame,
     head_columns = ["province_id", "order_status", "user_id", "total_amount", "activity_reduce_amount",
                     "coupon_reduce_amount", "original_total_amount", "feight_fee", "create_time",
                     "operate_time"]
-    t = from_text("create_time")
+    t = time_column(order_info, "create_time")
     heads = order_info.select(
         F.col("id").alias("head_id"), *head_columns, F.to_date(t).cast("string").alias("create_date"),
         F.date_format(t, "HH").alias("create_hour"), t.alias("order_ts"))
     lines = order_detail.select(
         F.col("id").alias("detail_id"), "order_id", "sku_id", "order_price", "sku_num", "sku_name",
         "split_activity_amount", "split_coupon_amount", "split_total_amount",
-        from_text("create_time").alias("detail_ts"))
+        time_column(order_detail, "create_time").alias("detail_ts"))
     if watermark:
         heads, lines = heads.withWatermark("order_ts", watermark), lines.withWatermark("detail_ts", watermark)
     joined = interval_join(heads, lines, ("head_id", "order_id"), ("order_ts", "detail_ts"), before_s, after_s)
@@ -67,8 +67,8 @@ def payment_wide(payments: DataFrame, order_wide: DataFrame,
         F.col("id").alias("payment_id"), F.col("order_id").alias("pay_order_id"),
         F.col("user_id").alias("pay_user_id"), F.col("total_amount").alias("pay_total_amount"),
         "subject", "payment_type", F.col("create_time").alias("payment_create_time"), "callback_time",
-        from_text("callback_time").alias("callback_ts"))
-    wide = order_wide.withColumn("order_ts", from_text("create_time"))
+        time_column(payments, "callback_time").alias("callback_ts"))
+    wide = order_wide.withColumn("order_ts", time_column(order_wide, "create_time"))
     if watermark:
         pay, wide = pay.withWatermark("callback_ts", watermark), wide.withWatermark("order_ts", watermark)
     joined = interval_join(pay, wide, ("pay_order_id", "order_id"), ("callback_ts", "order_ts"), before_s, after_s)

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 
+def once(column: Column) -> Column:
+    """Evaluate a costly column once per row.
+
+    Without the one-element explode Catalyst copies the expression into each use
+    of its result, and JSON text would be parsed for every field.
+    """
+    return F.explode(F.array(column))
+
+
 def parse(messages: DataFrame, schema: str, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse JSON text; text that is not a JSON object is left out (see ``malformed``)."""
-    rows = messages.select(*keep, F.from_json(value, _marked(schema), _OPTIONS).alias("v"))
+    rows = messages.select(*keep, once(F.from_json(value, _marked(schema), _OPTIONS)).alias("v"))
     return rows.filter(_readable()).select(*keep, "v.*").drop("_corrupt_record")
 
 
@@ -19,13 +28,13 @@ def parse_record(messages: DataFrame, schema: str, value: str = "value") -> Data
     does not fit the type is null.
     """
     fields = StructType.fromDDL(schema)
-    rows = messages.select(F.from_json(value, "map<string,string>").alias("v")).filter(F.size("v") > 0)
+    rows = messages.select(once(F.from_json(value, "map<string,string>")).alias("v")).filter(F.size("v") > 0)
     return rows.selectExpr(*[f"try_cast(v['{f.name}'] AS {f.dataType.simpleString()}) AS {f.name}" for f in fields])
 
 
 def malformed(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """The quarantine: messages that ``parse`` leaves out, untouched."""
-    rows = messages.select("*", F.from_json(value, _marked(schema), _OPTIONS).alias("v"))
+    rows = messages.select("*", once(F.from_json(value, _marked(schema), _OPTIONS)).alias("v"))
     return rows.filter(~_readable()).drop("v")
 
 

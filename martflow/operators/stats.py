@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from martflow import settings
 from martflow.functions.text import words
-from martflow.functions.times import from_millis, from_text, to_text
+from martflow.functions.times import from_millis, time_column, to_text
 
 _SUM = "decimal(28,2)"
 
@@ -62,11 +62,13 @@ _ORDER_KINDS = {"order": "order_ct", "paid": "paid_order_ct", "refund": "refund_
 
 def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None = None,
                   **metrics: str) -> DataFrame:
-    """SQL expressions by metric; the others are zero.  ``kind`` says which
-    distinct-order count the row's ``order_id`` feeds."""
+    """SQL expressions by metric; the others are zero.  ``ts`` is a time column
+    or an expression; ``kind`` says which distinct-order count the row's
+    ``order_id`` feeds."""
     order = [f"'{kind}'", "order_id"] if kind else ["NULL", "NULL"]
-    return df.selectExpr(
-        f"{ts} AS ts", f"try_cast({sku} AS BIGINT) AS sku_id",
+    time = F.expr(ts) if "(" in ts else time_column(df, ts)
+    return df.withColumn("row_time", time).selectExpr(
+        "row_time AS ts", f"try_cast({sku} AS BIGINT) AS sku_id",
         f"CAST({order[0]} AS STRING) AS order_kind", f"CAST({order[1]} AS BIGINT) AS order_id",
         *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _COUNTS],
         *[f"CAST({metrics.get(m, '0')} AS DECIMAL(16,2)) AS {m}" for m in _AMOUNTS])
@@ -75,10 +77,6 @@ def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None
 _LOG_TIME = "timestamp_millis(ts)"
 
 
-def _text_time(column: str) -> str:
-    return f"try_to_timestamp({column}, '{settings.TIMESTAMP_FORMAT}')"
-
-
 def click_rows(pages: DataFrame) -> DataFrame:
     clicks = pages.filter(F.col("page.page_id") == settings.PAGE_GOOD_DETAIL)
     return _product_rows(clicks, _LOG_TIME, "page.item", click_ct="1")
@@ -91,29 +89,29 @@ def display_rows(pages: DataFrame) -> DataFrame:
 
 
 def favor_rows(favors: DataFrame) -> DataFrame:
-    return _product_rows(favors, _text_time("create_time"), favor_ct="1")
+    return _product_rows(favors, "create_time", favor_ct="1")
 
 
 def cart_rows(carts: DataFrame) -> DataFrame:
-    return _product_rows(carts, _text_time("create_time"), cart_ct="1")
+    return _product_rows(carts, "create_time", cart_ct="1")
 
 
 def order_rows(order_wide: DataFrame) -> DataFrame:
-    return _product_rows(order_wide, _text_time("create_time"), kind="order",
+    return _product_rows(order_wide, "create_time", kind="order",
                          order_sku_num="sku_num", order_amount="split_total_amount")
 
 
 def payment_rows(payment_wide: DataFrame) -> DataFrame:
-    return _product_rows(payment_wide, _text_time("callback_time"), kind="paid",
+    return _product_rows(payment_wide, "callback_time", kind="paid",
                          payment_amount="split_total_amount")
 
 
 def refund_rows(refunds: DataFrame) -> DataFrame:
-    return _product_rows(refunds, _text_time("create_time"), kind="refund", refund_amount="refund_amount")
+    return _product_rows(refunds, "create_time", kind="refund", refund_amount="refund_amount")
 
 
 def comment_rows(comments: DataFrame) -> DataFrame:
-    return _product_rows(comments, _text_time("create_time"), comment_ct="1",
+    return _product_rows(comments, "create_time", comment_ct="1",
                          good_comment_ct=f"if(appraise = '{settings.APPRAISE_GOOD}', 1, 0)")
 
 
@@ -151,7 +149,7 @@ _PROVINCE_KEYS = {"province_id": "province_id", "province_name": "province_name"
 
 def province_stats(order_wide: DataFrame, window: str = settings.STATS_WINDOW,
                    watermark: str | None = None) -> DataFrame:
-    rows = order_wide.select(from_text("create_time").alias("ts"), "order_id", "split_total_amount",
+    rows = order_wide.select(time_column(order_wide, "create_time").alias("ts"), "order_id", "split_total_amount",
                              *[F.col(c).alias(n) for c, n in _PROVINCE_KEYS.items()])
     rows, w = _windowed(rows, window, watermark)
     keys = list(_PROVINCE_KEYS.values())

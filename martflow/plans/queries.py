@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martflow import schemas, settings
 from martflow.functions.text import register_word_table_function, words
-from martflow.functions.times import age_in_years, day_key, from_millis, from_text, to_text
+from martflow.functions.times import age_in_years, day_key, from_millis
 from martflow.operators import enrich, orders, parse, routing, stats, visits
 from martflow.plans import dashboard, warehouse
 from martflow.session import fresh_dir
@@ -55,10 +55,12 @@ def _as_of() -> Column:
     return F.lit(AS_OF).cast("date")
 
 
-def _doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, which both engines print alike."""
-    return df.selectExpr(*[f"CAST({f.name} AS DOUBLE) AS {f.name}" if f.dataType.typeName() == "decimal"
-                           else f.name for f in df.schema])
+_PLAIN = {"decimal": "CAST({0} AS DOUBLE) AS {0}", "timestamp": "date_format({0}, 'yyyy-MM-dd HH:mm:ss') AS {0}"}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and times as text, which both engines print alike."""
+    return df.selectExpr(*[_PLAIN.get(f.dataType.typeName(), "{0}").format(f.name) for f in df.schema])
 
 
 # --- logs ----------------------------------------------------------------------
@@ -211,7 +213,7 @@ def _order_lines(spark, sf) -> DataFrame:
 
 
 def order_wide_join(spark, sf):
-    return _doubles(_order_lines(spark, sf).select(*_LINE, to_text("detail_ts").alias("detail_time")))
+    return _plain(_order_lines(spark, sf).select(*_LINE, F.col("detail_ts").alias("detail_time")))
 
 
 _USER = ["user_gender", "user_age"]
@@ -221,17 +223,17 @@ _PRODUCT = ["sku_name", "spu_id", "spu_name", "category3_id", "category3_name",
 
 def order_wide_user(spark, sf):
     users = td.dims(spark, sf)["user"]
-    return _doubles(enrich.add_user(_order_lines(spark, sf), users, _as_of()).select(*_LINE, *_USER))
+    return _plain(enrich.add_user(_order_lines(spark, sf), users, _as_of()).select(*_LINE, *_USER))
 
 
 def order_wide_province(spark, sf):
     provinces = td.dims(spark, sf)["province"]
-    return _doubles(enrich.add_province(_order_lines(spark, sf), provinces).select(*_LINE, *_PROVINCE))
+    return _plain(enrich.add_province(_order_lines(spark, sf), provinces).select(*_LINE, *_PROVINCE))
 
 
 def order_wide_full(spark, sf):
     wide = enrich.add_all(_order_lines(spark, sf), td.dims(spark, sf), _as_of())
-    return _doubles(wide.select(*_LINE, *_USER, *_PROVINCE, *_PRODUCT))
+    return _plain(wide.select(*_LINE, *_USER, *_PROVINCE, *_PRODUCT))
 
 
 def user_ages(spark, sf):
@@ -252,7 +254,7 @@ def dim_multi_key(spark, sf):
 def payment_wide(spark, sf):
     payments = td.payment_info(td.table(spark, sf, "orders"))
     wide = warehouse.payment_wide(payments, _order_lines(spark, sf), DAILY)
-    return _doubles(wide.select(
+    return _plain(wide.select(
         "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time",
         "order_id", "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"))
 
@@ -284,11 +286,11 @@ def _product_stats(spark, sf, spans=DAILY) -> DataFrame:
 
 
 def product_stats(spark, sf):
-    return _doubles(_product_stats(spark, sf))
+    return _plain(_product_stats(spark, sf))
 
 
 def product_stats_dims(spark, sf):
-    return _doubles(enrich.add_product(_product_stats(spark, sf), td.dims(spark, sf), price=True))
+    return _plain(enrich.add_product(_product_stats(spark, sf), td.dims(spark, sf), price=True))
 
 
 def _province_stats(spark, sf) -> DataFrame:
@@ -296,7 +298,7 @@ def _province_stats(spark, sf) -> DataFrame:
 
 
 def province_stats(spark, sf):
-    return _doubles(_province_stats(spark, sf))
+    return _plain(_province_stats(spark, sf))
 
 
 def keyword_stats(spark, sf):
@@ -332,15 +334,15 @@ def _sales(spark, sf) -> DataFrame:
 
 
 def dash_spu(spark, sf):
-    return _doubles(dashboard.top_spu(_sales(spark, sf), SALES_DAY))
+    return _plain(dashboard.top_spu(_sales(spark, sf), SALES_DAY))
 
 
 def dash_category3(spark, sf):
-    return _doubles(dashboard.top_category3(_sales(spark, sf), SALES_DAY))
+    return _plain(dashboard.top_category3(_sales(spark, sf), SALES_DAY))
 
 
 def dash_tm(spark, sf):
-    return _doubles(dashboard.top_trademark(_sales(spark, sf), SALES_DAY))
+    return _plain(dashboard.top_trademark(_sales(spark, sf), SALES_DAY))
 
 
 def dash_tm_series(spark, sf):
@@ -350,11 +352,11 @@ def dash_tm_series(spark, sf):
 
 
 def dash_gmv(spark, sf):
-    return _doubles(dashboard.gmv(_product_stats(spark, sf), SALES_DAY))
+    return _plain(dashboard.gmv(_product_stats(spark, sf), SALES_DAY))
 
 
 def dash_gmv_empty_day(spark, sf):
-    return _doubles(dashboard.gmv(_product_stats(spark, sf), 20300101))
+    return _plain(dashboard.gmv(_product_stats(spark, sf), 20300101))
 
 
 def dash_hour(spark, sf):
@@ -362,12 +364,12 @@ def dash_hour(spark, sf):
 
 
 def dash_is_new(spark, sf):
-    return _doubles(dashboard.new_versus_returning(visitor_stats(spark, sf), VISIT_DAY))
+    return _plain(dashboard.new_versus_returning(visitor_stats(spark, sf), VISIT_DAY))
 
 
 def dash_map(spark, sf):
     report = dashboard.amount_by_province(_province_stats(spark, sf), SALES_DAY)
-    return _doubles(dashboard.name_value(report, "province_name", "order_amount"))
+    return _plain(dashboard.name_value(report, "province_name", "order_amount"))
 
 
 def dash_keyword(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from martflow import schemas
+from martflow.operators.parse import once
 
 # Fixed operation letters of the envelope; a create is reported as an insert.
 OPERATIONS = {"c": "insert", "r": "read", "u": "update", "d": "delete", "t": "truncate"}
@@ -18,7 +19,7 @@ def normalise_envelopes(messages: DataFrame, value: str = "value", keep: tuple[s
     latest change per key can be found.
     """
     e = F.from_json(value, schemas.DEBEZIUM)
-    rows = messages.select(*keep, e.alias("e"))
+    rows = messages.select(*keep, once(e).alias("e"))
     operation = F.col("e.op")
     for letter, name in OPERATIONS.items():
         operation = F.when(F.col("e.op") == letter, name).otherwise(operation)

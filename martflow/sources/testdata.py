@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from martflow.functions.times import to_text
-
 MONEY = "decimal(16,2)"
 
 
@@ -96,7 +94,7 @@ def order_info(orders: DataFrame) -> DataFrame:
         zero.alias("coupon_reduce_amount"), total.alias("original_total_amount"),
         F.lit(10).cast(MONEY).alias("feight_fee"),
         F.lit(None).cast("string").alias("expire_time"),
-        to_text("o_orderdate").alias("create_time"),
+        F.col("o_orderdate").cast("timestamp").alias("create_time"),
         F.lit(None).cast("string").alias("operate_time"),
     )
 
@@ -115,7 +113,7 @@ def order_detail(lineitem: DataFrame) -> DataFrame:
         F.col("l_extendedprice").cast(MONEY).alias("order_price"),
         F.col("l_quantity").cast("bigint").alias("sku_num"),
         F.lit(None).cast("string").alias("sku_name"),
-        to_text("l_shipdate").alias("create_time"),
+        F.col("l_shipdate").cast("timestamp").alias("create_time"),
         _line_amount().alias("split_total_amount"),
         zero.alias("split_activity_amount"), zero.alias("split_coupon_amount"),
     )
@@ -128,28 +126,28 @@ def payment_info(orders: DataFrame) -> DataFrame:
         F.col("o_custkey").alias("user_id"), F.col("o_totalprice").cast(MONEY).alias("total_amount"),
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("subject"),
         F.concat(F.lit("110"), (F.col("o_orderkey") % 3 + 1).cast("string")).alias("payment_type"),
-        to_text("o_orderdate").alias("create_time"),
-        to_text(F.col("o_orderdate") + minutes).alias("callback_time"),
+        F.col("o_orderdate").cast("timestamp").alias("create_time"),
+        (F.col("o_orderdate") + minutes).cast("timestamp").alias("callback_time"),
     )
 
 
 def refunds(lineitem: DataFrame) -> DataFrame:
     return lineitem.filter(F.col("l_returnflag") == "R").select(
         F.col("l_partkey").alias("sku_id"), F.col("l_orderkey").alias("order_id"),
-        _line_amount().alias("refund_amount"), to_text("l_shipdate").alias("create_time"))
+        _line_amount().alias("refund_amount"), F.col("l_shipdate").cast("timestamp").alias("create_time"))
 
 
 def comments(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_partkey").alias("sku_id"),
         F.when(F.col("l_linestatus") == "F", "1201").otherwise("1202").alias("appraise"),
-        to_text("l_shipdate").alias("create_time"))
+        F.col("l_shipdate").cast("timestamp").alias("create_time"))
 
 
 def sku_events(events: DataFrame, event_type: str) -> DataFrame:
     """Favourites come from clicks, cart additions from purchases."""
     return events.filter(F.col("event_type") == event_type).select(
-        _k().cast("bigint").alias("sku_id"), to_text("ts").alias("create_time"))
+        _k().cast("bigint").alias("sku_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("create_time"))
 
 
 def dim_user(customer: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from martflow.operators.parse import once
+
 TOPIC_ROW = "value STRING, topic STRING"
 
 
@@ -27,7 +29,7 @@ class FileBus:
 
     root: str
     max_files_per_trigger: int | None = None
-    batched_jobs: frozenset[str] = frozenset({"base_db", "order_wide"})
+    batched_jobs: frozenset[str] = frozenset({"base_db", "unique_visitor", "order_wide"})
 
     def _schema(self, job: str) -> str:
         return TOPIC_ROW + (", batch_id BIGINT" if job in self.batched_jobs else "")
@@ -100,7 +102,7 @@ def topic_view(spark: SparkSession, bus: Bus, job: str, topic: str, view: str, s
     becomes the column ``rowtime``.
     """
     rows = (bus.read(spark, job, topic)
-            .select(F.from_json("value", schema).alias("v")).select("v.*")
+            .select(once(F.from_json("value", schema)).alias("v")).select("v.*")
             .withColumn("rowtime", F.expr(event_time)).withWatermark("rowtime", delay))
     rows.createOrReplaceTempView(view)
     return rows

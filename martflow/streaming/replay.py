@@ -20,14 +20,31 @@ from martflow.streaming import visits
 DELAY = "3 seconds"
 
 
-def drain(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all present input; return the sink's rows."""
-    spark = df.sparkSession
-    where = fresh_dir(spark, name)
+def run_append(df: DataFrame, name: str) -> str:
+    """Run a stream over all present input; return the file sink's folder."""
+    where = fresh_dir(df.sparkSession, name)
     query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
              .option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{where}/out")
+    return f"{where}/out"
+
+
+def run_update(df: DataFrame, name: str) -> str:
+    """The same for a stream in update mode: one folder per micro-batch."""
+    where = fresh_dir(df.sparkSession, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
+
+    (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return f"{where}/out"
+
+
+def drain(df: DataFrame, name: str, run=run_append) -> DataFrame:
+    """Run the stream and read its sink."""
+    where = run(df, name)
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(where)
 
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +61,8 @@ def stream_is_new_repair(spark, sf):
 
 def stream_unique_visitor(spark, sf):
     rows = visits.unique_visitors(_pages(spark, sf))
-    return drain(rows.select("common.mid", day_key(from_millis("ts")).alias("day"), "ts", "page.page_id"), "uv")
+    return drain(rows.select("common.mid", day_key(from_millis("ts")).alias("day"), "ts", "page.page_id"), "uv",
+                 run_update)
 
 
 def stream_user_jump(spark, sf):
@@ -56,21 +74,17 @@ def stream_order_join(spark, sf):
     lines = orders.order_lines(
         td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
         YEAR_S, YEAR_S, watermark=DELAY)
-    return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id", "create_time",
-                              to_text("detail_ts").alias("detail_time")), "order-join")
+    return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id",
+                              to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join")
 
 
 def stream_visitor_stats(spark, sf):
     """Union of the page stream with the topics of the two other visit jobs."""
     pages = _pages(spark, sf)
-    where = fresh_dir(spark, "visit-topics")
-    for name, rows in (("uv", visits.unique_visitors(pages)),
-                       ("jump", shared.bounces(pages, HOURLY.bounce_timeout_s, watermark="0 seconds"))):
-        (rows.writeStream.format("parquet").option("path", f"{where}/{name}")
-         .option("checkpointLocation", f"{where}/{name}-checkpoint").trigger(availableNow=True)
-         .start().awaitTermination())
-    topic = lambda name: spark.readStream.schema(pages.schema).parquet(f"{where}/{name}")
-    rows = stats.visitor_rows(pages, topic("uv"), topic("jump"))
+    uniques = run_update(visits.unique_visitors(pages), "uv-topic")
+    jumps = run_append(shared.bounces(pages, HOURLY.bounce_timeout_s, watermark="0 seconds"), "jump-topic")
+    topic = lambda where: spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(where)
+    rows = stats.visitor_rows(pages, topic(uniques), topic(jumps))
     return drain(stats.visitor_stats(rows, "1 hour", DELAY), "visitor-stats")
 
 
@@ -90,10 +104,8 @@ def stream_province_stats(spark, sf):
     lines = orders.order_lines(
         td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
         YEAR_S, YEAR_S, watermark=DELAY).drop("order_ts", "detail_ts")
-    where = fresh_dir(spark, "order-wide-topic")
-    (lines.writeStream.format("parquet").option("path", f"{where}/out")
-     .option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    topic = spark.readStream.schema(lines.schema).parquet(f"{where}/out")
+    where = run_append(lines, "order-wide-topic")
+    topic = spark.readStream.schema(lines.schema).parquet(where)
     out = drain(stats.province_stats(topic, "1 day", DELAY), "province-stats")
     return out.select("stt", "edt", "province_id", F.col("order_amount").cast("double").alias("order_amount"), "order_count")
 

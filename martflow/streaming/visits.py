@@ -1,8 +1,4 @@
-"""New-visitor repair and unique visitors with keyed state.
-
-Rows travel through Python as (keys, time, JSON text) only and are read back
-with the schema they had; the state functions work on whole Arrow batches.
-"""
+"""New-visitor repair and unique visitors with keyed state."""
 
 from __future__ import annotations
 
@@ -21,7 +17,7 @@ from martflow.operators.parse import is_entry_page
 from martflow.session import use_rocksdb
 
 
-# Executors get the two processors with the query and need no copy of this package.
+# Executors get the processor with the query and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -50,43 +46,6 @@ class FirstDay(StatefulProcessor):
         pass
 
 
-class FirstVisit(StatefulProcessor):
-    """Lets one row per key through: the earliest of the first micro-batch.
-
-    An event-time timer drops the state ``ttl_ms`` after that row.
-    """
-
-    def __init__(self, ttl_ms: int):
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._seen = handle.getValueState("seen", "ts bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self._seen.exists():
-            for _ in rows:
-                pass
-            return
-        best = None
-        for pdf in rows:
-            first = pdf.sort_values(["ts", "page_id"], na_position="first").iloc[:1]
-            if best is None or int(first["ts"].iloc[0]) < int(best["ts"].iloc[0]):
-                best = first
-        if best is not None:
-            ts = int(best["ts"].iloc[0])
-            self._seen.update((ts,))
-            self._handle.registerTimer(ts + self._ttl_ms)
-            yield pd.DataFrame({"value": best["value"]})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self._seen.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
 def _as_rows(df: DataFrame, like: DataFrame, *keep: str) -> DataFrame:
     return df.select(F.from_json("value", like.schema.simpleString()).alias("row"), *keep)
 
@@ -94,7 +53,8 @@ def _as_rows(df: DataFrame, like: DataFrame, *keep: str) -> DataFrame:
 def repair_is_new(logs: DataFrame) -> DataFrame:
     """Streaming twin of ``operators.visits.repair_is_new``; the state never expires.
 
-    Only rows that claim a new visitor pass through the state.
+    Only rows that claim a new visitor pass through the state, as (device, day,
+    JSON text); they are read back with the schema they had.
     """
     use_rocksdb(logs.sparkSession)
     claims = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
@@ -109,19 +69,24 @@ def repair_is_new(logs: DataFrame) -> DataFrame:
     return logs.filter(~claims).unionByName(fixed)
 
 
-def unique_visitors(pages: DataFrame, ttl_s: int = settings.VISITOR_STATE_TTL_S) -> DataFrame:
-    """Streaming twin of ``operators.visits.unique_visitors``.
+def unique_visitors(pages: DataFrame, ttl_s: int = settings.VISITOR_STATE_TTL_S,
+                    day_offset: str = "0 seconds") -> DataFrame:
+    """Streaming twin of ``operators.visits.unique_visitors``, for update mode.
+
+    Per (device, day) the state holds the earliest entry page and the trigger
+    times of the first and of the latest micro-batch that touched it.  Update
+    mode hands out the groups a micro-batch touched, and a group is new just
+    when the two times are equal.  The work is a JVM aggregate with map-side
+    combine, so a busy device does not slow one task down.
 
-    State is kept per (device, day), so a busy device's days are spread.  Rows
-    may be up to ``ttl_s`` late, and state lives ``ttl_s`` in event time, so no
-    row that is still accepted meets an expired state.
+    State lives until the watermark, ``ttl_s`` behind, has passed the day.
+    ``day_offset`` shifts the day's start from UTC midnight (``"16 hours"`` for
+    a zone eight hours ahead).
     """
-    use_rocksdb(pages.sparkSession)
-    time = from_millis("ts")
-    keyed = (pages.filter(is_entry_page()).select(
-        F.col("common.mid").alias("mid"), day_key(time).alias("day"), "ts", time.alias("event_time"),
-        F.col("page.page_id").alias("page_id"), F.to_json(F.struct(*pages.columns)).alias("value"))
-        .withWatermark("event_time", f"{ttl_s} seconds"))
-    first = keyed.groupBy("mid", "day").transformWithStateInPandas(
-        FirstVisit(ttl_s * 1000), "value string", "append", "EventTime")
-    return _as_rows(first, pages).select("row.*")
+    rows = (pages.filter(is_entry_page()).select(
+        F.col("common.mid").alias("mid"), from_millis("ts").alias("t"), F.struct(*pages.columns).alias("row"),
+        F.current_timestamp().alias("seen")).withWatermark("t", f"{ttl_s} seconds"))
+    groups = rows.groupBy("mid", F.window("t", "1 day", "1 day", day_offset).alias("day")).agg(
+        F.min_by("row", F.struct("row.ts", "row.page.page_id")).alias("row"),
+        F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
+    return groups.filter(F.col("first_seen") == F.col("last_seen")).select("row.*")
