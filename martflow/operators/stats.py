@@ -71,7 +71,8 @@ def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None
         "row_time AS ts", f"try_cast({sku} AS BIGINT) AS sku_id",
         f"CAST({order[0]} AS STRING) AS order_kind", f"CAST({order[1]} AS BIGINT) AS order_id",
         *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _COUNTS],
-        *[f"CAST({metrics.get(m, '0')} AS DECIMAL(16,2)) AS {m}" for m in _AMOUNTS])
+        # Whole hundredths: sums of longs stay on the fast path, sums of decimals do not.
+        *[f"CAST({metrics.get(m, '0')} * 100 AS BIGINT) AS {m}" for m in _AMOUNTS])
 
 
 _LOG_TIME = "timestamp_millis(ts)"
@@ -134,7 +135,7 @@ def product_stats(rows: DataFrame, window: str = settings.STATS_WINDOW, watermar
     has_order = F.col("order_id").isNotNull()
     totals = per_order.groupBy("w", "sku_id").agg(
         *[F.sum(m).alias(m) for m in _COUNTS],
-        *[F.sum(m).cast(_SUM).alias(m) for m in _AMOUNTS],
+        *[(F.sum(m).cast("decimal(26,0)") / F.lit(100).cast("decimal(3,0)")).cast(_SUM).alias(m) for m in _AMOUNTS],
         *[F.sum(F.when(has_order & (F.col("order_kind") == kind), 1).otherwise(0)).cast("bigint").alias(name)
           for kind, name in _ORDER_KINDS.items()])
     return totals.select(*_bounds(), "sku_id", *_COUNTS, *_AMOUNTS, *_ORDER_KINDS.values())
