@@ -20,16 +20,16 @@ def repair_is_new(logs: DataFrame) -> DataFrame:
     """A device is new only on the first day it calls itself new.
 
     Later rows with ``is_new='1'`` on another day become ``'0'``; rows that do
-    not claim to be new neither read nor set the first day.
+    not claim to be new neither read nor set the first day, and are not shuffled.
     """
     day = day_key(from_millis("ts"))
-    claims = F.col("common.is_new") == "1"
-    first = (logs.filter(claims).groupBy(F.col("common.mid").alias("first_mid"))
-             .agg(F.min(day).alias("first_day")))
-    joined = logs.join(first, F.col("common.mid") == F.col("first_mid"), "left")
-    stale = claims & (F.col("first_day") != day)
-    repaired = F.when(stale, F.lit("0")).otherwise(F.col("common.is_new"))
-    return joined.withColumn("common", F.col("common").withField("is_new", repaired)).drop("first_mid", "first_day")
+    claims = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
+    claiming = logs.filter(claims)
+    first = claiming.groupBy(F.col("common.mid").alias("first_mid")).agg(F.min(day).alias("first_day"))
+    joined = claiming.join(first, F.col("common.mid") == F.col("first_mid"))
+    flag = F.when(F.col("first_day") == day, "1").otherwise("0")
+    fixed = joined.withColumn("common", F.col("common").withField("is_new", flag)).drop("first_mid", "first_day")
+    return logs.filter(~claims).unionByName(fixed.select(*logs.columns))
 
 
 def unique_visitors(pages: DataFrame) -> DataFrame:

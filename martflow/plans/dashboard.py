@@ -14,7 +14,7 @@ from martflow import settings
 from martflow.functions.rates import bounce_rate, pages_per_visit, seconds_per_visit
 
 
-def _day(date: int | str | None) -> dt.date:
+def as_date(date: int | str | None) -> dt.date:
     if not date:
         return dt.date.today()
     text = str(date).replace("-", "")
@@ -23,7 +23,7 @@ def _day(date: int | str | None) -> dt.date:
 
 def on_day(stats: DataFrame, date: int | str | None) -> DataFrame:
     """Rows of windows that start on the day; prunes folders if there is ``dt``."""
-    day = F.lit(_day(date))
+    day = F.lit(as_date(date))
     if "dt" in stats.columns:
         return stats.filter(F.col("dt") == day)
     return stats.filter(F.to_date(F.col("stt").cast("timestamp")) == day)

@@ -187,12 +187,13 @@ def dim_upsert_latest(spark, sf):
 
 
 def dim_sink_snapshots(spark, sf):
-    """Create the table, upsert two feeds as two versions, read the current one."""
+    """Create the table, upsert two feeds as two versions, merge, read it."""
     rows = routing.as_columns(routing.well_formed(_changes(spark, sf)), _DIM, keep=("seq", "table"))
     dim = dim_sink.DimTable(fresh_dir(spark, "dim-user-info"), tuple(_DIM), ("id",))
     dim.create(spark)
     dim.upsert(rows.filter(F.col("table") == "user_info"), "seq", version=1)
     dim.upsert(rows.filter(F.col("table") == "sku_info"), "seq", version=2)
+    dim.compact(spark, 1)
     return dim.read(spark)
 
 
@@ -277,12 +278,12 @@ def visitor_stats(spark, sf):
     return warehouse.visitor_stats(_logs(spark, sf), HOURLY)
 
 
-def _product_stats(spark, sf, spans=DAILY) -> DataFrame:
+def _product_stats(spark, sf, day=None) -> DataFrame:
     events, lineitem, all_orders = (td.table(spark, sf, t) for t in ("events", "lineitem", "orders"))
     return warehouse.product_stats(
         _pages(spark, sf), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
         td.order_info(all_orders), td.order_detail(lineitem), td.payment_info(all_orders),
-        td.refunds(lineitem), td.comments(lineitem), spans)
+        td.refunds(lineitem), td.comments(lineitem), DAILY, day)
 
 
 def product_stats(spark, sf):
@@ -328,9 +329,8 @@ def stats_table(spark, sf):
 
 
 def _sales(spark, sf) -> DataFrame:
-    """Product statistics with names, cut to the report's day before the lookups."""
-    day = dashboard.on_day(_product_stats(spark, sf), SALES_DAY)
-    return enrich.add_product(day, td.dims(spark, sf))
+    """The day's product statistics with names."""
+    return enrich.add_product(_product_stats(spark, sf, SALES_DAY), td.dims(spark, sf))
 
 
 def dash_spu(spark, sf):
@@ -352,11 +352,11 @@ def dash_tm_series(spark, sf):
 
 
 def dash_gmv(spark, sf):
-    return _plain(dashboard.gmv(_product_stats(spark, sf), SALES_DAY))
+    return _plain(dashboard.gmv(_product_stats(spark, sf, SALES_DAY), SALES_DAY))
 
 
 def dash_gmv_empty_day(spark, sf):
-    return _plain(dashboard.gmv(_product_stats(spark, sf), 20300101))
+    return _plain(dashboard.gmv(_product_stats(spark, sf, 20300101), 20300101))
 
 
 def dash_hour(spark, sf):

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from martflow import schemas, settings
+from martflow.functions.times import time_column
 from martflow.operators import enrich, orders, routing, stats, visits
+from martflow.plans import dashboard
 from martflow.session import materialize
 
 
@@ -52,14 +54,31 @@ def visitor_stats(raw_logs: DataFrame, spans: Spans = Spans()) -> DataFrame:
 
 def product_stats(pages: DataFrame, favors: DataFrame, carts: DataFrame, order_info: DataFrame,
                   order_detail: DataFrame, payments: DataFrame, refunds: DataFrame, comments: DataFrame,
-                  spans: Spans = Spans()) -> DataFrame:
+                  spans: Spans = Spans(), day: int | str | None = None) -> DataFrame:
     """Per-product statistics without dimensions (``enrich.add_product`` adds
-    them afterwards, so lookups are per product and window, not per event)."""
+    them afterwards, so lookups are per product and window, not per event).
+
+    With ``day`` only windows that start on that day; inputs are cut to the times
+    that can reach them, before any join or aggregate.
+    """
+    if day is not None:
+        start = F.lit(dashboard.as_date(day)).cast("timestamp")
+        end = start + F.expr(f"INTERVAL '1' DAY + INTERVAL {spans.window}")
+        # A payment on the day can belong to an order created before it.
+        order_info = _within(order_info, start - F.expr(f"INTERVAL '{spans.payment_before_s}' SECOND"), end)
     columns = ["order_id", "sku_id", "sku_num", "split_total_amount", "create_time"]
     wide = materialize(order_lines(order_info, order_detail, spans).select(*columns), "dwm-order-wide")
     paid = _paid_lines(payments, wide, spans)
     rows = stats.product_rows(pages, favors, carts, wide, paid, refunds, comments)
-    return stats.product_stats(rows, spans.window)
+    if day is not None:
+        rows = rows.filter((F.col("ts") >= start) & (F.col("ts") < end))
+    totals = stats.product_stats(rows, spans.window)
+    return totals if day is None else dashboard.on_day(totals, day)
+
+
+def _within(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    t = time_column(df, "create_time")
+    return df.filter((t >= start) & (t < end))
 
 
 def _paid_lines(payments: DataFrame, wide: DataFrame, spans: Spans) -> DataFrame:

@@ -122,9 +122,17 @@ def test_dimension_upsert_keeps_the_last_value_that_is_not_null(spark, tmp_path)
     table.upsert(rows, "seq", 1)
     table.upsert(rows, "seq", 1)  # a replay changes nothing
     assert [tuple(r) for r in table.read(spark).collect()] == [("1", "c", "3")]
-    table.upsert(spark.createDataFrame([(1, "1", None, "4"), (1, "2", "z", None)], rows.schema), "seq", 2,
-                 deleted=spark.createDataFrame([("2",)], "id string"))
-    assert [tuple(r) for r in table.read(spark).collect()] == [("1", "c", "4")]
+    more = lambda *r: spark.createDataFrame(list(r), rows.schema)
+    table.upsert(more((1, "1", None, "4"), (1, "2", "z", "9")), "seq", 2)
+    table.upsert(more((1, "2", "z", "9")), "seq", 3, deleted=spark.createDataFrame([("2",)], "id string"))
+    read = lambda upto=None: sorted(tuple(r) for r in table.read(spark, upto).collect())
+    assert read() == [("1", "c", "4")] and read(2) == [("1", "c", "4"), ("2", "z", "9")]
+    table.upsert(more((1, "2", "y", None)), "seq", 4)
+    for _ in range(2):
+        assert read() == [("1", "c", "4"), ("2", "y", None)]
+        table.compact(spark, 3)
+    table.compact(spark, 4)
+    assert read() == [("1", "c", "4"), ("2", "y", None)]
     assert dim_sink.key_columns("id,name") == ["id", "name"] and dim_sink.key_columns(None) == ["id"]
 
 
