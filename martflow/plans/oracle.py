@@ -201,7 +201,7 @@ def _figure(label: str, expr) -> str:
 
 
 _DASH_IS_NEW = f"""WITH {_VISITOR_STATS},
-d AS (SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-15%'),
+d AS (SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-03%'),
 s AS (SELECT {', '.join(
     f"CAST(coalesce(sum({m}) FILTER (WHERE is_new {op} '1'), 0) AS BIGINT) AS {side}_{m}"
     for side, op in (('n', '='), ('o', '<>')) for m in ('uv_ct', 'pv_ct', 'sv_ct', 'uj_ct', 'dur_sum'))} FROM d)
@@ -260,6 +260,8 @@ FROM cur FULL JOIN new ON cur.id = new.id""",
 ordered AS (SELECT id, name, value, seq + CASE WHEN "table" = 'sku_info' THEN 1000000000000 ELSE 0 END AS seq FROM good
   WHERE "table" IN ('user_info', 'sku_info'))
 SELECT id, {_last('name')}, {_last('value')} FROM ordered GROUP BY id""",
+    "time_functions": f"""SELECT o_orderkey, strftime(o_orderdate, {_T}) AS create_time, epoch_us(o_orderdate) // 1000 AS ms,
+  strftime(o_orderdate, {_T}) AS again, strftime(o_orderdate, '%Y%m%d') AS day, {_bounds('10 seconds', 'o_orderdate')} FROM orders""",
     "order_create_parts": """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS create_date,
   strftime(o_orderdate, '%H') AS create_hour, epoch_us(o_orderdate) // 1000 AS create_ts FROM orders""",
     "order_wide_join": f"WITH {_LINES} SELECT {_LINE}, strftime(detail_ts, {_T}) AS detail_time FROM lines",
@@ -291,7 +293,7 @@ SELECT {_PRODUCT_COLUMNS}, sku_name, skus.spu_id, spu_name, skus.category3_id, c
     "keyword_stats": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
     "word_counts": _WORD_COUNTS,
     "udtf_tokens": _WORD_COUNTS,
-    "stats_table": f"WITH {_VISITOR_STATS} SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-15%'",
+    "stats_table": f"WITH {_VISITOR_STATS} SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-03%'",
     "dash_spu": _top("spu_id", "spu_name", ", CAST(sum(order_ct) AS BIGINT) AS order_ct"),
     "dash_category3": _top("category3_id", "category3_name"),
     "dash_tm": _top("tm_id", "tm_name"),
@@ -305,11 +307,14 @@ WHERE stt LIKE '1998-01-15%'""",
 WHERE stt LIKE '2030-01-01%'""",
     "dash_hour": f"""WITH {_VISITOR_STATS},
 h AS (SELECT substring(stt, 12, 2) AS hr, sum(uv_ct) AS uv, sum(pv_ct) AS pv, sum(CASE WHEN is_new = '1' THEN uv_ct ELSE 0 END) AS nu
-  FROM visitor_stats WHERE stt LIKE '2024-01-15%' GROUP BY 1)
+  FROM visitor_stats WHERE stt LIKE '2024-01-03%' GROUP BY 1)
 SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS hr, CAST(coalesce(uv, 0) AS BIGINT) AS uv_ct, CAST(coalesce(pv, 0) AS BIGINT) AS pv_ct,
   CAST(coalesce(nu, 0) AS BIGINT) AS new_uv
 FROM generate_series(0, 23) g(i) LEFT JOIN h ON h.hr = lpad(CAST(i AS VARCHAR), 2, '0')""",
     "dash_is_new": _DASH_IS_NEW,
+    "dash_novelty": f"""WITH {_VISITOR_STATS} SELECT is_new, {', '.join(
+        f"CAST(sum({m}) AS BIGINT) AS {m}" for m in ('uv_ct', 'pv_ct', 'sv_ct', 'uj_ct', 'dur_sum'))}
+FROM visitor_stats WHERE stt LIKE '2024-01-03%' GROUP BY is_new""",
     "dash_map": f"""WITH {_PROVINCE_STATS} SELECT province_name AS name, CAST(sum(order_amount) AS DOUBLE) AS value
 FROM province_stats WHERE stt LIKE '1998-01-15%' GROUP BY province_id, province_name""",
     "dash_keyword": f"""WITH {_KEYWORD_STATS} SELECT keyword AS name, CAST(sum(ct * 10) AS BIGINT) AS value FROM keyword_stats

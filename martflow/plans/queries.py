@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martflow import schemas, settings
 from martflow.functions.text import register_word_table_function, words
-from martflow.functions.times import age_in_years, day_key, from_millis
+from martflow.functions.times import age_in_years, day_key, from_millis, from_text, to_text
 from martflow.operators import enrich, orders, parse, routing, stats, visits
 from martflow.plans import dashboard, warehouse
 from martflow.session import fresh_dir
@@ -25,7 +25,7 @@ YEAR_S = 365 * 86400
 HOURLY = warehouse.Spans(window="1 hour", bounce_timeout_s=4 * 3600)
 DAILY = warehouse.Spans(window="1 day", order_before_s=YEAR_S, order_after_s=YEAR_S)
 AS_OF = "2024-06-30"
-VISIT_DAY = 20240115
+VISIT_DAY = 20240103
 SALES_DAY = 19980115
 WORD_DAY = 20240101
 
@@ -205,6 +205,18 @@ def order_create_parts(spark, sf):
         "id", "create_date", "create_hour", "create_ts")
 
 
+def time_functions(spark, sf):
+    """Text to times and back: epoch milliseconds, day key, window labels."""
+    text = F.date_format("o_orderdate", settings.TIMESTAMP_FORMAT)
+    rows = td.table(spark, sf, "orders").select("o_orderkey", text.alias("create_time"))
+    rows = rows.withColumn("t", from_text("create_time"))
+    w = F.window("t", "10 seconds")
+    return rows.select(
+        "o_orderkey", "create_time", F.unix_millis("t").alias("ms"),
+        to_text(from_millis(F.unix_millis("t"))).alias("again"), day_key("t").alias("day"),
+        to_text(w["start"]).alias("stt"), to_text(w["end"]).alias("edt"))
+
+
 _LINE = ["detail_id", "order_id", "sku_id", "order_price", "sku_num", "split_total_amount", "province_id",
          "order_status", "user_id", "total_amount", "feight_fee", "create_time", "create_date", "create_hour"]
 
@@ -322,7 +334,7 @@ def stats_table(spark, sf):
     """Write visitor statistics in the table's shape, read one day back."""
     path = fresh_dir(spark, "visitor-stats")
     stats_sink.append_batch(visitor_stats(spark, sf), schemas.VISITOR_STATS, path)
-    return tables.stats_table(spark, path, "2024-01-15").drop("ts", "dt")
+    return tables.stats_table(spark, path, "2024-01-03").drop("ts", "dt")
 
 
 # --- dashboard -------------------------------------------------------------------
@@ -367,6 +379,10 @@ def dash_is_new(spark, sf):
     return _plain(dashboard.new_versus_returning(visitor_stats(spark, sf), VISIT_DAY))
 
 
+def dash_novelty(spark, sf):
+    return dashboard.visitors_by_novelty(visitor_stats(spark, sf), VISIT_DAY)
+
+
 def dash_map(spark, sf):
     report = dashboard.amount_by_province(_province_stats(spark, sf), SALES_DAY)
     return _plain(dashboard.name_value(report, "province_name", "order_amount"))
@@ -384,9 +400,9 @@ def flagship(spark, sf):
 BATCH: dict[str, Query] = {f.__name__: f for f in (
     log_parse, log_quarantine, log_split_counts, display_explode, is_new_repair, unique_visitor, user_jump,
     cdc_filter, cdc_envelope, cdc_whitelist, cdc_route, cdc_sinks, cdc_unrouted, cdc_config_latest,
-    dim_upsert_latest, dim_sink_snapshots, order_create_parts, order_wide_join, order_wide_user,
+    dim_upsert_latest, dim_sink_snapshots, time_functions, order_create_parts, order_wide_join, order_wide_user,
     order_wide_province, order_wide_full, user_ages, dim_multi_key, payment_wide, coalesce_merge,
     visitor_stats, product_stats, product_stats_dims, province_stats, keyword_stats, word_counts, udtf_tokens,
     stats_table, dash_spu, dash_category3, dash_tm, dash_tm_series, dash_gmv, dash_gmv_empty_day, dash_hour,
-    dash_is_new, dash_map, dash_keyword,
+    dash_is_new, dash_novelty, dash_map, dash_keyword,
 )}
