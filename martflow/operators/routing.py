@@ -72,7 +72,7 @@ def route(changes: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def unrouted(changes: DataFrame, routes: DataFrame) -> DataFrame:
-    """Records without a route; the reference logs and drops them."""
+    """Records without a route, which are dropped; count or keep them from here."""
     return _join_routes(changes, routes, "left_anti")
 
 

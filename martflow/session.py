@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def state_partitions_for(spark: SparkSession, paths: Iterable[str], bytes_each: int = 16 << 20):
+    """Start bounded streams with state partitions that fit their input.
+
+    AQE does not coalesce the shuffles of stateful streams, so a small replay
+    would pay for the session's full ``spark.sql.shuffle.partitions``.  The
+    session's value stays the upper bound; without paths it is left alone.
+    """
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    jvm, total = spark._jvm, 0
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += fs.getContentSummary(folder).getLength()
+    if total:
+        wanted = max(spark.sparkContext.defaultParallelism, -(-total // bytes_each))
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(setting), wanted)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Custom state needs the RocksDB store; it also keeps state off the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)

@@ -16,6 +16,9 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from martflow.operators.parse import once
 
+# The area of topics that come from outside.
+INTAKE = "intake"
+
 TOPIC_ROW = "value STRING, topic STRING"
 
 
@@ -31,18 +34,22 @@ class FileBus:
     max_files_per_trigger: int | None = None
     batched_jobs: frozenset[str] = frozenset({"base_db", "unique_visitor", "order_wide"})
 
-    def _schema(self, job: str) -> str:
-        return TOPIC_ROW + (", batch_id BIGINT" if job in self.batched_jobs else "")
+    def _load(self, reader, job: str, topic: str) -> DataFrame:
+        if job == INTAKE:
+            # Written by others, without a commit log: list this topic's folder only.
+            return reader.schema("value STRING").format("text").load(f"{self.root}/{job}/topic={topic}")
+        schema = TOPIC_ROW + (", batch_id BIGINT" if job in self.batched_jobs else "")
+        rows = reader.schema(schema).format("text").load(f"{self.root}/{job}")
+        return rows.filter(F.col("topic") == topic).select("value")
 
     def read(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
-        reader = spark.readStream.schema(self._schema(job))
+        reader = spark.readStream
         if self.max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
-        return reader.format("text").load(f"{self.root}/{job}").filter(F.col("topic") == topic).select("value")
+        return self._load(reader, job, topic)
 
     def read_batch(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
-        rows = spark.read.schema(self._schema(job)).format("text").load(f"{self.root}/{job}")
-        return rows.filter(F.col("topic") == topic).select("value")
+        return self._load(spark.read, job, topic)
 
     def writer(self, rows: DataFrame, job: str) -> DataStreamWriter:
         return (rows.select("value", "topic").writeStream.outputMode("append").format("text")

@@ -13,40 +13,46 @@ from martflow.functions.times import day_key, from_millis, to_text
 from martflow.operators import orders, routing, stats
 from martflow.operators import visits as shared
 from martflow.plans.queries import HOURLY, YEAR_S
-from martflow.session import fresh_dir
+from martflow.session import fresh_dir, state_partitions_for
 from martflow.sources import testdata as td
 from martflow.streaming import visits
 
 DELAY = "3 seconds"
 
 
-def run_append(df: DataFrame, name: str) -> str:
+def run_append(df: DataFrame, name: str, *inputs: str) -> str:
     """Run a stream over all present input; return the file sink's folder."""
     where = fresh_dir(df.sparkSession, name)
-    query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
-             .option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
+    with state_partitions_for(df.sparkSession, inputs):
+        query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
+                 .option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start())
+        query.awaitTermination()
     return f"{where}/out"
 
 
-def run_update(df: DataFrame, name: str) -> str:
+def run_update(df: DataFrame, name: str, *inputs: str) -> str:
     """The same for a stream in update mode: one folder per micro-batch."""
     where = fresh_dir(df.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
 
-    (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
-     .trigger(availableNow=True).start().awaitTermination())
+    with state_partitions_for(df.sparkSession, inputs):
+        (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
     return f"{where}/out"
 
 
-def drain(df: DataFrame, name: str, run=run_append) -> DataFrame:
-    """Run the stream and read its sink."""
-    where = run(df, name)
+def drain(df: DataFrame, name: str, *inputs: str, run=run_append) -> DataFrame:
+    """Run the stream and read its sink; ``inputs`` are the files it reads."""
+    where = run(df, name, *inputs)
     return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(where)
 
 
+def _files(sf: str, *names: str) -> list[str]:
+    return [f"{sf}/{name}.parquet" for name in names]
+
+
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     return td.raw_logs(td.table_stream(spark, sf, "events"))
 
@@ -56,18 +62,18 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_is_new_repair(spark, sf):
-    return drain(visits.repair_is_new(_logs(spark, sf)).select("common.mid", "ts", "common.is_new"), "is-new")
+    return drain(visits.repair_is_new(_logs(spark, sf)).select("common.mid", "ts", "common.is_new"), "is-new", *_files(sf, "events"))
 
 
 def stream_unique_visitor(spark, sf):
     rows = visits.unique_visitors(_pages(spark, sf))
     return drain(rows.select("common.mid", day_key(from_millis("ts")).alias("day"), "ts", "page.page_id"), "uv",
-                 run_update)
+                 *_files(sf, "events"), run=run_update)
 
 
 def stream_user_jump(spark, sf):
     rows = shared.bounces(_pages(spark, sf), HOURLY.bounce_timeout_s, watermark="0 seconds")
-    return drain(rows.select("common.mid", "ts", "page.page_id"), "jump")
+    return drain(rows.select("common.mid", "ts", "page.page_id"), "jump", *_files(sf, "events"))
 
 
 def stream_order_join(spark, sf):
@@ -75,17 +81,19 @@ def stream_order_join(spark, sf):
         td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
         YEAR_S, YEAR_S, watermark=DELAY)
     return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id",
-                              to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join")
+                              to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join",
+                 *_files(sf, "orders", "lineitem"))
 
 
 def stream_visitor_stats(spark, sf):
     """Union of the page stream with the topics of the two other visit jobs."""
     pages = _pages(spark, sf)
-    uniques = run_update(visits.unique_visitors(pages), "uv-topic")
-    jumps = run_append(shared.bounces(pages, HOURLY.bounce_timeout_s, watermark="0 seconds"), "jump-topic")
+    uniques = run_update(visits.unique_visitors(pages), "uv-topic", *_files(sf, "events"))
+    jumps = run_append(shared.bounces(pages, HOURLY.bounce_timeout_s, watermark="0 seconds"), "jump-topic",
+                       *_files(sf, "events"))
     topic = lambda where: spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(where)
     rows = stats.visitor_rows(pages, topic(uniques), topic(jumps))
-    return drain(stats.visitor_stats(rows, "1 hour", DELAY), "visitor-stats")
+    return drain(stats.visitor_stats(rows, "1 hour", DELAY), "visitor-stats", *_files(sf, "events"))
 
 
 def stream_product_stats(spark, sf):
@@ -95,7 +103,7 @@ def stream_product_stats(spark, sf):
     rows = (stats.click_rows(pages).unionByName(stats.display_rows(pages))
             .unionByName(stats.favor_rows(td.sku_events(events, "click")))
             .unionByName(stats.cart_rows(td.sku_events(events, "purchase"))))
-    out = drain(stats.product_stats(rows, "1 hour", DELAY), "product-stats")
+    out = drain(stats.product_stats(rows, "1 hour", DELAY), "product-stats", *_files(sf, "events"))
     return out.select("stt", "edt", "sku_id", "display_ct", "click_ct", "favor_ct", "cart_ct")
 
 
@@ -104,16 +112,16 @@ def stream_province_stats(spark, sf):
     lines = orders.order_lines(
         td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
         YEAR_S, YEAR_S, watermark=DELAY).drop("order_ts", "detail_ts")
-    where = run_append(lines, "order-wide-topic")
+    where = run_append(lines, "order-wide-topic", *_files(sf, "orders", "lineitem"))
     topic = spark.readStream.schema(lines.schema).parquet(where)
-    out = drain(stats.province_stats(topic, "1 day", DELAY), "province-stats")
+    out = drain(stats.province_stats(topic, "1 day", DELAY), "province-stats", *_files(sf, "orders"))
     return out.select("stt", "edt", "province_id", F.col("order_amount").cast("double").alias("order_amount"), "order_count")
 
 
 def stream_keyword_stats(spark, sf):
     pages = routing.page_logs(td.search_logs(td.table_stream(spark, sf, "documents")))
     words = stats.keywords(stats.searches(pages, DELAY))
-    return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats")
+    return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats", *_files(sf, "documents"))
 
 
 STREAMS = {f.__name__: f for f in (

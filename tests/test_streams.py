@@ -57,7 +57,7 @@ def test_unique_visitors_over_micro_batches(spark, events):
     pick = lambda df: df.select("common.mid", "ts", "page.page_id")
     want = keys(pick(visits.unique_visitors(routing.page_logs(logs(spark, events, False)))))
     stream = streaming_visits.unique_visitors(routing.page_logs(logs(spark, events, True)))
-    assert keys(drain(pick(stream), "uv", run_update)) == want
+    assert keys(drain(pick(stream), "uv", run=run_update)) == want
 
 
 def test_bounces_over_micro_batches(spark, events):
