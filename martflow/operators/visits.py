@@ -22,7 +22,7 @@ def repair_is_new(logs: DataFrame) -> DataFrame:
     Later rows with ``is_new='1'`` on another day become ``'0'``; rows that do
     not claim to be new neither read nor set the first day, and are not shuffled.
     """
-    day = day_key(from_millis("ts"))
+    day = F.to_date(from_millis("ts"))
     claims = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
     claiming = logs.filter(claims)
     first = claiming.groupBy(F.col("common.mid").alias("first_mid")).agg(F.min(day).alias("first_day"))
@@ -65,7 +65,7 @@ def bounces(pages: DataFrame, timeout_s: int = settings.BOUNCE_TIMEOUT_S, waterm
     ts, own = F.col("row.ts"), F.col("row.ts") < second_slot
     order = F.when(own, F.struct("row.ts", "row.page.page_id"))
     last = (rows.groupBy("mid", "slots")
-            .agg(F.max_by(F.col("row"), order).alias("row"), F.min(F.when(~own, ts)).alias("next_ts")))
+            .agg(F.max_by("row", order).alias("row"), F.min(F.when(~own, ts)).alias("next_ts")))
     return (last.filter(F.col("row").isNotNull() & is_entry_page("row.page.last_page_id")
                         & (F.col("next_ts").isNull() | (F.col("next_ts") - F.col("row.ts") >= timeout_s * 1000)))
             .select("row.*"))

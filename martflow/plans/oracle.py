@@ -291,6 +291,7 @@ SELECT {_PRODUCT_COLUMNS}, sku_name, skus.spu_id, spu_name, skus.category3_id, c
   CAST(sku_price AS DOUBLE) AS sku_price FROM product_stats {_PRODUCT_JOINS}""",
     "province_stats": f"""WITH {_PROVINCE_STATS} SELECT * REPLACE (CAST(order_amount AS DOUBLE) AS order_amount) FROM province_stats""",
     "keyword_stats": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
+    "keyword_stats_sql": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
     "word_counts": _WORD_COUNTS,
     "udtf_tokens": _WORD_COUNTS,
     "stats_table": f"WITH {_VISITOR_STATS} SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-03%'",

@@ -318,6 +318,22 @@ def keyword_stats(spark, sf):
     return warehouse.keyword_stats(_search_pages(spark, sf), HOURLY)
 
 
+def keyword_stats_sql(spark, sf):
+    """Keyword statistics as SQL over views, with the table function."""
+    register_word_table_function(spark, "ik_analyze")
+    pages = _search_pages(spark, sf).select("common", "page", from_millis("ts").alias("rowtime"))
+    pages.createOrReplaceTempView("martflow_page_view")
+    return spark.sql("""
+        WITH full_word_view AS (
+          SELECT page['item'] AS full_word, rowtime FROM martflow_page_view
+          WHERE page['page_id'] = 'good_list' AND page['item'] IS NOT NULL),
+        keyword_view AS (
+          SELECT t.word AS keyword, rowtime FROM full_word_view, LATERAL ik_analyze(full_word) t)
+        SELECT keyword, count(*) AS ct, 'SEARCH' AS source,
+          date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt, date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt
+        FROM keyword_view GROUP BY window(rowtime, '1 hour'), keyword""")
+
+
 def word_counts(spark, sf):
     docs = td.table(spark, sf, "documents")
     return docs.select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("ct"))
@@ -402,7 +418,7 @@ BATCH: dict[str, Query] = {f.__name__: f for f in (
     cdc_filter, cdc_envelope, cdc_whitelist, cdc_route, cdc_sinks, cdc_unrouted, cdc_config_latest,
     dim_upsert_latest, dim_sink_snapshots, time_functions, order_create_parts, order_wide_join, order_wide_user,
     order_wide_province, order_wide_full, user_ages, dim_multi_key, payment_wide, coalesce_merge,
-    visitor_stats, product_stats, product_stats_dims, province_stats, keyword_stats, word_counts, udtf_tokens,
+    visitor_stats, product_stats, product_stats_dims, province_stats, keyword_stats, keyword_stats_sql, word_counts, udtf_tokens,
     stats_table, dash_spu, dash_category3, dash_tm, dash_tm_series, dash_gmv, dash_gmv_empty_day, dash_hour,
     dash_is_new, dash_novelty, dash_map, dash_keyword,
 )}
