@@ -3,9 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+from martflow.plans.oracle import ORACLE
+from martflow.plans.queries import BATCH
+from martflow.streaming.replay import STREAMS
 from oracle_compare import compare, connect
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in (*BATCH, *STREAMS)}
 
 
 @pytest.fixture(scope="module")
