@@ -159,9 +159,9 @@ k AS (SELECT item, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, k, unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS win FROM k),
 ks AS (SELECT DISTINCT k FROM win),
 d AS (SELECT doc_id, {_words_sql(_LOWER.format('text'), _CLASS)} AS w FROM documents),
-at AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s,
+occ AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s,
               unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS win FROM d, ks),
-hit AS (SELECT DISTINCT doc_id, s, a.k, item FROM at a JOIN win USING (win)),
+hit AS (SELECT DISTINCT doc_id, s, a.k, item FROM occ a JOIN win USING (win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
