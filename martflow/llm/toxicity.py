@@ -28,6 +28,7 @@ MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
 BITS = 20
 MAX_FEATURES = 2_000
+MIN_Z = 4.0  # standard deviations between the rates in P and in U
 THRESHOLD = 0.3
 
 #: Letters, digits and all non-ASCII bytes stay, A-Z in lower case; the rest separates.
@@ -56,8 +57,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.05,
-             decay: float = 1e-3) -> Model:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05,
+             decay: float = 2.0) -> Model:
     """Fits the classifier; without positives or unlabelled rows it scores the prior."""
     prior = float(np.clip(prior, 1e-3, 0.999))
     flat_bias = float(np.log(prior / (1 - prior)))
@@ -72,7 +73,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs:
     z = np.abs(df_p / n_p - df_u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
     z[(df_p + df_u) < 5] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES]).astype(np.int32)
-    chosen = chosen[z[chosen] > 2.5]
+    chosen = chosen[z[chosen] > MIN_Z]
     own = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in own])
     col = np.concatenate(own) if len(row) else np.empty(0, np.int64)
