@@ -108,7 +108,7 @@ def segments_of(band: int, deletions: bool) -> int:
     if most == 0:
         return 1
     need = most // 2 + 1 if deletions else most + 1
-    return need + (0 if deletions else -(-need * 15 // 100))
+    return need + -(-need * 15 // 100)
 
 
 @lru_cache(maxsize=None)
@@ -243,7 +243,7 @@ def _meet(few: int):
             out.append(table(1, pairs[:, 0], pairs[:, 1], zero, zero))
         at = np.repeat(heavy, counts)
         if at.any():
-            out.append(table(2, ids[at], key[at], size[at], kind[at]))
+            out.append(table(2, ids[at], key[at], size[at], kind[at] | info[at] >> 34 << 2))
         last = int(key[-1])
         return out, last if heavy[-1] else None
 
@@ -290,7 +290,11 @@ def _keys_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, at in ((OWN, band), (LOWER, band - 1)):
                 if at >= 0 and size <= largest_partner(_ENDS[at]):
                     keys = deletion_keys(v, at)
-                    out.append((_as_long(keys), np.full(len(keys), cls), np.full(len(keys), _info(kind, size))))
+                    # A light segment covers two differences; so many may be heavy.
+                    budget = own_budget(size) if kind == OWN else lower_budget(size)
+                    spare = (2 * segments_of(at, True) - budget - 1) // 2
+                    info = kind | size << 2 | spare << 34
+                    out.append((_as_long(keys), np.full(len(keys), cls), np.full(len(keys), info)))
                     held += len(keys)
             if held >= CHUNK:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "info"])
@@ -325,6 +329,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b"))
 
 
+def _sets_of(sets: DataFrame, classes: DataFrame, layers: Layers) -> DataFrame:
+    """The sets that a later step needs, written by themselves: each step shuffles only its own."""
+    return layers.write(sets.join(classes.select("cls").distinct(), "cls", "left_semi"))
+
+
 def _labelled(members: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
     labels = components(members.select(F.col("cls").alias("v")).distinct(), links, layers)
     return layers.write(members.join(labels.withColumnRenamed("v", "cls"), "cls"))
@@ -342,17 +351,23 @@ def _pivot_rounds(members: DataFrame, links: DataFrame, sets: DataFrame, layers:
     Linear in the members.  Returns all links and the members, labelled, of
     signatures that still hold several components.
     """
+    weight = members.groupBy(F.col("cls").alias("w_cls")).agg(F.count(F.lit(1)).alias("shared"))
+    members = members.join(weight, F.col("cls") == F.col("w_cls")).drop("w_cls")
+    now = _labelled(members, links, layers)
+    mixed = layers.write(now.join(_mixed_keys(now), "key"))
     for i in range(rounds):
-        now = _labelled(members.select("cls", "key", "size"), links, layers)
-        mixed = now.join(_mixed_keys(now), "key")
-        rank = F.struct(F.xxhash64("cls", F.lit(i)), F.col("cls"), F.col("label"), F.col("size"))
+        if mixed.isEmpty():
+            break
+        # What copies were made from shares most: it has the heavy signatures of all.
+        rank = F.struct(-F.col("shared") if i == 0 else F.lit(0), F.xxhash64("cls", F.lit(i)), "cls", "label", "size")
         pivots = mixed.groupBy("key").agg(F.min(rank).alias("p"))
         tried = (mixed.join(pivots, "key")
                  .where("label <> p.label and least(size, p.size) * %d >= greatest(size, p.size) * %d" % (DEN, NUM))
                  .select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")))
         links = layers.write(links.unionByName(_verified(tried, sets)))
-    now = _labelled(members.select("cls", "key", "size"), links, layers)
-    return links, layers.write(now.join(_mixed_keys(now), "key"))
+        now = _labelled(mixed.drop("label"), links, layers)
+        mixed = layers.write(now.join(_mixed_keys(now), "key"))
+    return links, mixed
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,7 +388,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         (F.shiftright("spare", 14) - 1).alias("spare_lower"))
     pairs = found.where("kind = 1").select("a", "b").distinct()
     heavy = found.where("kind = 2").select(F.col("a").alias("cls"), F.col("b").alias("key"), "size",
-                                           F.col("spare").alias("role"))
+                                           F.expr("spare & 3").alias("role"))
 
     classes = docs_of.groupBy("cls", "size").agg(
         F.min("doc_id").alias("first_id"), F.first("spare_own").alias("spare_own"),
@@ -398,10 +413,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not open_sets.isEmpty():
         members = layers.write(heavy.join(open_sets, "cls")
                                .where(f"(role = {OWN} and open_own) or (role = {LOWER} and open_lower)")
-                               .select("cls", "key", "size"))
+                               .select("cls", "key", "size").distinct())
+        sets = _sets_of(sets, open_sets, layers)
         links, mixed = _pivot_rounds(members, links, sets, layers)
-        rest = mixed.select("cls").union(open_sets.where("sparse").select("cls")).distinct()
-        links = _by_deletions(rest, links, sets, layers)
+        rest = mixed.select("cls").union(open_sets.where("sparse").select("cls"))
+        links = _by_deletions(_sets_of(sets, rest, layers), links, layers)
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
     named = layers.write(classes.select("cls", "first_id").join(labels, "cls"))
@@ -412,15 +428,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _by_deletions(rest: DataFrame, links: DataFrame, sets: DataFrame, layers: Layers) -> DataFrame:
+def _by_deletions(sets: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
     """Links among the sets that exact segments could not settle."""
-    again = layers.write(_sorted_meet(sets.join(rest, "cls").select("cls", "elements").mapInArrow(_keys_again, ROW)))
+    again = layers.write(_sorted_meet(sets.select("cls", "elements").mapInArrow(_keys_again, ROW)))
     links = layers.write(links.unionByName(_verified(again.where("kind = 1"), sets)))
-    heavy = layers.write(again.where("kind = 2").select(
-        F.col("a").alias("cls"), F.col("b").alias("key"), "size"))
-    if heavy.isEmpty():
+    heavy = again.where("kind = 2").select(
+        F.col("a").alias("cls"), F.col("b").alias("key"), "size", F.expr("spare & 3").alias("role"),
+        F.shiftright("spare", 2).alias("spare")).distinct()
+    still = (heavy.groupBy("cls", "role", "spare").agg(F.count(F.lit(1)).alias("n")).where("n > spare")
+             .select("cls", "role"))
+    members = layers.write(heavy.join(still, ["cls", "role"]).select("cls", "key", "size").distinct())
+    if members.isEmpty():
         return links
-    links, mixed = _pivot_rounds(heavy, links, sets, layers)
+    links, mixed = _pivot_rounds(members, links, sets, layers)
     other = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "label", "size")])
     left = (mixed.join(other, "key")
             .where(f"cls < cls2 and label <> label2 and least(size, size2) * {DEN} >= greatest(size, size2) * {NUM}")
