@@ -212,8 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
               .where("_id is not null and quality in (0, 1)").groupBy("_id").agg(F.min("quality").alias("quality")))
     sample = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    rows = (docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).where(F.col(text).isNotNull())
-            .select("_id", "quality", count_text(F.col(text)).alias("c")).select("_id", "quality", "c.*")
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = (texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+            .select("_id", "quality", count_text(F.col("_text")).alias("c")).select("_id", "quality", "c.*")
             .select("_id", "quality", *[m().alias(n) for n, m in MEASURES.items()]).toPandas())
     rows["h"] = [xxhash.xxh3_64_intdigest(str(i).encode()) for i in rows["_id"]]
     rows = rows.sort_values(["h", *MEASURES]).reset_index(drop=True)

@@ -128,4 +128,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """
     hit = (contamination(docs, items, doc_id, text).where("n_hit > 0")
            .select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, docs[doc_id].eqNullSafe(hit["_hit"]), "left_anti")

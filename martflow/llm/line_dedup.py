@@ -62,7 +62,9 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio:
              .groupBy("_of").agg(F.collect_set("_key").alias("_often")))
     often = layers.write(often)
 
-    named = pages.drop("n_lines", "n_dropped").withColumns({"_site": site, "_lines": lines})
+    kept = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    # Columns travel under numbers, so that none clashes with those added here.
+    named = pages.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)], site.alias("_site"), lines.alias("_lines"))
     marked = (named.join(often, F.col("_site").eqNullSafe(F.col("_of")), "left")
               .withColumn("_keys", F.when(F.col("_often").isNotNull(), _line_keys(F.col("_lines"))))
               .withColumn("_hit", F.array_intersect("_keys", "_often")))
@@ -73,7 +75,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio:
     n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
     n = F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(n)
     return marked.select(
-        *[F.when(F.col("_stay").isNotNull(), F.array_join("_stay", "\n")).otherwise(F.col(c)).alias(c)
-          if c == text else F.col(c) for c in named.columns if c not in ("_site", "_lines")],
+        *[(F.when(F.col("_stay").isNotNull(), F.array_join("_stay", "\n")).otherwise(F.col(f"in_{i}")) if c == text
+           else F.col(f"in_{i}")).alias(c) for i, c in enumerate(kept)],
         n.alias("n_lines"),
         F.when(hit, n - F.size("_stay")).otherwise(F.lit(0)).cast("long").alias("n_dropped"))

@@ -457,4 +457,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = near_duplicates(docs, doc_id, text).groupBy("doc_id").agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
     gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").dropDuplicates([doc_id, text])
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id, text])

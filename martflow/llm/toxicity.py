@@ -123,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     drawn = every.orderBy(F.xxhash64("_id", F.lit("unlabelled")), "_id").limit(max_unlabelled)
     sample = known.select("_id", F.lit(True).alias("positive")).unionByName(
         drawn.distinct().select("_id", F.lit(False).alias("positive")))
-    rows = (docs.join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).where(F.col(text).isNotNull())
-            .select("_id", "positive", _bucket_column(F.col(text)).alias("b")).toPandas())
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = (texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+            .select("_id", "positive", _bucket_column(F.col("_text")).alias("b")).toPandas())
     rows = rows.assign(n=[len(b) for b in rows["b"]]).sort_values(["_id", "positive", "n"])
     return fit_nnpu([np.asarray(b, np.int32) for b in rows["b"]], rows["positive"].to_numpy(bool), share)
 
