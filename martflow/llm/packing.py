@@ -28,7 +28,7 @@ from martflow.llm.common import Layers, gapless
 
 SIZE = 2048
 CLOSING = 1
-CACHE = 400_000  # words a Python worker keeps with their ids
+CACHE = 1_000_000  # words a Python worker keeps with their ids
 LONGEST_CACHED = 40
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -38,7 +38,7 @@ class Encoder:
     """Ids of a tokenizer file whose pre-tokenizer never crosses white space.
 
     A text's ids are then those of its white-space separated words in turn, and
-    words recur: their ids are kept, packed, for as many as ``CACHE`` words.
+    words recur: their ids are kept, packed, for about ``CACHE`` words.
     Control characters that Python alone takes for white space go the plain way.
     """
 
@@ -53,33 +53,51 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters: many as one text, taken apart by the tokenizer's word numbers."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(stems), 4096):
+            some = stems[at:at + 4096]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            word = np.asarray(e.word_ids)
+            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
+            if len(edges) != len(some) + 1:
+                out.update(zip(some, self.plain(some)))
+                continue
+            raw = np.asarray(e.ids, "<u4").tobytes()
+            out.update((w, raw[4 * i:4 * j]) for w, i, j in zip(some, edges, edges[1:]))
+        return out
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; a plain ASCII word with a closing , or . is looked up without it."""
-        stems: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        """Ids of new words; a word of letters with a closing , or . is looked up without it."""
+        parts: dict[str, tuple[str, str]] = {}
         for w in words:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            stems[stem.lower() if stem.isascii() else stem].append((w, tail))
-        new = [s for s in {*stems, ".", ","} if s not in self.known]
-        ids = dict(zip(new, self.plain(new)))
-        get = lambda s: ids[s] if s in ids else self.known[s]
-        out = {w: get(s) + (get(tail) if tail else b"") for s, ws in stems.items() for w, tail in ws}
-        self.known.update((w, b) for w, b in {**ids, **out}.items() if len(w) <= LONGEST_CACHED)
+            stem, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            if stem.isalpha() and max(stem) < "\u0250":
+                parts[w] = stem.lower() if stem.isascii() else stem, tail
+        ids = self._stems(list({stem for stem, _ in parts.values()}))
+        ends = dict(zip(",.", self.plain([",", "."]))) | {"": b""}
+        out = {w: ids[stem] + ends[tail] for w, (stem, tail) in parts.items()}
+        odd = [w for w in words if w not in parts]
+        out.update(zip(odd, self.plain(odd)))
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.plain([text])[0]
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.known) > CACHE:
             self.known.clear()
-        words = text.split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        new = self._learn({w for w in words if w not in self.known})
         known = self.known
-        return b"".join([new[w] if w in new else known[w] for w in words]) if new else b""
+        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        new = self._learn(set().union(*(w for w in split if w is not None)) - known.keys())
+        known.update((w, b) for w, b in new.items() if len(w) <= LONGEST_CACHED)
+        every = {w: b for w, b in new.items() if len(w) > LONGEST_CACHED}
+        for text, words in zip(texts, split):
+            if words is None:
+                yield self.plain([text])[0]
+            elif every and not every.keys().isdisjoint(words):
+                yield b"".join([every[w] if w in every else known[w] for w in words])
+            else:
+                yield b"".join([known[w] for w in words])
 
 
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
@@ -98,7 +116,11 @@ def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "te
         closing = np.asarray([CLOSING], "<u4").tobytes()
         names = ("start", "length", "ids_crc32", "doc_tokens")
         for s in texts:
-            yield pd.Series([[dict(zip(names, p)) for p in pieces_of(encoder.encode(t or "") + closing, size)] for t in s])
+            out = []
+            for at in range(0, len(s), 128):
+                for ids in encoder.encode([t or "" for t in s.iloc[at:at + 128]]):
+                    out.append([dict(zip(names, p)) for p in pieces_of(ids + closing, size)])
+            yield pd.Series(out)
 
     return (docs.select(F.col(doc_id).alias("doc_id"), F.explode(pieces(F.col(text))).alias("p"))
             .select("doc_id", "p.*"))
