@@ -8,7 +8,6 @@ function form for SQL: ``LATERAL ik_analyze(text) t(word)``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -16,7 +15,6 @@ from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
-_WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | Column) -> Column:
@@ -36,12 +34,10 @@ def word_splitter(split: Callable[[str], Iterable[str]]) -> Callable[[Column], C
 
 
 def register_word_table_function(spark: SparkSession, name: str = "ik_analyze") -> None:
-    """Register the table function; text without words yields no row."""
+    """Register the table function; text without words yields no row.
 
-    @F.udtf(returnType="word string")
-    class Words:
-        def eval(self, text: str):
-            for word in _WORD.findall((text or "").lower()):
-                yield (word,)
-
-    spark.udtf.register(name, Words)
+    It is a SQL function over the same expression as ``words``, so it is planned
+    as a generator inside the JVM.
+    """
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE(word STRING)
+        RETURN SELECT explode(array_remove(split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' '), ' '), '')) AS word""")

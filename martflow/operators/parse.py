@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, IntegralType, StringType, StructField, StructType
 
 
 def once(column: Column) -> Column:
@@ -16,9 +16,15 @@ def once(column: Column) -> Column:
 
 
 def parse(messages: DataFrame, schema: str, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Parse JSON text; text that is not a JSON object is left out (see ``malformed``)."""
-    rows = messages.select(*keep, once(F.from_json(value, _marked(schema), _OPTIONS)).alias("v"))
-    return rows.filter(_readable()).select(*keep, "v.*").drop("_corrupt_record")
+    """Parse JSON text and coerce each number to its field's type.
+
+    Numbers may come as text or with a fraction; one that fits no number is null
+    and its row stays.  Text that is not a JSON object is left out (see
+    ``malformed``).
+    """
+    rows = messages.select(*keep, once(F.from_json(value, _marked(schema), _OPTIONS)).alias("v")).filter(_readable())
+    fields = StructType.fromDDL(schema)
+    return rows.select(*keep, *[_coerced(F.col("v")[f.name], f.dataType).alias(f.name) for f in fields])
 
 
 def parse_record(messages: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -45,8 +51,28 @@ def serialise(df: DataFrame) -> DataFrame:
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def _marked(schema: str) -> str:
-    return f"{schema.strip()}, _corrupt_record STRING"
+def _marked(schema: str) -> StructType:
+    return _loose(StructType.fromDDL(schema)).add("_corrupt_record", StringType())
+
+
+def _loose(kind: DataType) -> DataType:
+    """The type with text in place of whole numbers, which a JSON reader takes in any form."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _loose(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(_loose(kind.elementType))
+    return StringType() if isinstance(kind, IntegralType) else kind
+
+
+def _coerced(column: Column, kind: DataType) -> Column:
+    if _loose(kind) == kind:
+        return column
+    if isinstance(kind, StructType):
+        fields = F.struct(*[_coerced(column[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.when(column.isNotNull(), fields)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _coerced(x, kind.elementType))
+    return F.coalesce(column.try_cast(kind), column.try_cast("double").try_cast(kind))
 
 
 def _readable():

@@ -48,20 +48,15 @@ def lookup_type(operation: str = "type") -> Column:
 
 def keep_columns(data: str | Column, columns: str | Column) -> Column:
     """Only the listed columns of a change record (comma-separated list)."""
-    listed = F.split(columns, ",")
+    listed = F.transform(F.split(columns, ","), lambda c: F.trim(c))
     return F.map_filter(data, lambda k, _v: F.array_contains(listed, k))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side takes the normal join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _join_routes(changes: DataFrame, routes: DataFrame, how: str) -> DataFrame:
     r = routes.select(F.col("source_table").alias("r_table"), F.col("operate_type").alias("r_type"),
                       "sink_type", "sink_table", "sink_columns", "sink_pk")
     on = (F.col("table") == F.col("r_table")) & (lookup_type() == F.col("r_type"))
-    joined = changes.join(broadcast_if_small(r), on, how)
+    joined = changes.join(r, on, how)
     return joined if how == "left_anti" else joined.drop("r_table", "r_type")
 
 

@@ -38,12 +38,24 @@ def _visitor_rows(logs: DataFrame, **metrics: str) -> DataFrame:
         *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _VISITOR_METRICS])
 
 
-def visitor_rows(pages: DataFrame, uniques: DataFrame, jumps: DataFrame) -> DataFrame:
-    """One metric row per page, unique visitor and bounce."""
-    return (_visitor_rows(pages, pv_ct="1", sv_ct="if(coalesce(page.last_page_id, '') = '', 1, 0)",
-                          dur_sum="coalesce(page.during_time, 0)")
-            .unionByName(_visitor_rows(uniques, uv_ct="1"))
-            .unionByName(_visitor_rows(jumps, uj_ct="1")))
+def _late(rows: DataFrame, watermark: str | None) -> DataFrame:
+    """A watermark of the input's own: the slowest input then holds the windows open."""
+    return rows.withWatermark("ts", watermark) if watermark else rows
+
+
+def visitor_rows(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, watermark: str | None = None) -> DataFrame:
+    """One metric row per page, unique visitor and bounce.
+
+    With a ``watermark`` each input has its own.  An input without any row yet
+    holds all windows open.
+    """
+    parts = [_visitor_rows(pages, pv_ct="1", sv_ct="if(coalesce(page.last_page_id, '') = '', 1, 0)",
+                           dur_sum="coalesce(page.during_time, 0)"),
+             _visitor_rows(uniques, uv_ct="1"), _visitor_rows(jumps, uj_ct="1")]
+    first, *rest = [_late(p, watermark) for p in parts]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
 
 
 def visitor_stats(rows: DataFrame, window: str = settings.STATS_WINDOW, watermark: str | None = None) -> DataFrame:
@@ -117,15 +129,23 @@ def comment_rows(comments: DataFrame) -> DataFrame:
 
 
 def product_rows(pages: DataFrame, favors: DataFrame, carts: DataFrame, order_wide: DataFrame,
-                 payment_wide: DataFrame, refunds: DataFrame, comments: DataFrame) -> DataFrame:
+                 payment_wide: DataFrame, refunds: DataFrame, comments: DataFrame,
+                 watermark: str | None = None) -> DataFrame:
     """One metric row per click, exposure, favourite, cart addition, ordered
-    line, paid line, refund and comment."""
-    parts = [click_rows(pages), display_rows(pages), favor_rows(favors), cart_rows(carts),
-             order_rows(order_wide), payment_rows(payment_wide), refund_rows(refunds), comment_rows(comments)]
-    union = parts[0]
-    for part in parts[1:]:
+    line, paid line, refund and comment.
+
+    With a ``watermark``, orders and payments, which come through further jobs,
+    have one each, and what comes straight from the raw layer has one together:
+    windows stay open for the slowest of the three.  Refunds or comments may be
+    idle; without any order or payment yet no window closes.
+    """
+    direct = [click_rows(pages), display_rows(pages), favor_rows(favors), cart_rows(carts), refund_rows(refunds),
+              comment_rows(comments)]
+    union = direct[0]
+    for part in direct[1:]:
         union = union.unionByName(part)
-    return union
+    return (_late(union, watermark).unionByName(_late(order_rows(order_wide), watermark))
+            .unionByName(_late(payment_rows(payment_wide), watermark)))
 
 
 def product_stats(rows: DataFrame, window: str = settings.STATS_WINDOW, watermark: str | None = None) -> DataFrame:

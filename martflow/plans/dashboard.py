@@ -14,16 +14,14 @@ from martflow import settings
 from martflow.functions.rates import bounce_rate, pages_per_visit, seconds_per_visit
 
 
-def as_date(date: int | str | None) -> dt.date:
-    if not date:
-        return dt.date.today()
+def as_date(date: int | str) -> dt.date:
     text = str(date).replace("-", "")
     return dt.datetime.strptime(text, "%Y%m%d").date()
 
 
 def on_day(stats: DataFrame, date: int | str | None) -> DataFrame:
     """Rows of windows that start on the day; prunes folders if there is ``dt``."""
-    day = F.lit(as_date(date))
+    day = F.lit(as_date(date)) if date else F.current_date()
     if "dt" in stats.columns:
         return stats.filter(F.col("dt") == day)
     return stats.filter(F.to_date(F.col("stt").cast("timestamp")) == day)

@@ -372,3 +372,6 @@ FROM lines WHERE {_closed('1 day', 'order_ts', '(SELECT max(order_ts) FROM lines
 SELECT keyword, count(*) AS ct, 'SEARCH' AS source, {_bounds('1 hour')} FROM keyword_rows
 WHERE keyword <> '' AND {_closed('1 hour', 'ts', '(SELECT max(ts) FROM keyword_rows)')} GROUP BY keyword, stt, edt""",
 })
+
+# Another spelling of the same numbers.
+ORACLE["log_parse_coerced"] = ORACLE["log_parse"]

@@ -76,7 +76,17 @@ def _raw_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_parse(spark, sf):
-    logs = parse.parse(_raw_messages(spark, sf), schemas.RAW_LOG)
+    return _parsed(_raw_messages(spark, sf))
+
+
+def log_parse_coerced(spark, sf):
+    """The same logs with durations as text and times with a fraction."""
+    value = F.regexp_replace("value", r'"during_time":(\d+)', r'"during_time":"$1"')
+    return _parsed(_raw_messages(spark, sf).withColumn("value", F.regexp_replace(value, r'"ts":(\d+)', r'"ts":$1.0')))
+
+
+def _parsed(messages: DataFrame) -> DataFrame:
+    logs = parse.parse(messages, schemas.RAW_LOG)
     return logs.select(
         "common.mid", "common.is_new", "common.vc", "common.ch", "common.ar",
         F.size(F.coalesce("start", F.create_map().cast("map<string,string>"))).alias("start_size"),
@@ -414,7 +424,7 @@ def flagship(spark, sf):
 
 
 BATCH: dict[str, Query] = {f.__name__: f for f in (
-    log_parse, log_quarantine, log_split_counts, display_explode, is_new_repair, unique_visitor, user_jump,
+    log_parse, log_parse_coerced, log_quarantine, log_split_counts, display_explode, is_new_repair, unique_visitor, user_jump,
     cdc_filter, cdc_envelope, cdc_whitelist, cdc_route, cdc_sinks, cdc_unrouted, cdc_config_latest,
     dim_upsert_latest, dim_sink_snapshots, time_functions, order_create_parts, order_wide_join, order_wide_user,
     order_wide_province, order_wide_full, user_ages, dim_multi_key, payment_wide, coalesce_merge,

@@ -15,11 +15,6 @@ DAY_FORMAT = "yyyyMMdd"
 
 # --- fixed business codes ---------------------------------------------------
 APPRAISE_GOOD = "1201"
-ORDER_STATUS = {
-    "unpaid": "1001", "paid": "1002", "cancelled": "1003",
-    "finished": "1004", "refunding": "1005", "refunded": "1006",
-}
-PAYMENT_TYPE = {"alipay": "1101", "wechat": "1102", "union": "1103"}
 
 # --- fixed keyword weights of the hot-word report; unknown sources weigh 0 --
 KEYWORD_WEIGHTS = {"SEARCH": 10, "ORDER": 5, "CART": 2, "CLICK": 1}
@@ -42,6 +37,7 @@ ODS_CONFIG = "ods_table_process"
 DWD_PAGE = "dwd_page_log"
 DWD_START = "dwd_start_log"
 DWD_DISPLAY = "dwd_display_log"
+UNROUTED = "unrouted_changes"
 DWM_UNIQUE_VISITOR = "dwm_unique_visitor"
 DWM_USER_JUMP = "dwm_user_jump_detail"
 DWM_ORDER_WIDE = "dwm_order_wide"

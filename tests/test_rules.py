@@ -239,8 +239,8 @@ def test_words(spark):
 
 def test_parse_and_quarantine(spark):
     df = spark.createDataFrame([('{"common":{"mid":"m"},"ts":5}',), ("{broken",), ("[1]",), (None,), ('{"ts":"x"}',)], "value string")
-    assert [(r.mid, r.ts) for r in parse.parse(df, schemas.RAW_LOG).select("common.mid", "ts").collect()] == [("m", 5)]
-    assert parse.malformed(df, schemas.RAW_LOG).count() == 4
+    assert [(r.mid, r.ts) for r in parse.parse(df, schemas.RAW_LOG).select("common.mid", "ts").collect()] == [("m", 5), (None, None)]
+    assert parse.malformed(df, schemas.RAW_LOG).count() == 3
     typed = parse.parse_record(spark.createDataFrame([('{"sku_id":"7","create_time":"t"}',), ('{"sku_id":8}',)], "value string"), schemas.SKU_EVENT)
     assert [tuple(r) for r in typed.collect()] == [(7, "t"), (8, None)]
     assert parse.serialise(typed).first().value == '{"sku_id":7,"create_time":"t"}'
@@ -275,3 +275,25 @@ def test_plans_combine_before_the_shuffle(spark):
     assert "WindowGroupLimit" in uniques and "Partial" in uniques
     jumps = plan(visits.bounces(logs(spark, [("m", 0, "0", "p", None)])))
     assert "partial_max_by" in jumps and "Window [" not in jumps
+
+
+def test_numbers_of_a_log_may_be_text(spark):
+    values = ['{"page":{"during_time":"5"},"ts":"1000"}', '{"page":{"during_time":5.0},"ts":1000.0}',
+              '{"page":{"during_time":"x"},"ts":1000}', "[1", "no"]
+    rows = parse.parse(spark.createDataFrame([(v,) for v in values], "value string"), schemas.PAGE_LOG)
+    assert sorted((r.page.during_time or 0, r.ts) for r in rows.collect()) == [(0, 1000), (5, 1000), (5, 1000)]
+
+
+def test_column_lists_are_trimmed(spark):
+    row = spark.sql("SELECT map('id', '1', 'name', 'a', 'x', 'b') AS data").select(
+        routing.keep_columns("data", F.lit("id, name")).alias("d")).first()
+    assert row.d == {"id": "1", "name": "a"}
+
+
+def test_table_function_stays_in_the_jvm(spark):
+    from martflow.functions.text import register_word_table_function
+
+    register_word_table_function(spark, "split_words")
+    rows = spark.sql("SELECT t.word FROM VALUES ('Ab-c \u00e9'), (NULL), ('') AS v(x), LATERAL split_words(x) t")
+    assert [r.word for r in rows.collect()] == ["ab", "c", "\u00e9"]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
