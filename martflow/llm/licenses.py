@@ -4,7 +4,9 @@ Each line of a text, and the text as a whole, is a unit.  A unit is lower-cased,
 reduced to runs of ASCII letters and digits, and turned into the set of its word
 bigrams.  With Dice ``2 |A and B| / (|A| + |B|)`` of at least t the sizes lie within
 ``t / (2 - t)`` of each other, so a unit is compared only with templates of such a
-size; units outside all bounds are not even turned into bigrams.  The templates
+size; units outside all bounds are not even turned into bigrams.  As a match needs two
+thirds of a template's bigrams, it holds one of a few anchor words; texts without
+any are left out first, which loses nothing.  The templates
 are a literal in the plan: nothing is joined or shuffled.
 
 Only functions of Spark are used.
@@ -68,6 +70,27 @@ def bounds(size: int, threshold: float = THRESHOLD) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def anchors_of(sets: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every text that matches a template holds at least one.
+
+    A match shares at least ``t / (2 - t)`` of a template's bigrams.  Anchors of a
+    template are added until the bigrams without one are too few for that;
+    words of many templates come first.
+    """
+    words = {n: {w for g in s for w in g.split()} for n, s in sets.items()}
+    uses = lambda w: sum(w in ws for ws in words.values())
+    anchors: list[str] = []
+    for name, grams in sets.items():
+        rank = sorted(words[name], key=lambda w: (len(w) < 6, -uses(w), -len(w), w))
+        for word in rank:
+            free = [g for g in grams if not any(w in anchors for w in g.split())]
+            if len(free) < bounds(len(grams), threshold)[0]:
+                break
+            if word not in anchors:
+                anchors.append(word)
+    return [a for a in anchors if not any(b != a and b in a for b in anchors)]
+
+
 def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, line_no, template, n_common, n_unit, dice: every match of every row.
@@ -83,7 +106,11 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     most = max((bounds(len(s), threshold)[1] for s in sets.values()), default=0)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     # A word and its separator take two characters, so a very short unit has too few bigrams.
-    units = (docs.select(F.col(doc_id).alias("doc_id"), lines.alias("lines"), F.col(text).alias("all"))
+    lowered = ascii_lower(F.col(text))
+    hopeful = F.lit(False)
+    for word in anchors_of(sets, threshold):
+        hopeful = hopeful | F.contains(lowered, F.lit(word))
+    units = (docs.where(hopeful).select(F.col(doc_id).alias("doc_id"), lines.alias("lines"), F.col(text).alias("all"))
              .select("doc_id", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array("all"), "lines"))
                                             .otherwise(F.concat(F.array(F.lit("")), "lines"))).alias("at", "unit"))
              .where(F.length("unit") >= 2 * (int(least) + 1) - 1))
