@@ -69,7 +69,7 @@ def test_odd_rows(docs, labels, items):
     spans = {r.doc_id: pii_text for r in found["pii"] for pii_text in [[tuple(s) for s in r.spans]]}
     assert spans[9] == [(1, 22, 29), (3, 2, 19)] and spans[1] == [(0, 5, 20)] and spans[3] == spans[2] == []
     hits = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found["windows"]}
-    assert {(1, 6, 6, ("",)), (2, 0, 0, ()), (7, 3, 2, ("1", "4")), (4, 0, 0, ())} <= hits
+    assert {(1, 7, 7, ("",)), (2, 0, 0, ()), (7, 3, 2, ("1", "4")), (4, 0, 0, ())} <= hits
     assert {r.doc_id for r in found["clean rows"]} & {1, 7, 8, None} == set()
     assert {r.doc_id for r in found["packing"]} == {r[0] for r in ROWS}
     assert all(0 <= r.score <= 1 for r in found["toxicity"])
