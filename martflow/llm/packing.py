@@ -13,6 +13,7 @@ over hash buckets, and find their sequence by rank in a table of fixed size.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -21,8 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from martflow.llm.common import Layers, gapless
 
@@ -30,6 +31,10 @@ SIZE = 2048
 CLOSING = 1
 CACHE = 1_000_000  # words a Python worker keeps with their ids
 LONGEST_CACHED = 40
+CHUNK_BYTES = 8 << 20  # text encoded at a time
+# Latin letters with one lower-case form each, then ASCII marks.
+LETTERS_AND_MARKS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)"
+                               r"([!-/:-@\[-`{-~]*)")
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -38,27 +43,36 @@ class Encoder:
     """Ids of a tokenizer file whose pre-tokenizer never crosses white space.
 
     A text's ids are then those of its white-space separated words in turn, and
-    words recur: their ids are kept, packed, for about ``CACHE`` words.
-    Control characters that Python alone takes for white space go the plain way.
+    words recur: a chunk of texts becomes numbers of distinct words, and the ids of
+    about ``CACHE`` words are kept, packed.  A word of Latin letters and closing
+    marks has the ids of its letters and of its marks, which are looked up apart;
+    letters need neither normaliser nor patterns.  Control characters that Arrow
+    alone takes for white space go the plain way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.tokenizer, self.letters):
+            t.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> dict[str, bytes]:
-        """Ids of words of Latin letters: many as one text, taken apart by the tokenizer's word numbers."""
+        """Ids of lower-case words of letters: many as one text, taken apart by the tokenizer's word numbers."""
         out: dict[str, bytes] = {}
         for at in range(0, len(stems), 4096):
             some = stems[at:at + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            e = self.letters.encode(" ".join(some), add_special_tokens=False)
             word = np.asarray(e.word_ids)
             edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
             if len(edges) != len(some) + 1:
@@ -68,41 +82,58 @@ class Encoder:
             out.update((w, raw[4 * i:4 * j]) for w, i, j in zip(some, edges, edges[1:]))
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; a word of letters with a closing , or . is looked up without it."""
-        parts: dict[str, tuple[str, str]] = {}
-        for w in words:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if stem.isalpha() and max(stem) < "\u0250":
-                parts[w] = stem.lower() if stem.isascii() else stem, tail
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words."""
+        parts = {w: (m[1].lower(), m[2]) for w in words if (m := LETTERS_AND_MARKS.fullmatch(w))}
         ids = self._stems(list({stem for stem, _ in parts.values()}))
-        ends = dict(zip(",.", self.plain([",", "."]))) | {"": b""}
-        out = {w: ids[stem] + ends[tail] for w, (stem, tail) in parts.items()}
+        if len(self.marks) > CACHE:
+            self.marks = {"": b""}
+        new = list({marks for _, marks in parts.values()} - self.marks.keys())
+        self.marks.update(zip(new, self.plain(new)))
+        out = {w: ids[stem] + self.marks[marks] for w, (stem, marks) in parts.items()}
         odd = [w for w in words if w not in parts]
         out.update(zip(odd, self.plain(odd)))
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = self._learn(set().union(*(w for w in split if w is not None)) - known.keys())
-        known.update((w, b) for w, b in new.items() if len(w) <= LONGEST_CACHED)
-        every = {w: b for w, b in new.items() if len(w) > LONGEST_CACHED}
-        for text, words in zip(texts, split):
-            if words is None:
-                yield self.plain([text])[0]
-            elif every and not every.keys().isdisjoint(words):
-                yield b"".join([every[w] if w in every else known[w] for w in words])
-            else:
-                yield b"".join([known[w] for w in words])
+        new = self._learn([w for w in words if w not in self.known])
+        self.known.update((w, b) for w, b in new.items() if len(w) <= LONGEST_CACHED)
+        return [new[w] if w in new else self.known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, r"[\x1c-\x1f]").to_numpy(zero_copy_only=False))
+        words = pc.utf8_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        which = coded.indices.to_numpy()
+        n = lengths[which]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(lengths) - lengths)[which] - (ends - n)
+        of_all = flat[np.repeat(shift, n) + np.arange(len(n) and ends[-1])]
+        edges = np.concatenate(([0], ends))[np.cumsum([0, *words.value_lengths().to_numpy()])]
+        out = [of_all[i:j] for i, j in zip(edges, edges[1:])]
+        for i in odd:
+            out[i] = np.frombuffer(self.plain([texts[int(i)].as_py()])[0], "<u4")
+        return out
 
 
-def pieces_of(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
-    total = len(ids) // 4
-    return [(at, min(size, total - at), zlib.crc32(ids[4 * at:4 * (at + size)]), total) for at in range(0, total, size)]
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``size`` bytes, with the row each begins at."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy()) // size
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for i, j in zip(edges, edges[1:]):
+        if i < j:
+            yield i, texts.slice(i, j - i)
+
+
+def pieces_of(ids: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
+    total = len(ids)
+    return [(at, min(size, total - at), zlib.crc32(ids[at:at + size]), total) for at in range(0, total, size)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -110,20 +141,21 @@ _encoders: dict[str, Encoder] = {}
 
 def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece."""
-    @pandas_udf(f"array<struct<{PIECE.replace(' ', ':')}>>".replace(",:", ","))
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    names = [c.split()[0] for c in PIECE.split(", ")]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
-        closing = np.asarray([CLOSING], "<u4").tobytes()
-        names = ("start", "length", "ids_crc32", "doc_tokens")
-        for s in texts:
-            out = []
-            for at in range(0, len(s), 128):
-                for ids in encoder.encode([t or "" for t in s.iloc[at:at + 128]]):
-                    out.append([dict(zip(names, p)) for p in pieces_of(ids + closing, size)])
-            yield pd.Series(out)
-
-    return (docs.select(F.col(doc_id).alias("doc_id"), F.explode(pieces(F.col(text))).alias("p"))
-            .select("doc_id", "p.*"))
+        closing = np.asarray([CLOSING], "<u4")
+        for batch in batches:
+            for first, texts in chunks(batch.column(1).fill_null("")):
+                found = [pieces_of(np.concatenate((ids, closing)), size) for ids in encoder.encode(texts)]
+                row = np.repeat(np.arange(first, first + len(found)), [len(p) for p in found])
+                cols = np.asarray([p for some in found for p in some], np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), *[pa.array(c) for c in cols]], ["doc_id", *names])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(pieces, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}")
 
 
 # --- patterns ------------------------------------------------------------------

@@ -3,10 +3,12 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,9 +161,19 @@ def test_patterns_hold_every_piece():
 
 def test_encoder_equals_the_tokenizer():
     encoder = packing.Encoder(queries.TOKENIZER)
-    for text in ("Don't STOP, it's 42.5%... a.b, (x).", "\x1cé́ ΣΑΣ <|endoftext|> a b", "",
-                 "word. word, WORD", "x" * 300 + " y", "İstanbul ẞ ﬁ Å"):
-        assert [*encoder.encode([text])] == [*encoder.encode([text])] == encoder.plain([text])
+    texts = ["Don't STOP, it's 42.5%... a.b, (x).", "\x1ce\u0301 ΣΑΣ <|endoftext|> a b", "", "\u3000 \x85",
+             "word. word, WORD", "x" * 300 + " y", "İstanbul ẞ ﬁ Å", "Été***\tété&&& l'ann\u00e9e ŉ ǅ's <|endoftext|>"]
+    alphabet = "aAéÉİıŉǅµº.,*'\"<|>9 \n\t\u0301\u00a0\u1680\u2028ß\x1fσΣ字"
+    random.seed(7)
+    texts += ["".join(random.choices(alphabet, k=random.randrange(60))) for _ in range(500)]
+    for column in [*([t] for t in texts), texts]:
+        for _ in range(2):  # new words, then known ones
+            assert [ids.tobytes() for ids in encoder.encode(pa.array(column, pa.string()))] == encoder.plain(column)
+    for size in (1, 7, 1 << 20):
+        runs = list(packing.chunks(pa.array(texts), size))
+        assert [t for _, run in runs for t in run.to_pylist()] == texts
+        assert all(run[0].as_py() == texts[at] for at, run in runs)
+    assert list(packing.chunks(pa.array([], pa.string()))) == []
 
 
 def test_pii(spark, texts):
