@@ -81,5 +81,9 @@ def dimension_changes(routed: DataFrame, sink_table: str | None = None) -> DataF
 
 
 def as_columns(changes: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """The data map as text columns; an absent column is null."""
-    return changes.select(*keep, *[F.col("data")[c].alias(c) for c in columns])
+    """The data map as text columns.
+
+    ``present`` names the columns the record has: one of them that is null was
+    set to null, any other was left as it is.
+    """
+    return changes.select(*keep, *[F.col("data")[c].alias(c) for c in columns], F.map_keys("data").alias("present"))

@@ -218,8 +218,9 @@ _KEPT = """CASE WHEN contains(cols, 'id') THEN id END AS id, CASE WHEN contains(
 _ROUTED = "typed JOIN routes ON \"table\" = source_table AND op = operate_type"
 
 
-def _last(column: str) -> str:
-    return f"arg_max({column}, seq) FILTER (WHERE {column} IS NOT NULL) AS {column}"
+# Updates lack the name; a name or value that is there may be null and then clears.
+_LAST_DIM = """(arg_max({'v': name}, seq) FILTER (WHERE type <> 'update')).v AS name, arg_max({'v': value}, seq).v AS value,
+  bool_or(type <> 'update') AS has_name"""
 
 
 ORACLE: dict[str, str] = {
@@ -252,14 +253,15 @@ SELECT source_table, operate_type, 'kafka' AS sink_type, 't' || event_id AS sink
   SELECT event_type AS source_table, CAST(user_id % 7 AS VARCHAR) AS operate_type, event_id, k FROM k
   QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY event_id DESC) = 1) WHERE k % 4 <> 3""",
     "dim_upsert_latest": f"""WITH {_CHANGES},
-new AS (SELECT id, {_last('name')}, {_last('value')} FROM good GROUP BY id),
+new AS (SELECT id, {_LAST_DIM} FROM good GROUP BY id),
 cur AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(NULL AS VARCHAR) AS value FROM customer)
-SELECT coalesce(new.id, cur.id) AS id, coalesce(new.name, cur.name) AS name, coalesce(new.value, cur.value) AS value
+SELECT coalesce(new.id, cur.id) AS id, CASE WHEN has_name THEN new.name ELSE cur.name END AS name,
+  CASE WHEN new.id IS NOT NULL THEN new.value ELSE cur.value END AS value
 FROM cur FULL JOIN new ON cur.id = new.id""",
     "dim_sink_snapshots": f"""WITH {_CHANGES},
-ordered AS (SELECT id, name, value, seq + CASE WHEN "table" = 'sku_info' THEN 1000000000000 ELSE 0 END AS seq FROM good
+ordered AS (SELECT id, name, value, type, seq + CASE WHEN "table" = 'sku_info' THEN 1000000000000 ELSE 0 END AS seq FROM good
   WHERE "table" IN ('user_info', 'sku_info'))
-SELECT id, {_last('name')}, {_last('value')} FROM ordered GROUP BY id""",
+SELECT id, name, value FROM (SELECT id, {_LAST_DIM} FROM ordered GROUP BY id)""",
     "time_functions": f"""SELECT o_orderkey, strftime(o_orderdate, {_T}) AS create_time, epoch_us(o_orderdate) // 1000 AS ms,
   strftime(o_orderdate, {_T}) AS again, strftime(o_orderdate, '%Y%m%d') AS day, {_bounds('10 seconds', 'o_orderdate')} FROM orders""",
     "order_create_parts": """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS create_date,

@@ -189,16 +189,23 @@ def cdc_config_latest(spark, sf):
 _DIM = ["id", "name", "value"]
 
 
+def _dim_changes(spark, sf, *keep):
+    """Updates come without a name; elsewhere a name may be set to null."""
+    listed = F.when(F.col("type") == "update", "id,value").otherwise("id,name,value")
+    rows = routing.well_formed(_changes(spark, sf)).withColumn("data", routing.keep_columns("data", listed))
+    return routing.as_columns(rows, _DIM, keep=keep)
+
+
 def dim_upsert_latest(spark, sf):
     base = td.table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("value"))
-    rows = routing.as_columns(routing.well_formed(_changes(spark, sf)), _DIM, keep=("seq",))
+    rows = _dim_changes(spark, sf, "seq")
     return dim_sink.merge(base, dim_sink.last_values(rows, ["id"], _DIM, "seq"), ["id"], _DIM)
 
 
 def dim_sink_snapshots(spark, sf):
     """Create the table, upsert two feeds as two versions, merge, read it."""
-    rows = routing.as_columns(routing.well_formed(_changes(spark, sf)), _DIM, keep=("seq", "table"))
+    rows = _dim_changes(spark, sf, "seq", "table")
     dim = dim_sink.DimTable(fresh_dir(spark, "dim-user-info"), tuple(_DIM), ("id",))
     dim.create(spark)
     dim.upsert(rows.filter(F.col("table") == "user_info"), "seq", version=1)

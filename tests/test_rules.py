@@ -114,25 +114,34 @@ def test_envelopes(spark):
     assert [(r.type, r.data) for r in out] == [("insert", {"id": "7"}), ("read", {"id": "7"}), ("update", {"id": "7"}), ("delete", {})]
 
 
-def test_dimension_upsert_keeps_the_last_value_that_is_not_null(spark, tmp_path):
+def test_dimension_upsert_clears_on_null_and_keeps_what_is_absent(spark, tmp_path):
     table = dim_sink.DimTable(str(tmp_path / "dim"), ("id", "name", "age"), ("id",))
     table.create(spark)
-    rows = spark.createDataFrame([(1, "1", "a", None), (2, "1", "b", "3"), (3, "1", "c", None)],
-                                 "seq int, id string, name string, age string")
+    fields = "seq int, id string, name string, age string, present array<string>"
+    absent, whole = ["id", "name"], ["id", "name", "age"]
+    rows = spark.createDataFrame([(1, "1", "a", None, absent), (2, "1", "b", "3", whole), (3, "1", "c", None, absent)], fields)
     table.upsert(rows, "seq", 1)
     table.upsert(rows, "seq", 1)  # a replay changes nothing
     assert [tuple(r) for r in table.read(spark).collect()] == [("1", "c", "3")]
     more = lambda *r: spark.createDataFrame(list(r), rows.schema)
-    table.upsert(more((1, "1", None, "4"), (1, "2", "z", "9")), "seq", 2)
-    table.upsert(more((1, "2", "z", "9")), "seq", 3, deleted=spark.createDataFrame([("2",)], "id string"))
+    table.upsert(more((1, "1", None, "4", ["id", "age"]), (1, "2", "z", "9", whole)), "seq", 2)
+    table.upsert(more((1, "2", "z", "9", whole)), "seq", 3, deleted=spark.createDataFrame([("2",)], "id string"))
     read = lambda upto=None: sorted(tuple(r) for r in table.read(spark, upto).collect())
     assert read() == [("1", "c", "4")] and read(2) == [("1", "c", "4"), ("2", "z", "9")]
-    table.upsert(more((1, "2", "y", None)), "seq", 4)
+    table.upsert(more((1, "2", "y", None, absent)), "seq", 4)
     for _ in range(2):
         assert read() == [("1", "c", "4"), ("2", "y", None)]
         table.compact(spark, 3)
     table.compact(spark, 4)
     assert read() == [("1", "c", "4"), ("2", "y", None)]
+    table.upsert(more((1, "1", "d", "5", whole), (2, "1", None, "5", absent), (3, "2", None, "7", ["id", "age"])), "seq", 5)
+    for _ in range(2):
+        assert read() == [("1", None, "5"), ("2", "y", "7")]
+        table.compact(spark, 5)
+    base = spark.createDataFrame([("1", "a", "1"), ("3", "b", "2")], "id string, name string, age string")
+    last = dim_sink.last_values(rows.unionByName(more((4, "3", None, None, absent))), ["id"], ["id", "name", "age"], "seq")
+    assert sorted(map(tuple, dim_sink.merge(base, last, ["id"], ["id", "name", "age"]).collect())) == [
+        ("1", "c", "3"), ("3", None, "2")]
     assert dim_sink.key_columns("id,name") == ["id", "name"] and dim_sink.key_columns(None) == ["id"]
 
 
