@@ -49,7 +49,8 @@ def order_lines(order_info: DataFrame, order_detail: DataFrame,
         time_column(order_detail, "create_time").alias("detail_ts"))
     if watermark:
         heads, lines = heads.withWatermark("order_ts", watermark), lines.withWatermark("detail_ts", watermark)
-    joined = interval_join(heads, lines, ("head_id", "order_id"), ("order_ts", "detail_ts"), before_s, after_s)
+    joined = interval_join(heads, lines, ("head_id", "order_id"), ("order_ts", "detail_ts"), before_s, after_s,
+                           sliced=False)
     return joined.selectExpr(
         *[f"CAST(NULL AS {_UNSET[c]}) AS {c}" if c in _UNSET else c
           for c in schemas.column_names(schemas.ORDER_WIDE)], "order_ts", "detail_ts")
@@ -71,7 +72,8 @@ def payment_wide(payments: DataFrame, order_wide: DataFrame,
     wide = order_wide.withColumn("order_ts", time_column(order_wide, "create_time"))
     if watermark:
         pay, wide = pay.withWatermark("callback_ts", watermark), wide.withWatermark("order_ts", watermark)
-    joined = interval_join(pay, wide, ("pay_order_id", "order_id"), ("callback_ts", "order_ts"), before_s, after_s)
+    joined = interval_join(pay, wide, ("pay_order_id", "order_id"), ("callback_ts", "order_ts"), before_s, after_s,
+                           sliced=False)
     merged = {
         "order_create_time": F.col("create_time"),
         "order_id": F.coalesce("pay_order_id", "order_id"),

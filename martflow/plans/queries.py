@@ -35,20 +35,32 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- inputs ------------------------------------------------------------------
 
 
-def _logs(spark: SparkSession, sf: str) -> DataFrame:
-    return td.raw_logs(td.table(spark, sf, "events"))
+def _events(spark: SparkSession, sf: str, day: int | None = None, history: bool = False) -> DataFrame:
+    """Events; with ``day`` those of that day and the next, by the raw column so that
+    the scan can skip the others, with ``history`` also all before."""
+    events = td.table(spark, sf, "events")
+    if day is None:
+        return events
+    kind = events.schema["ts"].dataType.simpleString()
+    start = F.lit(dashboard.as_date(day))
+    events = events.filter(F.col("ts") < F.date_add(start, 2).cast(kind))
+    return events if history else events.filter(F.col("ts") >= start.cast(kind))
 
 
-def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return routing.page_logs(_logs(spark, sf))
+def _logs(spark: SparkSession, sf: str, day: int | None = None, history: bool = False) -> DataFrame:
+    return td.raw_logs(_events(spark, sf, day, history))
+
+
+def _pages(spark: SparkSession, sf: str, day: int | None = None) -> DataFrame:
+    return routing.page_logs(_logs(spark, sf, day))
 
 
 def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return td.order_info(td.table(spark, sf, "orders")), td.order_detail(td.table(spark, sf, "lineitem"))
 
 
-def _search_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).unionByName(td.search_logs(td.table(spark, sf, "documents")))
+def _search_pages(spark: SparkSession, sf: str, day: int | None = None) -> DataFrame:
+    return _pages(spark, sf, day).unionByName(td.search_logs(td.table(spark, sf, "documents")))
 
 
 def _as_of() -> Column:
@@ -308,9 +320,10 @@ def visitor_stats(spark, sf):
 
 
 def _product_stats(spark, sf, day=None) -> DataFrame:
-    events, lineitem, all_orders = (td.table(spark, sf, t) for t in ("events", "lineitem", "orders"))
+    events = _events(spark, sf, day)
+    lineitem, all_orders = (td.table(spark, sf, t) for t in ("lineitem", "orders"))
     return warehouse.product_stats(
-        _pages(spark, sf), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
+        _pages(spark, sf, day), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
         td.order_info(all_orders), td.order_detail(lineitem), td.payment_info(all_orders),
         td.refunds(lineitem), td.comments(lineitem), DAILY, day)
 
@@ -323,8 +336,8 @@ def product_stats_dims(spark, sf):
     return _plain(enrich.add_product(_product_stats(spark, sf), td.dims(spark, sf), price=True))
 
 
-def _province_stats(spark, sf) -> DataFrame:
-    return warehouse.province_stats(*_orders(spark, sf), td.dims(spark, sf)["province"], DAILY)
+def _province_stats(spark, sf, day=None) -> DataFrame:
+    return warehouse.province_stats(*_orders(spark, sf), td.dims(spark, sf)["province"], DAILY, day)
 
 
 def province_stats(spark, sf):
@@ -404,25 +417,31 @@ def dash_gmv_empty_day(spark, sf):
     return _plain(dashboard.gmv(_product_stats(spark, sf, 20300101), 20300101))
 
 
+def _visits(spark, sf) -> DataFrame:
+    """The day's visitor statistics."""
+    return warehouse.visitor_stats(_logs(spark, sf, VISIT_DAY, history=True), HOURLY, VISIT_DAY)
+
+
 def dash_hour(spark, sf):
-    return dashboard.visitors_by_hour(visitor_stats(spark, sf), VISIT_DAY)
+    return dashboard.visitors_by_hour(_visits(spark, sf), VISIT_DAY)
 
 
 def dash_is_new(spark, sf):
-    return _plain(dashboard.new_versus_returning(visitor_stats(spark, sf), VISIT_DAY))
+    return _plain(dashboard.new_versus_returning(_visits(spark, sf), VISIT_DAY))
 
 
 def dash_novelty(spark, sf):
-    return dashboard.visitors_by_novelty(visitor_stats(spark, sf), VISIT_DAY)
+    return dashboard.visitors_by_novelty(_visits(spark, sf), VISIT_DAY)
 
 
 def dash_map(spark, sf):
-    report = dashboard.amount_by_province(_province_stats(spark, sf), SALES_DAY)
+    report = dashboard.amount_by_province(_province_stats(spark, sf, SALES_DAY), SALES_DAY)
     return _plain(dashboard.name_value(report, "province_name", "order_amount"))
 
 
 def dash_keyword(spark, sf):
-    return dashboard.name_value(dashboard.hot_keywords(keyword_stats(spark, sf), WORD_DAY), "keyword", "ct")
+    words_of_day = warehouse.keyword_stats(_search_pages(spark, sf, WORD_DAY), HOURLY, WORD_DAY)
+    return dashboard.name_value(dashboard.hot_keywords(words_of_day, WORD_DAY), "keyword", "ct")
 
 
 def flagship(spark, sf):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -11,7 +12,7 @@ from martflow import schemas
 from martflow.functions import rates, text, times
 from martflow.operators import enrich, orders, parse, routing, stats, visits
 from martflow.operators.intervals import interval_join
-from martflow.plans import dashboard
+from martflow.plans import dashboard, queries
 from martflow.session import materialize, work_root
 from martflow.sinks import dims as dim_sink
 from martflow.sources import changes
@@ -306,3 +307,14 @@ def test_table_function_stays_in_the_jvm(spark):
     rows = spark.sql("SELECT t.word FROM VALUES ('Ab-c \u00e9'), (NULL), ('') AS v(x), LATERAL split_words(x) t")
     assert [r.word for r in rows.collect()] == ["ab", "c", "\u00e9"]
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_day_reports_push_their_day_to_the_scans(spark):
+    def pushed(query):
+        plan = queries.BATCH[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        return " ".join(line for line in plan.splitlines() if "PushedFilters" in line)
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    by_map, by_word = pushed("dash_map"), pushed("dash_keyword")
+    for column, plan in (("o_orderdate", by_map), ("l_shipdate", by_map), ("ts", by_word)):
+        assert re.search(rf"GreaterThanOrEqual\({column},", plan) and re.search(rf"LessThan\({column},", plan), column
