@@ -18,8 +18,8 @@ near copies into one component in linear work; sets whose heavy signatures hold
 one component are done.  The rest buys the dearer allocation: half as many
 segments with all one-deletion neighbours (a segment then counts for two
 differences, and longer segments are rarer).  Heavy signatures there are treated
-the same way; only what then still lies in different components within one
-signature is paired, so that no link is lost.
+the same way; what then still lies in different components within one signature
+is paired by the rarest elements of its sets, so that no link is lost.
 
 Candidates are verified on the whole sets.  Elements are 64-bit hashes of
 shingles and equal sets are one class, known by a 64-bit hash of elements and
@@ -441,11 +441,34 @@ def _by_deletions(sets: DataFrame, links: DataFrame, layers: Layers) -> DataFram
     if members.isEmpty():
         return links
     links, mixed = _pivot_rounds(members, links, sets, layers)
-    other = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "label", "size")])
-    left = (mixed.join(other, "key")
-            .where(f"cls < cls2 and label <> label2 and least(size, size2) * {DEN} >= greatest(size, size2) * {NUM}")
-            .select(F.col("cls").alias("a"), F.col("cls2").alias("b")))
-    return layers.write(links.unionByName(_verified(left, sets)))
+    return layers.write(links.unionByName(_verified(_prefix_pairs(mixed, sets), sets)))
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the members, none that links left out.
+
+    Small sets share the signature of an empty segment with many they have nothing
+    else in common with, so a signature's members are not paired as they are.  Linked
+    sets share an element among the rarest ``size - ceil(NUM * size / DEN) + 1`` of
+    each, and their places bound what they can have in common.
+    """
+    own = members.select("cls", "label", "size").distinct()
+    elements = own.join(sets, "cls").select("cls", "label", "size", F.explode("elements").alias("e"))
+    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    ranked = (elements.join(often, "e").groupBy("cls", "label", "size")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("rare")))
+    prefix = F.expr(f"slice(rare, 1, CAST(size - (({NUM} * size + {DEN - 1}) div {DEN}) + 1 AS INT))")
+    # Shared elements follow one another: a pair that met just before needs no other row.
+    before = F.expr(f"slice(p.e, greatest(at - {FEW} + 1, 1), least(at, {FEW}))")
+    left = (ranked.select("cls", "label", "size", prefix.alias("p"))
+            .select("cls", "label", "size", "p", F.posexplode("p").alias("at", "rare")).where("rare.n > 1")
+            .select("cls", "label", "size", "at", "rare.e", before.alias("before")))
+    right = left.select("e", *[F.col(c).alias(f"{c}2") for c in ("cls", "label", "size", "at", "before")])
+    most = "least(at, at2) + 1 + least(size - at, size2 - at2) - 1"
+    return left.join(right, "e").where(
+        f"cls < cls2 and label <> label2 and {NUM + DEN} * ({most}) >= {NUM} * (size + size2)"
+        " and not arrays_overlap(before, before2)"
+    ).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
