@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from martflow.session import fresh_dir
@@ -41,6 +43,15 @@ class Layers:
         layer._layer_path = path
         return layer
 
+    def free_shuffles(self) -> None:
+        """Lets Spark remove the shuffle files of layers that are written.
+
+        They go once the driver's JVM has collected the plans that made them,
+        which it otherwise does every ``spark.cleaner.periodicGC.interval``.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *layers: DataFrame) -> None:
         for layer in layers:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(layer._layer_path)

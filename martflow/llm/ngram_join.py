@@ -7,7 +7,9 @@ are equal: two linked sets share the signature of a segment.
 
 *Exact allocation.*  Every set writes one signature per non-empty segment of its
 own band and of the next lower band (sizes of a link are at most 1/t apart, as
-wide as a band).  Signatures are sorted; a signature of few sets gives pairs.
+wide as a band).  Signatures are sorted; a signature of few sets gives pairs: first
+those with its first set are verified, and then the others whose sets still lie in
+different components.
 One of many sets is *heavy* and gives none: a set that still has more than H
 light non-empty segments has met all its partners in them.
 
@@ -47,6 +49,7 @@ CHUNK = 200_000     # signature rows handed over at a time
 ROW = "key long, id long, info long"
 FOUND = "kind int, a long, b long, size long, spare long"
 DOC, OWN, LOWER = 0, 1, 2
+FIRST, HEAVY, OTHER = 1, 2, 3  # kinds of found rows besides documents
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                          0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -203,9 +206,11 @@ def _rows(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pairs_of(ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs of ids within each group of ``counts`` rows that sizes allow."""
-    found = []
+def _pairs_of(ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, starts: np.ndarray, counts: np.ndarray
+              ) -> list[np.ndarray]:
+    """Pairs of ids within each group of ``counts`` rows that sizes allow: those with
+    the group's first row, and the others."""
+    found = [], []
     for g in np.unique(counts):
         at = starts[counts == g][:, None] + np.arange(g)
         i, j = np.triu_indices(g, 1)
@@ -213,9 +218,12 @@ def _pairs_of(ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, starts: np.
         a, b = sizes[left], sizes[right]
         ok = ((np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM) & ~(lower[left] & lower[right])
               & (ids[left] != ids[right]))
+        first = np.tile(i == 0, len(at))[ok]
         left, right = ids[left[ok]], ids[right[ok]]
-        found.append(np.stack((np.minimum(left, right), np.maximum(left, right)), 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        pairs = np.stack((np.minimum(left, right), np.maximum(left, right)), 1)
+        found[0].append(pairs[first])
+        found[1].append(pairs[~first])
+    return [np.unique(np.concatenate(f), axis=0) if f else np.empty((0, 2), np.int64) for f in found]
 
 
 def _meet(few: int):
@@ -237,13 +245,13 @@ def _meet(few: int):
         if big_before is not None:
             heavy |= key[starts] == big_before
         some = (counts > 1) & ~heavy
-        pairs = _pairs_of(ids, size, kind == LOWER, starts[some], counts[some])
-        if len(pairs):
-            zero = np.zeros(len(pairs), np.int64)
-            out.append(table(1, pairs[:, 0], pairs[:, 1], zero, zero))
+        for pair_kind, pairs in zip((FIRST, OTHER), _pairs_of(ids, size, kind == LOWER, starts[some], counts[some])):
+            if len(pairs):
+                zero = np.zeros(len(pairs), np.int64)
+                out.append(table(pair_kind, pairs[:, 0], pairs[:, 1], zero, zero))
         at = np.repeat(heavy, counts)
         if at.any():
-            out.append(table(2, ids[at], key[at], size[at], kind[at] | info[at] >> 34 << 2))
+            out.append(table(HEAVY, ids[at], key[at], size[at], kind[at] | info[at] >> 34 << 2))
         last = int(key[-1])
         return out, last if heavy[-1] else None
 
@@ -329,6 +337,27 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b"))
 
 
+def _light_links(found: DataFrame, sets: DataFrame, layers: Layers, known: DataFrame | None = None) -> DataFrame:
+    """Links among the pairs of light signatures, enough of them to join all that are linked.
+
+    Only the sets' components matter, so a pair within one is not verified.
+    """
+    links = _verified(found.where(f"kind = {FIRST}"), sets)
+    links = layers.write(links if known is None else known.unionByName(links))
+    layers.free_shuffles()
+    others = layers.write(found.where(f"kind = {OTHER}").select("a", "b").distinct())
+    if others.isEmpty():
+        return links
+    ends = others.select(F.col("a").alias("v")).union(others.select("b")).distinct()
+    labels = layers.write(components(ends, links, layers))
+    apart = (others.join(labels.select(F.col("v").alias("a"), F.col("label").alias("label_a")), "a")
+             .join(labels.select(F.col("v").alias("b"), F.col("label").alias("label_b")), "b")
+             .where("label_a <> label_b"))
+    links = layers.write(links.unionByName(_verified(apart, sets)))
+    layers.free_shuffles()
+    return links
+
+
 def _sets_of(sets: DataFrame, classes: DataFrame, layers: Layers) -> DataFrame:
     """The sets that a later step needs, written by themselves: each step shuffles only its own."""
     return layers.write(sets.join(classes.select("cls").distinct(), "cls", "left_semi"))
@@ -382,12 +411,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     layers = Layers(docs.sparkSession, "ngram-join")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = layers.write(_sorted_meet(texts.mapInArrow(_rows, ROW)))
+    layers.free_shuffles()
     docs_of = found.where("kind = 0").select(
         F.col("a").alias("cls"), F.col("b").alias("doc_id"), "size",
         ((F.col("spare").bitwiseAND(16383)) - 1).alias("spare_own"),
         (F.shiftright("spare", 14) - 1).alias("spare_lower"))
-    pairs = found.where("kind = 1").select("a", "b").distinct()
-    heavy = found.where("kind = 2").select(F.col("a").alias("cls"), F.col("b").alias("key"), "size",
+    pairs = found.where(f"kind in ({FIRST}, {OTHER})").select("a", "b")
+    heavy = found.where(f"kind = {HEAVY}").select(F.col("a").alias("cls"), F.col("b").alias("key"), "size",
                                            F.expr("spare & 3").alias("role"))
 
     classes = docs_of.groupBy("cls", "size").agg(
@@ -408,7 +438,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = layers.write(texts.join(wanted_ids, F.col("doc_id").eqNullSafe(F.col("first_id")))
                         .select("wanted", "text").mapInArrow(_elements, "wanted long, cls long, elements array<long>")
                         .where("wanted = cls").select("cls", "elements").dropDuplicates(["cls"]))
-    links = layers.write(_verified(pairs, sets))
+    layers.free_shuffles()
+    links = _light_links(found, sets, layers)
 
     if not open_sets.isEmpty():
         members = layers.write(heavy.join(open_sets, "cls")
@@ -417,6 +448,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         sets = _sets_of(sets, open_sets, layers)
         links, mixed = _pivot_rounds(members, links, sets, layers)
         rest = mixed.select("cls").union(open_sets.where("sparse").select("cls"))
+        layers.free_shuffles()
         links = _by_deletions(_sets_of(sets, rest, layers), links, layers)
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
@@ -431,8 +463,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _by_deletions(sets: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
     """Links among the sets that exact segments could not settle."""
     again = layers.write(_sorted_meet(sets.select("cls", "elements").mapInArrow(_keys_again, ROW)))
-    links = layers.write(links.unionByName(_verified(again.where("kind = 1"), sets)))
-    heavy = again.where("kind = 2").select(
+    links = _light_links(again, sets, layers, links)
+    heavy = again.where(f"kind = {HEAVY}").select(
         F.col("a").alias("cls"), F.col("b").alias("key"), "size", F.expr("spare & 3").alias("role"),
         F.shiftright("spare", 2).alias("spare")).distinct()
     still = (heavy.groupBy("cls", "role", "spare").agg(F.count(F.lit(1)).alias("n")).where("n > spare")
