@@ -1,8 +1,10 @@
 """What the text operators once left out: cases beyond the test tables."""
 
+import textwrap
+
 from pyspark.sql import functions as F
 
-from martflow.llm import line_dedup
+from martflow.llm import licenses, line_dedup
 
 
 def test_lines_on_a_hundredth_of_a_large_site(spark):
@@ -13,3 +15,20 @@ def test_lines_on_a_hundredth_of_a_large_site(spark):
     got = {r.page_id: r for r in line_dedup.drop_boilerplate(pages, F.col("site")).collect()}
     assert (got[80].text, got[80].n_dropped) == ("body 80", 1) and (got[2001].text, got[2001].n_dropped) == ("body 1", 1)
     assert got[1].n_dropped == 0 and got[1000].text == got[1001].text == "a copied text\nof two lines"
+
+
+def test_notices_between_a_line_and_a_text(spark):
+    wrap = lambda name, mark: "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name], 70))
+    code = "\n".join(f"value_{i} = of the software {i}" for i in range(300))
+    short = licenses.TEMPLATES["mit-short"]
+    rows = [(1, f"{code}\n{wrap('mit', ' * ')}\n{code}"), (2, f"{code} {short} {code}"),
+            (3, f"{code}\n{wrap('gpl-3.0-notice', '# ')}\n{code}\n{wrap('gpl-3.0-notice', '')}\n{code}"),
+            (4, f"a\n{short}\n{code}"), (5, code), (6, f"{code}\n{wrap('bsd-3-clause', '// ')}\n{code}"),
+            (7, f"Released under the\nMIT License.\n{short}\n{code}")]
+    got = [(r.doc_id, r.unit, r.line_no, r.template) for r in
+           licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    lines = len(textwrap.wrap(licenses.TEMPLATES["gpl-3.0-notice"], 70))
+    assert sorted(got) == [
+        (1, "window", 300, "mit"), (2, "window", 299, "mit-short"), (3, "window", 300, "gpl-3.0-notice"),
+        (3, "window", 600 + lines, "gpl-3.0-notice"), (4, "line", 1, "mit-short"), (6, "window", 300, "bsd-3-clause"),
+        (7, "line", 2, "mit-short"), (7, "window", 0, "mit-short")]
