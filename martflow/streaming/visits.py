@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
+import tempfile
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,12 +23,16 @@ from martflow.session import use_rocksdb
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+SPOOL_BYTES = 8 << 20   # of a new device's rows kept in memory, the others on disk
+
+
 class FirstDay(StatefulProcessor):
     """Remembers the first day a device called itself new, for good.
 
     Until the day is known the device's rows of the running micro-batch are held
-    back, so that their earliest day is taken whatever order they come in; the
-    trigger's intake limit bounds them.
+    back, so that their earliest day is taken whatever order they come in.  They
+    wait in a temporary file of the task, ``SPOOL_BYTES`` of it in memory, so a
+    device may own any share of the rows.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -36,11 +42,24 @@ class FirstDay(StatefulProcessor):
         if self._first.exists():
             first = self._first.get()[0]
         else:
-            rows = list(rows)
-            first = min(pdf["day"].min() for pdf in rows)
-            self._first.update((first,))
+            first = None
+            with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as spool:
+                for pdf in rows:
+                    pickle.dump(pdf, spool)
+                    day = pdf["day"].min()
+                    first = day if first is None else min(first, day)
+                self._first.update((first,))
+                end = spool.tell()
+                spool.seek(0)
+                while spool.tell() < end:
+                    yield self._judged(pickle.load(spool), first)
+            return
         for pdf in rows:
-            yield pd.DataFrame({"value": pdf["value"], "stale": pdf["day"] != first})
+            yield self._judged(pdf, first)
+
+    @staticmethod
+    def _judged(pdf: pd.DataFrame, first: str) -> pd.DataFrame:
+        return pd.DataFrame({"value": pdf["value"], "stale": pdf["day"] != first})
 
     def close(self) -> None:
         pass
