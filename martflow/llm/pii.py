@@ -8,7 +8,9 @@ sum, mail addresses written with (at) and (dot).  Patterns and instances make a
 bipartite graph that is scored in rounds: a pattern's confidence is the score of
 its instances over *all* occurrences of its word in the corpus, so that common
 words count for little; an instance's score is the combined confidence of its
-patterns.  Candidates behind patterns of high confidence become spans, unless they
+patterns.  In each round words in front of enough distinct strings that have a score,
+discovered ones included, become patterns too; rounds go on while any is added or accepted.
+Candidates behind patterns of high confidence become spans, unless they
 overlap one found by form.
 
 Positions are code points.  Matches and the gaps between them, from the same
@@ -46,8 +48,8 @@ LOOSE = {
     "phone": r"(?<![0-9+.@-])\(?[0-9]{2,5}+\)?[\x20./-][0-9]{2,5}+(?:[\x20./-]?[0-9]{2,5}+){0,3}(?![0-9@])",
 }
 
-ROUNDS = 3
-MIN_SEEDS = 5          # distinct strings that a pattern must have been learned from
+ROUNDS = 3             # at least; more while patterns are added or accepted
+MIN_SEEDS = 5          # distinct scored strings that a pattern must stand in front of
 MIN_CONFIDENCE = 0.5
 
 SPAN = "struct<kind:int,start:int,end:int>"
@@ -147,27 +149,37 @@ def accepted_patterns(marked: DataFrame, docs: DataFrame, text: str, layers: Lay
                 .groupBy("m.kind", "m.word", "m.match").agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("seed", F.lit(seed)))
 
-    seeds, loose = edges("base", True), edges("loose", False)
-    learned = layers.write(seeds.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("strings"))
-                           .where(F.col("strings") >= MIN_SEEDS).select("kind", "word"))
-    totals = layers.write(_occurrences(docs, text, learned.select("word").distinct()))
-    graph = layers.write(seeds.unionByName(loose).join(learned, ["kind", "word"]).join(totals, "word"))
-    scores = graph.where("seed").select("kind", "match", F.lit(1.0).alias("score")).distinct()
-    patterns = None
-    for _ in range(ROUNDS):
+    # A word seen with fewer distinct strings than MIN_SEEDS never gets enough of them.
+    every = layers.write(edges("base", True).unionByName(edges("loose", False)))
+    enough = layers.write(every.groupBy("kind", "word").agg(F.count_distinct("match").alias("strings")).where(
+        F.col("strings") >= MIN_SEEDS).select("kind", "word"))
+    totals = layers.write(_occurrences(docs, text, enough.select("word").distinct()))
+    every = layers.write(every.join(enough, ["kind", "word"]).join(totals, "word"))
+    seeds = layers.write(every.where("seed").select("kind", "match", F.lit(1.0).alias("score")).distinct())
+    scores, words, patterns, before, rounds = seeds, None, None, None, 0
+    while True:
+        # Words in front of enough distinct strings that are seeds or were discovered so far.
+        reached = every.join(scores.where("score > 0"), ["kind", "match"]).groupBy("kind", "word").agg(
+            F.count_distinct("match").alias("strings")).where(F.col("strings") >= MIN_SEEDS).select("kind", "word")
+        words = layers.write(reached)
+        graph = every.join(words, ["kind", "word"])
         # A word that stands in front of the string without white space ("tel:") is no
         # word of the text by itself: its strings are then all its occurrences.
-        reached = (graph.join(scores, ["kind", "match"], "left")
-                   .groupBy("kind", "word").agg(F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("mass"),
-                                                F.sum("n").alias("behind"), F.first("total").alias("total")))
-        patterns = layers.write(reached.select(
+        mass = (graph.join(scores, ["kind", "match"], "left")
+                .groupBy("kind", "word").agg(F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("mass"),
+                                             F.sum("n").alias("behind"), F.first("total").alias("total")))
+        patterns = layers.write(mass.select(
             "kind", "word", (F.col("mass") / F.greatest("total", "behind")).alias("confidence")))
         sure = patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
+        # Scores never fall, so both numbers only grow and the rounds end.
+        now, rounds = (words.count(), sure.count()), rounds + 1
+        if now == before and rounds >= ROUNDS:
+            return sure
+        before = now
         miss = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-        scores = layers.write(graph.join(sure, ["kind", "word"]).groupBy("kind", "match").agg(
-            F.max("seed").alias("seed"), (F.lit(1.0) - F.exp(miss)).alias("s")).select(
-            "kind", "match", F.when(F.col("seed"), 1.0).otherwise(F.col("s")).alias("score")))
-    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
+        found = graph.join(sure, ["kind", "word"]).groupBy("kind", "match").agg((F.lit(1.0) - F.exp(miss)).alias("score"))
+        # A seed keeps its score whatever stands in front of it.
+        scores = layers.write(found.unionByName(seeds).groupBy("kind", "match").agg(F.max("score").alias("score")))
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

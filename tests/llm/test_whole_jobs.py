@@ -4,7 +4,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from martflow.llm import licenses, line_dedup
+from martflow.llm import licenses, line_dedup, pii
 
 
 def test_lines_on_a_hundredth_of_a_large_site(spark):
@@ -32,3 +32,17 @@ def test_notices_between_a_line_and_a_text(spark):
         (1, "window", 300, "mit"), (2, "window", 299, "mit-short"), (3, "window", 300, "gpl-3.0-notice"),
         (3, "window", 600 + lines, "gpl-3.0-notice"), (4, "line", 1, "mit-short"), (6, "window", 300, "bsd-3-clause"),
         (7, "line", 2, "mit-short"), (7, "window", 0, "mit-short")]
+
+
+def test_discovered_identifiers_make_patterns(spark):
+    rows = [(i, f"write to tel: +1 (555) 000-{1000 + i} today") for i in range(12)]
+    loose = [f"555-000-{4000 + i}" for i in range(6)]
+    rows += [(100 + i, f"write to tel: {x} today") for i, x in enumerate(loose)]
+    rows += [(200 + i, f"send a fax: {x} today") for i, x in enumerate(loose)]
+    rows += [(300, "send a fax: 555-777-9999 today"), (301, "the sum 555-777-9998 is a number")]
+    rows += [(400 + i, f"ring cell: +1 (555) 111-{2000 + i}") for i in range(3)]      # too few seeds alone
+    rows += [(410 + i, f"ring cell: {x}") for i, x in enumerate(loose[:3])] + [(420, "ring cell: 555-222-3333")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in
+           pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [(3, 14, 26)] and got[200] == [(3, 12, 24)]
+    assert got[300] == [(3, 12, 24)] and got[301] == [] and got[420] == [(3, 11, 23)]
