@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martflow.llm import (decision_list, decontam, hash_tree, licenses, line_dedup, ngram_join, packing, pii, toxicity,
-                          warc)
+from martflow.llm import (decision_list, decontam, hash_tree, importance, licenses, line_dedup, ngram_join, packing,
+                          periodic, pii, toxicity, warc)
 from martflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -71,9 +71,23 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf, "documents"), rewrite=periodic.planted_tail)
+    best = periodic.longest("runs")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[c.alias(n) for n, c in {
+        "start": -best["start"], "length": best["length"], "period": -best["period"],
+        "exponent_milli": F.call_function("div", 1000 * best["length"], -best["period"]),
+        "runs_sha256": F.sha2(periodic.runs_text("runs").cast("binary"), 256),
+        "collapsed_sha256": F.sha2(F.col("kept").cast("binary"), 256)}.items()])
+
+
 QUERIES = {q.__name__: q for q in (
     op1_line_dedup, op2_quality_rules, op3_hash_tree, op4_ngram_join, op5_toxicity, op6_warc, op7_packing,
-    op8_license_scan, op9_pii, op10_decontamination)}
+    op8_license_scan, op9_pii, op10_decontamination, op11_importance, op13_periodic_runs)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,4 +182,28 @@ it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    # DuckDB has no CRC-32: the table of its 256 steps is made from the polynomial.
+    "op11_importance": rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+src AS (SELECT 'd' AS side, doc_id, {_words_sql(_LOWER.format('text'), _CLASS)} AS w FROM documents
+        UNION ALL SELECT 'b', NULL, {_words_sql(_LOWER.format('text'), _CLASS)} FROM benchmark),
+e AS (SELECT side, doc_id, unnest(w) AS word FROM src),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM e)),
+b AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, strlen(h), 2),
+        lambda i: CAST('0x' || substr(h, CAST(i + 1 AS BIGINT), 2) AS BIGINT))),
+        lambda c, x: xor(c >> 8, steps[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) % {importance.BUCKETS} AS bucket
+      FROM v, crc),
+n AS (SELECT bucket, CAST(count(*) FILTER (WHERE side = 'd') AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS t
+      FROM e JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + {importance.BUCKETS})
+        / ((s + 1) * (sum(t) OVER () + {importance.BUCKETS})))) AS BIGINT) AS gain FROM n),
+f AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM e JOIN b USING (word) JOIN g USING (bucket)
+      WHERE side = 'd' GROUP BY doc_id),
+scores AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(
+        -1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM src LEFT JOIN f USING (doc_id) WHERE side = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT {importance.DRAW} * count(*) // {importance.OF} FROM r)
+    THEN rank END AS rank FROM scores LEFT JOIN r USING (doc_id)""",
 }
