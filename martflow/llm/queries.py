@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martflow.llm import (decision_list, decontam, hash_tree, importance, licenses, line_dedup, ngram_join, packing,
-                          periodic, pii, toxicity, warc)
+from martflow.llm import (decision_list, decontam, hash_tree, importance, licenses, line_dedup, minhash, ngram_join,
+                          packing, periodic, pii, toxicity, warc)
 from martflow.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,10 @@ def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
     return importance.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op12_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     found = periodic.periodic_runs(table(spark, sf, "documents"), rewrite=periodic.planted_tail)
     best = periodic.longest("runs")
@@ -87,7 +91,7 @@ def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_line_dedup, op2_quality_rules, op3_hash_tree, op4_ngram_join, op5_toxicity, op6_warc, op7_packing,
-    op8_license_scan, op9_pii, op10_decontamination, op11_importance, op13_periodic_runs)}
+    op8_license_scan, op9_pii, op10_decontamination, op11_importance, op12_minhash, op13_periodic_runs)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,6 +104,26 @@ def _words_sql(text: str, separator: str) -> str:
     return f"list_filter({split}, lambda x: x <> '')"
 
 
+# A document's distinct shingles, links between them, and what links reach.
+_JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, {words} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + {width} - 1], ' ') FOR i IN range(1, len(w) - {width} + 2)]) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {num} * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id{kept}
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a"""
+
+
+def _jaccard(width: int, num: int, more: str = "") -> str:
+    return _JACCARD.format(words=_words_sql(_LOWER.format("text"), _SPACED), width=width, num=num, kept=more)
+
+
 def _template_rows() -> str:
     rows = []
     for name, text in licenses.TEMPLATES.items():
@@ -130,19 +154,8 @@ marked AS (SELECT b.*, o.k IS NOT NULL AS gone FROM bare b LEFT JOIN often o
 SELECT tbl, row_id, site, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
        count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
 FROM marked GROUP BY tbl, row_id, site""",
-    "op4_ngram_join": rf"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, {_words_sql(_LOWER.format('text'), _SPACED)} AS w FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
-e AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id
-FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a""",
+    "op4_ngram_join": _jaccard(5, 80),
+    "op12_minhash": _jaccard(minhash.WIDTH, minhash.NUM, ", s.doc_id = c.component_id AS kept"),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p),
