@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, TimestampType
 
 from martflow.settings import DAY_FORMAT, TIMESTAMP_FORMAT
 
@@ -14,8 +14,14 @@ def from_text(c: str | Column) -> Column:
 
 
 def time_column(df: DataFrame, name: str) -> Column:
-    """A time column that holds timestamps (tables) or text (topics)."""
-    return from_text(name) if isinstance(df.schema[name].dataType, StringType) else F.col(name).cast("timestamp")
+    """A time column that holds timestamps (tables) or text (topics).
+
+    A timestamp is handed on as it is, with the watermark it may carry.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, TimestampType):
+        return F.col(name)
+    return from_text(name) if isinstance(kind, StringType) else F.col(name).cast("timestamp")
 
 
 def to_text(c: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from martflow import schemas, settings
 from martflow.functions.times import time_column
 from martflow.operators.intervals import interval_join
+from martflow.operators.repeats import each_once
 
 
 def with_create_parts(orders: DataFrame) -> DataFrame:
@@ -30,11 +31,12 @@ _UNSET = {
 def order_lines(order_info: DataFrame, order_detail: DataFrame,
                 before_s: float = settings.ORDER_JOIN_BEFORE_S,
                 after_s: float = settings.ORDER_JOIN_AFTER_S,
-                watermark: str | None = None) -> DataFrame:
+                watermark: str | None = None, replayed: bool = False) -> DataFrame:
     """Join heads and lines into order_wide rows, dimension columns still null.
 
     ``order_ts`` (head time) and ``detail_ts`` come on top of the order_wide
-    columns.  Times and money of the head repeat on each line.
+    columns.  Times and money of the head repeat on each line.  ``replayed`` inputs
+    may deliver a record again: each counts once.
     """
     head_columns = ["province_id", "order_status", "user_id", "total_amount", "activity_reduce_amount",
                     "coupon_reduce_amount", "original_total_amount", "feight_fee", "create_time",
@@ -47,7 +49,10 @@ def order_lines(order_info: DataFrame, order_detail: DataFrame,
         F.col("id").alias("detail_id"), "order_id", "sku_id", "order_price", "sku_num", "sku_name",
         "split_activity_amount", "split_coupon_amount", "split_total_amount",
         time_column(order_detail, "create_time").alias("detail_ts"))
-    if watermark:
+    if replayed:
+        heads = each_once(heads, "order_ts", ["head_id"], watermark)
+        lines = each_once(lines, "detail_ts", ["detail_id"], watermark)
+    elif watermark:
         heads, lines = heads.withWatermark("order_ts", watermark), lines.withWatermark("detail_ts", watermark)
     joined = interval_join(heads, lines, ("head_id", "order_id"), ("order_ts", "detail_ts"), before_s, after_s,
                            sliced=False)
@@ -59,19 +64,27 @@ def order_lines(order_info: DataFrame, order_detail: DataFrame,
 def payment_wide(payments: DataFrame, order_wide: DataFrame,
                  before_s: float = settings.PAYMENT_JOIN_BEFORE_S,
                  after_s: float = settings.PAYMENT_JOIN_AFTER_S,
-                 watermark: str | None = None) -> DataFrame:
+                 watermark: str | None = None, replayed: bool = False) -> DataFrame:
     """Payments with the lines of their order, created within ``before_s`` before
     the callback.  Where both sides name a column the payment's value wins.
     ``callback_ts`` and ``order_ts`` come on top of the payment_wide columns.
+    ``replayed`` inputs may deliver a record again: each counts once.  An
+    ``order_wide`` that still has its ``order_ts``, with a watermark if it is a
+    stream, is joined by it.
     """
     pay = payments.select(
         F.col("id").alias("payment_id"), F.col("order_id").alias("pay_order_id"),
         F.col("user_id").alias("pay_user_id"), F.col("total_amount").alias("pay_total_amount"),
         "subject", "payment_type", F.col("create_time").alias("payment_create_time"), "callback_time",
         time_column(payments, "callback_time").alias("callback_ts"))
-    wide = order_wide.withColumn("order_ts", time_column(order_wide, "create_time"))
-    if watermark:
-        pay, wide = pay.withWatermark("callback_ts", watermark), wide.withWatermark("order_ts", watermark)
+    chained = "order_ts" in order_wide.columns
+    wide = order_wide if chained else order_wide.withColumn("order_ts", time_column(order_wide, "create_time"))
+    if replayed:
+        pay = each_once(pay, "callback_ts", ["payment_id"], watermark)
+        wide = wide if chained else each_once(wide, "order_ts", ["detail_id"], watermark)
+    elif watermark:
+        pay = pay.withWatermark("callback_ts", watermark)
+        wide = wide if chained else wide.withWatermark("order_ts", watermark)
     joined = interval_join(pay, wide, ("pay_order_id", "order_id"), ("callback_ts", "order_ts"), before_s, after_s,
                            sliced=False)
     merged = {

@@ -41,6 +41,11 @@ def well_formed(changes: DataFrame) -> DataFrame:
     return changes.filter((F.length("table") > 0) & (F.size("data") > 0))
 
 
+def ill_formed(changes: DataFrame) -> DataFrame:
+    """The records that ``well_formed`` leaves out."""
+    return changes.filter(~F.coalesce((F.length("table") > 0) & (F.size("data") > 0), F.lit(False)))
+
+
 def lookup_type(operation: str = "type") -> Column:
     """Rows replayed from history route like inserts."""
     return F.when(F.col(operation) == "bootstrap-insert", "insert").otherwise(F.col(operation))

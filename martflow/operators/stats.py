@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from martflow import settings
 from martflow.functions.text import words
 from martflow.functions.times import from_millis, time_column, to_text
+from martflow.operators.repeats import each_once
+from martflow.sources.topics import with_clock
 
 _SUM = "decimal(28,2)"
 
@@ -30,29 +32,33 @@ def _bounds() -> list[Column]:
 
 _VISITOR_METRICS = ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
 _VISITOR_KEYS = ["vc", "ch", "ar", "is_new"]
+_PAGE_METRICS = {"pv_ct": "1", "sv_ct": "if(coalesce(page.last_page_id, '') = '', 1, 0)",
+                 "dur_sum": "coalesce(page.during_time, 0)"}
 
 
-def _visitor_rows(logs: DataFrame, **metrics: str) -> DataFrame:
+def _visitor_rows(logs: DataFrame, *keep: str, **metrics: str) -> DataFrame:
     return logs.selectExpr(
-        "timestamp_millis(ts) AS ts", *[f"common.{k} AS {k}" for k in _VISITOR_KEYS],
+        "timestamp_millis(ts) AS ts", *keep, *[f"common.{k} AS {k}" for k in _VISITOR_KEYS],
         *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _VISITOR_METRICS])
 
 
-def _late(rows: DataFrame, watermark: str | None) -> DataFrame:
+def _late(rows: DataFrame, watermark: str) -> DataFrame:
     """A watermark of the input's own: the slowest input then holds the windows open."""
-    return rows.withWatermark("ts", watermark) if watermark else rows
+    return rows.withWatermark("ts", watermark)
 
 
 def visitor_rows(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, watermark: str | None = None) -> DataFrame:
     """One metric row per page, unique visitor and bounce.
 
     With a ``watermark`` each input has its own.  An input without any row yet
-    holds all windows open.
+    holds all windows open.  A unique visitor that is delivered again counts once.
     """
-    parts = [_visitor_rows(pages, pv_ct="1", sv_ct="if(coalesce(page.last_page_id, '') = '', 1, 0)",
-                           dur_sum="coalesce(page.during_time, 0)"),
-             _visitor_rows(uniques, uv_ct="1"), _visitor_rows(jumps, uj_ct="1")]
-    first, *rest = [_late(p, watermark) for p in parts]
+    if watermark:
+        first = each_once(_visitor_rows(uniques, "common.mid AS mid", uv_ct="1"), "ts", ["mid"], watermark).drop("mid")
+        pages, jumps = _late(_visitor_rows(pages, **_PAGE_METRICS), watermark), _late(_visitor_rows(jumps, uj_ct="1"), watermark)
+        return pages.unionByName(first).unionByName(jumps)
+    parts = [_visitor_rows(pages, **_PAGE_METRICS), _visitor_rows(uniques, uv_ct="1"), _visitor_rows(jumps, uj_ct="1")]
+    first, *rest = parts
     for part in rest:
         first = first.unionByName(part)
     return first
@@ -74,12 +80,10 @@ _ORDER_KINDS = {"order": "order_ct", "paid": "paid_order_ct", "refund": "refund_
 
 def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None = None,
                   **metrics: str) -> DataFrame:
-    """SQL expressions by metric; the others are zero.  ``ts`` is a time column
-    or an expression; ``kind`` says which distinct-order count the row's
-    ``order_id`` feeds."""
+    """SQL expressions by metric; the others are zero.  ``ts`` is a time column;
+    ``kind`` says which distinct-order count the row's ``order_id`` feeds."""
     order = [f"'{kind}'", "order_id"] if kind else ["NULL", "NULL"]
-    time = F.expr(ts) if "(" in ts else time_column(df, ts)
-    return df.withColumn("row_time", time).selectExpr(
+    return df.withColumn("row_time", time_column(df, ts)).selectExpr(
         "row_time AS ts", f"try_cast({sku} AS BIGINT) AS sku_id",
         f"CAST({order[0]} AS STRING) AS order_kind", f"CAST({order[1]} AS BIGINT) AS order_id",
         *[f"CAST({metrics.get(m, '0')} AS BIGINT) AS {m}" for m in _COUNTS],
@@ -87,18 +91,28 @@ def _product_rows(df: DataFrame, ts: str, sku: str = "sku_id", kind: str | None
         *[f"CAST({metrics.get(m, '0')} * 100 AS BIGINT) AS {m}" for m in _AMOUNTS])
 
 
-_LOG_TIME = "timestamp_millis(ts)"
-
+def _timed(df: DataFrame, time: str, keys: list[str], watermark: str | None, idle_s: float | None) -> DataFrame:
+    """The input with its time column as a timestamp and a watermark of its own;
+    records with ``keys`` count once if they are delivered again."""
+    df = df.withColumn(time, time_column(df, time))
+    if watermark is None:
+        return df
+    timed = with_clock(df, time, watermark, idle_s)
+    return each_once(timed, time, keys) if keys else timed
 
-def click_rows(pages: DataFrame) -> DataFrame:
-    clicks = pages.filter(F.col("page.page_id") == settings.PAGE_GOOD_DETAIL)
-    return _product_rows(clicks, _LOG_TIME, "page.item", click_ct="1")
 
+def page_rows(pages: DataFrame, watermark: str | None = None) -> DataFrame:
+    """One row per click and exposure, from one reading of the pages.
 
-def display_rows(pages: DataFrame) -> DataFrame:
-    shown = (pages.select("ts", F.explode("displays").alias("d"))
-             .filter(F.col("d.item_type") == settings.ITEM_SKU))
-    return _product_rows(shown, _LOG_TIME, "d.item", display_ct="1")
+    On a stream every page moves the watermark, not only clicks and exposures.
+    """
+    timed = pages.select("page", "displays", from_millis("ts").alias("at"))
+    timed = timed.withWatermark("at", watermark) if watermark else timed
+    metric = lambda sku, click: F.struct(sku.alias("sku"), F.lit(click).alias("click"))
+    shown = F.transform(F.filter("displays", lambda d: d["item_type"] == settings.ITEM_SKU), lambda d: metric(d["item"], 0))
+    clicked = F.when(F.col("page.page_id") == settings.PAGE_GOOD_DETAIL, F.array(metric(F.col("page.item"), 1)))
+    rows = timed.select("at", F.explode(F.concat(*[F.coalesce(m, F.array()) for m in (clicked, shown)])).alias("m"))
+    return _product_rows(rows, "at", "m.sku", click_ct="m.click", display_ct="1 - m.click")
 
 
 def favor_rows(favors: DataFrame) -> DataFrame:
@@ -130,22 +144,30 @@ def comment_rows(comments: DataFrame) -> DataFrame:
 
 def product_rows(pages: DataFrame, favors: DataFrame, carts: DataFrame, order_wide: DataFrame,
                  payment_wide: DataFrame, refunds: DataFrame, comments: DataFrame,
-                 watermark: str | None = None) -> DataFrame:
+                 watermark: str | None = None, idle_s: float | None = None) -> DataFrame:
     """One metric row per click, exposure, favourite, cart addition, ordered
     line, paid line, refund and comment.
 
-    With a ``watermark``, orders and payments, which come through further jobs,
-    have one each, and what comes straight from the raw layer has one together:
-    windows stay open for the slowest of the three.  Refunds or comments may be
-    idle; without any order or payment yet no window closes.
+    With a ``watermark`` each of the seven inputs has one of its own, and a window
+    stays open for the slowest: what comes through further jobs, or lies in a topic
+    that lags, still counts.  An input without any row holds all windows, or,
+    with ``idle_s``, for so many seconds (``sources.topics.with_clock``).  Ordered and paid
+    lines and refunds count once if they are delivered again; favourites, cart
+    additions and comments have no key to tell a repeat by.
     """
-    direct = [click_rows(pages), display_rows(pages), favor_rows(favors), cart_rows(carts), refund_rows(refunds),
-              comment_rows(comments)]
-    union = direct[0]
-    for part in direct[1:]:
+    timed = lambda df, time, *keys: _timed(df, time, list(keys), watermark, idle_s)
+    parts = [page_rows(pages, watermark), favor_rows(timed(favors, "create_time")), cart_rows(timed(carts, "create_time")),
+             order_rows(timed(order_wide, "create_time", *_of(order_wide, "detail_id", "order_id"))),
+             payment_rows(timed(payment_wide, "callback_time", *_of(payment_wide, "payment_id", "detail_id"))),
+             refund_rows(timed(refunds, "create_time", "order_id", "sku_id")), comment_rows(timed(comments, "create_time"))]
+    union = parts[0]
+    for part in parts[1:]:
         union = union.unionByName(part)
-    return (_late(union, watermark).unionByName(_late(order_rows(order_wide), watermark))
-            .unionByName(_late(payment_rows(payment_wide), watermark)))
+    return union
+
+
+def _of(df: DataFrame, *names: str) -> list[str]:
+    return [n for n in names if n in df.columns]
 
 
 def product_stats(rows: DataFrame, window: str = settings.STATS_WINDOW, watermark: str | None = None) -> DataFrame:
@@ -169,9 +191,13 @@ _PROVINCE_KEYS = {"province_id": "province_id", "province_name": "province_name"
 
 
 def province_stats(order_wide: DataFrame, window: str = settings.STATS_WINDOW,
-                   watermark: str | None = None) -> DataFrame:
-    rows = order_wide.select(time_column(order_wide, "create_time").alias("ts"), "order_id", "split_total_amount",
-                             *[F.col(c).alias(n) for c, n in _PROVINCE_KEYS.items()])
+                   watermark: str | None = None, replayed: bool = False) -> DataFrame:
+    """``replayed`` input may deliver a line again: it counts once."""
+    timed = order_wide.withColumn("create_time", time_column(order_wide, "create_time"))
+    if replayed:
+        timed, watermark = each_once(timed, "create_time", ["detail_id"], watermark), None
+    rows = timed.select(F.col("create_time").alias("ts"), "order_id", "split_total_amount",
+                        *[F.col(c).alias(n) for c, n in _PROVINCE_KEYS.items()])
     rows, w = _windowed(rows, window, watermark)
     keys = list(_PROVINCE_KEYS.values())
     per_order = rows.groupBy(w, *keys, "order_id").agg(F.sum("split_total_amount").alias("amount"))

@@ -26,7 +26,7 @@ def repair_is_new(logs: DataFrame) -> DataFrame:
     claims = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
     claiming = logs.filter(claims)
     first = claiming.groupBy(F.col("common.mid").alias("first_mid")).agg(F.min(day).alias("first_day"))
-    joined = claiming.join(first, F.col("common.mid") == F.col("first_mid"))
+    joined = claiming.join(first, F.col("common.mid").eqNullSafe(F.col("first_mid")))
     flag = F.when(F.col("first_day") == day, "1").otherwise("0")
     fixed = joined.withColumn("common", F.col("common").withField("is_new", flag)).drop("first_mid", "first_day")
     return logs.filter(~claims).unionByName(fixed.select(*logs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from martflow.plans.queries import AS_OF
+from martflow.streaming.replay import CHANGED_ROUTES, CONFIG_CUT, CUT, EVENT_SHIFT_DAYS, GONE_ROUTES
 
 # --- shared table expressions ------------------------------------------------
 
@@ -130,16 +131,18 @@ visitor_stats AS (
 
 _SECONDS = "date_trunc('second', ts)"
 
-_PRODUCT_STATS = _LOGS + ",\n" + _DISPLAYS + ",\n" + _LINES + ",\n" + _PAID + f""",
+def _product_stats(shift: str = "", closed: str = "") -> str:
+    """``shift`` moves the events in time, ``closed`` picks the windows."""
+    return _LOGS + ",\n" + _DISPLAYS + ",\n" + _LINES + ",\n" + _PAID + f""",
 metrics AS (
-  SELECT make_timestamp(ts * 1000) AS ts, CAST(item AS BIGINT) AS sku_id, 0 AS display, 1 AS click, 0 AS favor, 0 AS cart, 0 AS num,
+  SELECT make_timestamp(ts * 1000){shift} AS ts, CAST(item AS BIGINT) AS sku_id, 0 AS display, 1 AS click, 0 AS favor, 0 AS cart, 0 AS num,
     0 AS cmt, 0 AS good, CAST(0 AS {_MONEY}) AS oa, CAST(0 AS {_MONEY}) AS pa, CAST(0 AS {_MONEY}) AS ra,
     CAST(NULL AS BIGINT) AS oid, CAST(NULL AS BIGINT) AS pid, CAST(NULL AS BIGINT) AS rid
   FROM pages WHERE page_id = 'good_detail'
-  UNION ALL SELECT make_timestamp(CAST(ts AS BIGINT) * 1000), CAST(item AS BIGINT), 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL
+  UNION ALL SELECT make_timestamp(CAST(ts AS BIGINT) * 1000){shift}, CAST(item AS BIGINT), 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL
   FROM displays WHERE item_type = 'sku_id'
-  UNION ALL SELECT {_SECONDS}, k, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL FROM k WHERE event_type = 'click'
-  UNION ALL SELECT {_SECONDS}, k, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL FROM k WHERE event_type = 'purchase'
+  UNION ALL SELECT {_SECONDS}{shift}, k, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL FROM k WHERE event_type = 'click'
+  UNION ALL SELECT {_SECONDS}{shift}, k, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, NULL, NULL, NULL FROM k WHERE event_type = 'purchase'
   UNION ALL SELECT order_ts, sku_id, 0, 0, 0, 0, sku_num, 0, 0, split_total_amount, 0, 0, order_id, NULL, NULL FROM lines
   UNION ALL SELECT callback_ts, sku_id, 0, 0, 0, 0, 0, 0, 0, 0, split_total_amount, 0, NULL, order_id, NULL FROM paid
   UNION ALL SELECT l_shipdate, l_partkey, 0, 0, 0, 0, 0, 0, 0, 0, 0, {_AMOUNT}, NULL, NULL, l_orderkey FROM lineitem
@@ -152,7 +155,10 @@ product_stats AS (
     CAST(sum(cmt) AS BIGINT) AS comment_ct, CAST(sum(good) AS BIGINT) AS good_comment_ct,
     sum(oa) AS order_amount, sum(pa) AS payment_amount, sum(ra) AS refund_amount,
     count(DISTINCT oid) AS order_ct, count(DISTINCT pid) AS paid_order_ct, count(DISTINCT rid) AS refund_order_ct
-  FROM metrics GROUP BY stt, edt, sku_id)"""
+  FROM metrics {closed} GROUP BY stt, edt, sku_id)"""
+
+
+_PRODUCT_STATS = _product_stats()
 
 _PRODUCT_COLUMNS = """stt, edt, sku_id, display_ct, click_ct, favor_ct, cart_ct, order_sku_num, comment_ct, good_comment_ct,
   CAST(order_amount AS DOUBLE) AS order_amount, CAST(payment_amount AS DOUBLE) AS payment_amount,
@@ -294,6 +300,13 @@ SELECT {_PRODUCT_COLUMNS}, sku_name, skus.spu_id, spu_name, skus.category3_id, c
     "province_stats": f"""WITH {_PROVINCE_STATS} SELECT * REPLACE (CAST(order_amount AS DOUBLE) AS order_amount) FROM province_stats""",
     "keyword_stats": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
     "keyword_stats_sql": f"WITH {_KEYWORD_STATS} SELECT * FROM keyword_stats",
+    "keyword_stats_dictionary": f"""WITH dictionary AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part),
+longest_first AS (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) AS p FROM dictionary WHERE word <> ''),
+keyword_rows AS (SELECT unnest(regexp_extract_all(lower(replace(p_name, ' ', '')), p)) AS keyword, l_shipdate AS ts
+  FROM lineitem JOIN part ON l_partkey = p_partkey, longest_first)
+SELECT keyword, count(*) AS ct, 'SEARCH' AS source, {_bounds('1 day')} FROM keyword_rows GROUP BY keyword, stt, edt""",
+    "customer_estimates": " UNION ALL ".join(f"""SELECT '{span}' AS span, strftime(date_trunc('{span}', o_orderdate), {_T}) AS start,
+  count(DISTINCT o_custkey) AS customer_ct, true AS close FROM orders GROUP BY date_trunc('{span}', o_orderdate)""" for span in ("month", "year")),
     "word_counts": _WORD_COUNTS,
     "udtf_tokens": _WORD_COUNTS,
     "stats_table": f"WITH {_VISITOR_STATS} SELECT * FROM visitor_stats WHERE stt LIKE '2024-01-03%'",
@@ -332,9 +345,25 @@ def _closed(width: str, ts: str, last: str, delay: str = "3 seconds") -> str:
     return f"time_bucket(INTERVAL '{width}', {ts}) + INTERVAL '{width}' <= {last} - INTERVAL '{delay}'"
 
 
+def _route_keys(rows: list[tuple]) -> str:
+    return ", ".join(f"('{r[0]}', '{r[1]}')" for r in rows)
+
+
 _PAGE_TIME = "make_timestamp(ts * 1000)"
+_SHIFT = f" - INTERVAL {EVENT_SHIFT_DAYS} DAYS"
+# The watermark of the slowest of seven inputs, less its delay.
+_SLOWEST = f"""least((SELECT max({_PAGE_TIME}){_SHIFT} FROM pages), (SELECT max({_SECONDS}){_SHIFT} FROM k WHERE event_type = 'click'),
+  (SELECT max({_SECONDS}){_SHIFT} FROM k WHERE event_type = 'purchase'), (SELECT max(order_ts) FROM lines),
+  (SELECT max(callback_ts) FROM paid), (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag = 'R'),
+  (SELECT max(l_shipdate) FROM lineitem))"""
 _TIMEOUT = "INTERVAL '4 hours'"
 
+_STREAM_PROVINCES = f"""WITH {_LINES}, {_DIMS}
+SELECT {_bounds('1 day', 'order_ts')}, province_id, province_name, province_area_code AS area_code, province_iso_code AS iso_code,
+  province_3166_2_code AS iso_3166_2, CAST(sum(split_total_amount) AS DOUBLE) AS order_amount, count(DISTINCT order_id) AS order_count
+FROM lines LEFT JOIN provinces ON province_id = provinces.id
+WHERE {_closed('1 day', 'order_ts', '(SELECT max(order_ts) FROM lines)')} GROUP BY ALL"""
+
 ORACLE.update({
     "stream_is_new_repair": ORACLE["is_new_repair"],
     "stream_unique_visitor": ORACLE["unique_visitor"],
@@ -342,33 +371,45 @@ ORACLE.update({
 WHERE time_bucket({_TIMEOUT}, {_PAGE_TIME}) + {_TIMEOUT} + {_TIMEOUT} <= (SELECT max({_PAGE_TIME}) FROM pages)""",
     "stream_order_join": f"""WITH {_LINES} SELECT detail_id, order_id, sku_id, sku_num, user_id, create_time,
   strftime(detail_ts, {_T}) AS detail_time FROM lines""",
-    "stream_visitor_stats": f"""WITH {_LOGS},
-jumps AS (SELECT * FROM {_uj('pages')}
+    "stream_visitor_stats": f"""WITH {_REPAIRED},
+jumps AS (SELECT * FROM {_uj('repaired_pages')}
   WHERE time_bucket({_TIMEOUT}, {_PAGE_TIME}) + {_TIMEOUT} + {_TIMEOUT} <= (SELECT max({_PAGE_TIME}) FROM pages)),
-uniques AS (SELECT * FROM {_uv('pages')}),
+uniques AS (SELECT * FROM {_uv('repaired_pages')}),
 rows_ AS (
   SELECT vc, ch, ar, is_new, ts, 0 AS uv, 1 AS pv, CASE WHEN coalesce(last_page_id, '') = '' THEN 1 ELSE 0 END AS sv, 0 AS uj,
-    coalesce(during_time, 0) AS dur FROM pages
+    coalesce(during_time, 0) AS dur FROM repaired_pages
   UNION ALL SELECT vc, ch, ar, is_new, ts, 1, 0, 0, 0, 0 FROM uniques
   UNION ALL SELECT vc, ch, ar, is_new, ts, 0, 0, 0, 1, 0 FROM jumps)
 SELECT {_bounds('1 hour', _PAGE_TIME)}, vc, ch, ar, is_new, CAST(sum(uv) AS BIGINT) AS uv_ct, CAST(sum(pv) AS BIGINT) AS pv_ct,
   CAST(sum(sv) AS BIGINT) AS sv_ct, CAST(sum(uj) AS BIGINT) AS uj_ct, CAST(sum(dur) AS BIGINT) AS dur_sum
 FROM rows_ WHERE {_closed('1 hour', _PAGE_TIME, f"(SELECT max({_PAGE_TIME}) FROM rows_)")}
 GROUP BY ALL""",
-    "stream_product_stats": f"""WITH {_LOGS}, {_DISPLAYS},
-metrics AS (
-  SELECT {_PAGE_TIME} AS ts, CAST(item AS BIGINT) AS sku_id, 0 AS display, 1 AS click, 0 AS favor, 0 AS cart FROM pages
-  WHERE page_id = 'good_detail'
-  UNION ALL SELECT make_timestamp(CAST(ts AS BIGINT) * 1000), CAST(item AS BIGINT), 1, 0, 0, 0 FROM displays WHERE item_type = 'sku_id'
-  UNION ALL SELECT {_SECONDS}, k, 0, 0, 1, 0 FROM k WHERE event_type = 'click'
-  UNION ALL SELECT {_SECONDS}, k, 0, 0, 0, 1 FROM k WHERE event_type = 'purchase')
-SELECT {_bounds('1 hour')}, sku_id, CAST(sum(display) AS BIGINT) AS display_ct, CAST(sum(click) AS BIGINT) AS click_ct,
-  CAST(sum(favor) AS BIGINT) AS favor_ct, CAST(sum(cart) AS BIGINT) AS cart_ct
-FROM metrics WHERE {_closed('1 hour', 'ts', '(SELECT max(ts) FROM metrics)')} GROUP BY stt, edt, sku_id""",
-    "stream_province_stats": f"""WITH {_LINES}
+    "stream_payment_wide": ORACLE["payment_wide"],
+    "stream_product_stats": f"""WITH {_product_stats(_SHIFT, 'WHERE ' + _closed('1 day', 'ts', _SLOWEST))}
+SELECT {_PRODUCT_COLUMNS} FROM product_stats""",
+    "stream_province_stats": _STREAM_PROVINCES,
+    "stream_order_wide_dims": f"""WITH {_LINES}, {_DIMS},
+when_joined AS (SELECT *, greatest(order_ts, detail_ts) < TIMESTAMP '{CUT}' AS early FROM lines)
+SELECT detail_id, order_id, CASE WHEN early THEN user_gender END AS user_gender,
+  CASE WHEN early OR province_id % 2 = 1 THEN province_name ELSE province_name || ' renamed' END AS province_name,
+  sku_name, spu_name, category3_name, tm_name, CAST(split_total_amount AS DOUBLE) AS split_total_amount
+FROM when_joined LEFT JOIN users ON user_id = users.id LEFT JOIN provinces ON province_id = provinces.id {_PRODUCT_JOINS}""",
+    "stream_cdc_route": f"""WITH {_CHANGES},
+later AS (SELECT * FROM routes WHERE (source_table, operate_type) NOT IN ({_route_keys(CHANGED_ROUTES + GONE_ROUTES)})
+  UNION ALL VALUES {', '.join(str(r[:5]) for r in CHANGED_ROUTES)}),
+half AS (SELECT typed.*, ts < TIMESTAMP '{CONFIG_CUT}' AS early FROM typed JOIN events ON seq = event_id),
+all_routes AS (SELECT true AS early_route, * FROM routes UNION ALL SELECT false, * FROM later)
+SELECT seq, "table", type, sink_type, sink_table, {_KEPT}
+FROM half JOIN all_routes ON early = early_route AND "table" = source_table AND op = operate_type""",
+    "stream_replayed_orders": f"""WITH {_LINES}
 SELECT {_bounds('1 day', 'order_ts')}, province_id, CAST(sum(split_total_amount) AS DOUBLE) AS order_amount,
   count(DISTINCT order_id) AS order_count
 FROM lines WHERE {_closed('1 day', 'order_ts', '(SELECT max(order_ts) FROM lines)')} GROUP BY stt, edt, province_id""",
+    "stream_province_stats_sql": _STREAM_PROVINCES,
+    "stream_keyword_stats_sql": f"""WITH {_KEYWORD_STATS},
+last_page AS (SELECT greatest((SELECT max(make_timestamp(ts * 1000)) FROM pages),
+  (SELECT max(make_timestamp((1704067200000 + doc_id * 60000) * 1000)) FROM documents)) AS t)
+SELECT keyword, ct, source, stt, edt FROM keyword_stats, last_page WHERE CAST(edt AS TIMESTAMP) <= t - INTERVAL '3 seconds'""",
     "stream_keyword_stats": f"""WITH keyword_rows AS (SELECT {_WORDS.format('text')} AS keyword,
   make_timestamp((1704067200000 + doc_id * 60000) * 1000) AS ts FROM documents)
 SELECT keyword, count(*) AS ct, 'SEARCH' AS source, {_bounds('1 hour')} FROM keyword_rows

@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martflow import schemas, settings
+from martflow.functions import segment
 from martflow.functions.text import register_word_table_function, words
 from martflow.functions.times import age_in_years, day_key, from_millis, from_text, to_text
-from martflow.operators import enrich, orders, parse, routing, stats, visits
+from martflow.operators import enrich, orders, parse, routing, sketches, stats, visits
 from martflow.plans import dashboard, warehouse
-from martflow.session import fresh_dir
+from martflow.session import fresh_dir, materialize
 from martflow.sinks import dims as dim_sink
 from martflow.sinks import stats as stats_sink
 from martflow.sources import changes, tables, testdata as td
@@ -70,7 +71,7 @@ def _as_of() -> Column:
 _PLAIN = {"decimal": "CAST({0} AS DOUBLE) AS {0}", "timestamp": "date_format({0}, 'yyyy-MM-dd HH:mm:ss') AS {0}"}
 
 
-def _plain(df: DataFrame) -> DataFrame:
+def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles and times as text, which both engines print alike."""
     return df.selectExpr(*[_PLAIN.get(f.dataType.typeName(), "{0}").format(f.name) for f in df.schema])
 
@@ -255,7 +256,7 @@ def _order_lines(spark, sf) -> DataFrame:
 
 
 def order_wide_join(spark, sf):
-    return _plain(_order_lines(spark, sf).select(*_LINE, F.col("detail_ts").alias("detail_time")))
+    return plain(_order_lines(spark, sf).select(*_LINE, F.col("detail_ts").alias("detail_time")))
 
 
 _USER = ["user_gender", "user_age"]
@@ -265,17 +266,17 @@ _PRODUCT = ["sku_name", "spu_id", "spu_name", "category3_id", "category3_name",
 
 def order_wide_user(spark, sf):
     users = td.dims(spark, sf)["user"]
-    return _plain(enrich.add_user(_order_lines(spark, sf), users, _as_of()).select(*_LINE, *_USER))
+    return plain(enrich.add_user(_order_lines(spark, sf), users, _as_of()).select(*_LINE, *_USER))
 
 
 def order_wide_province(spark, sf):
     provinces = td.dims(spark, sf)["province"]
-    return _plain(enrich.add_province(_order_lines(spark, sf), provinces).select(*_LINE, *_PROVINCE))
+    return plain(enrich.add_province(_order_lines(spark, sf), provinces).select(*_LINE, *_PROVINCE))
 
 
 def order_wide_full(spark, sf):
     wide = enrich.add_all(_order_lines(spark, sf), td.dims(spark, sf), _as_of())
-    return _plain(wide.select(*_LINE, *_USER, *_PROVINCE, *_PRODUCT))
+    return plain(wide.select(*_LINE, *_USER, *_PROVINCE, *_PRODUCT))
 
 
 def user_ages(spark, sf):
@@ -296,7 +297,7 @@ def dim_multi_key(spark, sf):
 def payment_wide(spark, sf):
     payments = td.payment_info(td.table(spark, sf, "orders"))
     wide = warehouse.payment_wide(payments, _order_lines(spark, sf), DAILY)
-    return _plain(wide.select(
+    return plain(wide.select(
         "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time",
         "order_id", "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"))
 
@@ -329,11 +330,11 @@ def _product_stats(spark, sf, day=None) -> DataFrame:
 
 
 def product_stats(spark, sf):
-    return _plain(_product_stats(spark, sf))
+    return plain(_product_stats(spark, sf))
 
 
 def product_stats_dims(spark, sf):
-    return _plain(enrich.add_product(_product_stats(spark, sf), td.dims(spark, sf), price=True))
+    return plain(enrich.add_product(_product_stats(spark, sf), td.dims(spark, sf), price=True))
 
 
 def _province_stats(spark, sf, day=None) -> DataFrame:
@@ -341,7 +342,7 @@ def _province_stats(spark, sf, day=None) -> DataFrame:
 
 
 def province_stats(spark, sf):
-    return _plain(_province_stats(spark, sf))
+    return plain(_province_stats(spark, sf))
 
 
 def keyword_stats(spark, sf):
@@ -364,6 +365,31 @@ def keyword_stats_sql(spark, sf):
         FROM keyword_view GROUP BY window(rowtime, '1 hour'), keyword""")
 
 
+def keyword_stats_dictionary(spark, sf):
+    """Each line searches for its part's name, written without blanks; the names'
+    words are the dictionary."""
+    part = td.table(spark, sf, "part")
+    dictionary = segment.load(part.select(F.explode(words("p_name")).alias("word")), "word")
+    named = td.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    searches = named.select(F.regexp_replace("p_name", " ", "").alias("full_word"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    return stats.keyword_stats(stats.keywords(searches, segment.dictionary_words(dictionary)), "1 day")
+
+
+def customer_estimates(spark, sf):
+    """Customers by month and by year from daily sketches, held against exact counts."""
+    rows = _orders(spark, sf)[0].select("create_time", "user_id")
+    daily = materialize(sketches.window_sketches(rows, "create_time", "1 day", [], "user_id"), "customer-sketches")
+    union = None
+    for span in ("month", "year"):
+        start = F.date_trunc(span, "create_time").alias("start")
+        exact = rows.select(start, "user_id").distinct().groupBy("start").agg(F.count("*").alias("customer_ct"))
+        both = sketches.merged(daily, span, []).join(exact, "start")
+        close = F.abs(F.col("distinct_ct") - F.col("customer_ct")) <= 0.02 * F.col("customer_ct")
+        found = both.select(F.lit(span).alias("span"), to_text("start").alias("start"), "customer_ct", close.alias("close"))
+        union = found if union is None else union.unionByName(found)
+    return union
+
+
 def word_counts(spark, sf):
     docs = td.table(spark, sf, "documents")
     return docs.select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("ct"))
@@ -392,15 +418,15 @@ def _sales(spark, sf) -> DataFrame:
 
 
 def dash_spu(spark, sf):
-    return _plain(dashboard.top_spu(_sales(spark, sf), SALES_DAY))
+    return plain(dashboard.top_spu(_sales(spark, sf), SALES_DAY))
 
 
 def dash_category3(spark, sf):
-    return _plain(dashboard.top_category3(_sales(spark, sf), SALES_DAY))
+    return plain(dashboard.top_category3(_sales(spark, sf), SALES_DAY))
 
 
 def dash_tm(spark, sf):
-    return _plain(dashboard.top_trademark(_sales(spark, sf), SALES_DAY))
+    return plain(dashboard.top_trademark(_sales(spark, sf), SALES_DAY))
 
 
 def dash_tm_series(spark, sf):
@@ -410,11 +436,11 @@ def dash_tm_series(spark, sf):
 
 
 def dash_gmv(spark, sf):
-    return _plain(dashboard.gmv(_product_stats(spark, sf, SALES_DAY), SALES_DAY))
+    return plain(dashboard.gmv(_product_stats(spark, sf, SALES_DAY), SALES_DAY))
 
 
 def dash_gmv_empty_day(spark, sf):
-    return _plain(dashboard.gmv(_product_stats(spark, sf, 20300101), 20300101))
+    return plain(dashboard.gmv(_product_stats(spark, sf, 20300101), 20300101))
 
 
 def _visits(spark, sf) -> DataFrame:
@@ -427,7 +453,7 @@ def dash_hour(spark, sf):
 
 
 def dash_is_new(spark, sf):
-    return _plain(dashboard.new_versus_returning(_visits(spark, sf), VISIT_DAY))
+    return plain(dashboard.new_versus_returning(_visits(spark, sf), VISIT_DAY))
 
 
 def dash_novelty(spark, sf):
@@ -436,7 +462,7 @@ def dash_novelty(spark, sf):
 
 def dash_map(spark, sf):
     report = dashboard.amount_by_province(_province_stats(spark, sf, SALES_DAY), SALES_DAY)
-    return _plain(dashboard.name_value(report, "province_name", "order_amount"))
+    return plain(dashboard.name_value(report, "province_name", "order_amount"))
 
 
 def dash_keyword(spark, sf):
@@ -454,7 +480,8 @@ BATCH: dict[str, Query] = {f.__name__: f for f in (
     cdc_filter, cdc_envelope, cdc_whitelist, cdc_route, cdc_sinks, cdc_unrouted, cdc_config_latest,
     dim_upsert_latest, dim_sink_snapshots, time_functions, order_create_parts, order_wide_join, order_wide_user,
     order_wide_province, order_wide_full, user_ages, dim_multi_key, payment_wide, coalesce_merge,
-    visitor_stats, product_stats, product_stats_dims, province_stats, keyword_stats, keyword_stats_sql, word_counts, udtf_tokens,
+    visitor_stats, product_stats, product_stats_dims, province_stats, keyword_stats, keyword_stats_sql,
+    keyword_stats_dictionary, customer_estimates, word_counts, udtf_tokens,
     stats_table, dash_spu, dash_category3, dash_tm, dash_tm_series, dash_gmv, dash_gmv_empty_day, dash_hour,
     dash_is_new, dash_novelty, dash_map, dash_keyword,
 )}

@@ -59,6 +59,12 @@ def work_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it wants it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -84,10 +90,9 @@ def state_partitions_for(spark: SparkSession, paths: Iterable[str], bytes_each:
     session's value stays the upper bound; without paths it is left alone.
     """
     setting = spark.conf.get("spark.sql.shuffle.partitions")
-    jvm, total = spark._jvm, 0
+    total = 0
     for path in paths:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs, folder = file_system(spark, path)
         total += fs.getContentSummary(folder).getLength()
     if total:
         wanted = max(spark.sparkContext.defaultParallelism, -(-total // bytes_each))

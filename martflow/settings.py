@@ -38,6 +38,8 @@ DWD_PAGE = "dwd_page_log"
 DWD_START = "dwd_start_log"
 DWD_DISPLAY = "dwd_display_log"
 UNROUTED = "unrouted_changes"
+BAD_LOG = "quarantine_log"
+BAD_CHANGE = "quarantine_changes"
 DWM_UNIQUE_VISITOR = "dwm_unique_visitor"
 DWM_USER_JUMP = "dwm_user_jump_detail"
 DWM_ORDER_WIDE = "dwm_order_wide"

@@ -35,20 +35,32 @@ def normalise_envelopes(messages: DataFrame, value: str = "value", keep: tuple[s
     )
 
 
+_KEY = ("source_table", "operate_type")
+
+
+def _fields() -> list[str]:
+    return [f for f in schemas.column_names(schemas.TABLE_PROCESS) if f not in _KEY]
+
+
+def route_changes(config_changes: DataFrame) -> DataFrame:
+    """Configuration changes as (source_table, operate_type, last, ts_ms), ``last`` being
+    the kind of change and the other columns.  A delete shows its before-image."""
+    image = F.when(F.col("type") == "delete", F.col("before")).otherwise(F.col("data"))
+    rows = config_changes.select(*[image[f].alias(f) for f in _KEY], F.struct(
+        F.col("type").alias("change"), *[image[f].alias(f) for f in _fields()]).alias("last"), "ts_ms")
+    return rows.filter(F.col("source_table").isNotNull() & F.col("operate_type").isNotNull())
+
+
+def live_route(last: DataFrame) -> DataFrame:
+    """The routes whose last change is no delete, as configuration rows."""
+    return (last.filter(F.col("last").isNotNull() & (F.coalesce("last.change", F.lit("")) != "delete"))
+            .select(*_KEY, *[F.col(f"last.{f}").alias(f) for f in _fields()]))
+
+
 def routes(config_changes: DataFrame) -> DataFrame:
     """The live routing table: the last config row per (source table, operation).
 
     A deleted config row, found through its before-image, takes its route away.
     ``ts_ms`` orders the feed.
     """
-    image = F.when(F.col("type") == "delete", F.col("before")).otherwise(F.col("data"))
-    fields = schemas.column_names(schemas.TABLE_PROCESS)
-    rows = config_changes.select(
-        *[image[f].alias(f) for f in fields], F.col("type").alias("change"), "ts_ms",
-    ).filter(F.col("source_table").isNotNull() & F.col("operate_type").isNotNull())
-    last = rows.groupBy("source_table", "operate_type").agg(
-        F.max_by(F.struct("change", *[f for f in fields if f not in ("source_table", "operate_type")]),
-                 "ts_ms").alias("last"))
-    return (last.filter(F.col("last.change") != "delete")
-            .select("source_table", "operate_type",
-                    *[f"last.{f}" for f in fields if f not in ("source_table", "operate_type")]))
+    return live_route(route_changes(config_changes).groupBy(*_KEY).agg(F.max_by("last", "ts_ms").alias("last")))

@@ -2,9 +2,9 @@
 
 A bus has one area per writing job.  On Kafka the area is not used and the
 ``topic`` column of each row names its topic.  On files the job's rows are
-partitioned by topic under the area, and the file sink's commit log makes the
-output exactly-once; Kafka output is at-least-once, so readers there should
-drop duplicates by key.
+partitioned by topic under the area; the file sink's commit log, or a mark per
+micro-batch, keeps a replay from being written again.  Kafka output is
+at-least-once.  Readers drop repeats by key (``operators.repeats``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from martflow.operators.parse import once
+from martflow.session import file_system
 
 # The area of topics that come from outside.
 INTAKE = "intake"
@@ -27,12 +28,13 @@ class FileBus:
     """Topics as folders: ``<root>/<job>/topic=<name>/``.
 
     ``batched_jobs`` write from ``foreachBatch`` into ``batch_id=<n>`` folders
-    below that, which a replayed micro-batch replaces.
+    below that.  A mark, set after the write, keeps a replayed micro-batch from
+    writing again; one that was lost before its mark replaces its own folders.
     """
 
     root: str
     max_files_per_trigger: int | None = None
-    batched_jobs: frozenset[str] = frozenset({"base_db", "unique_visitor", "order_wide"})
+    batched_jobs: frozenset[str] = frozenset({"base_log", "base_db", "unique_visitor", "order_wide"})
 
     def _load(self, reader, job: str, topic: str) -> DataFrame:
         if job == INTAKE:
@@ -42,9 +44,10 @@ class FileBus:
         rows = reader.schema(schema).format("text").load(f"{self.root}/{job}")
         return rows.filter(F.col("topic") == topic).select("value")
 
-    def read(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
+    def read(self, spark: SparkSession, job: str, topic: str, whole: bool = False) -> DataFrame:
+        """The topic as a stream; ``whole`` takes in all that is there at once."""
         reader = spark.readStream
-        if self.max_files_per_trigger:
+        if self.max_files_per_trigger and not whole:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_trigger)
         return self._load(reader, job, topic)
 
@@ -56,9 +59,14 @@ class FileBus:
                 .partitionBy("topic").option("path", f"{self.root}/{job}"))
 
     def write_batch(self, rows: DataFrame, job: str, batch_id: int) -> None:
+        # Readers pass over names that begin with an underscore.
+        fs, mark = file_system(rows.sparkSession, f"{self.root}/{job}/_written/{batch_id}")
+        if fs.exists(mark):
+            return
         (rows.select("value", "topic", F.lit(batch_id).alias("batch_id")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch_id")
          .text(f"{self.root}/{job}"))
+        fs.create(mark).close()
 
 
 @dataclass(frozen=True)
@@ -69,12 +77,13 @@ class KafkaBus:
     starting_offsets: str = "latest"
     max_offsets_per_trigger: int | None = None
 
-    def read(self, spark: SparkSession, job: str, topic: str) -> DataFrame:
+    def read(self, spark: SparkSession, job: str, topic: str, whole: bool = False) -> DataFrame:
+        """The topic as a stream; ``whole`` takes it from its beginning, all at once."""
         reader = (spark.readStream.format("kafka")
                   .option("kafka.bootstrap.servers", self.servers)
                   .option("subscribe", topic)
-                  .option("startingOffsets", self.starting_offsets))
-        if self.max_offsets_per_trigger:
+                  .option("startingOffsets", "earliest" if whole else self.starting_offsets))
+        if self.max_offsets_per_trigger and not whole:
             reader = reader.option("maxOffsetsPerTrigger", self.max_offsets_per_trigger)
         return reader.load().select(F.col("value").cast("string").alias("value"))
 
@@ -101,6 +110,25 @@ def to_messages(df: DataFrame, topic) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"), topic.alias("topic"))
 
 
+def with_clock(rows: DataFrame, time: str, watermark: str, idle_s: float | None) -> DataFrame:
+    """``rows`` with a watermark on ``time`` that goes on when their topic is idle.
+
+    The watermark follows the newest row, or the clock less ``idle_s`` if that is
+    later: a topic that is silent for longer holds no window of a join or union
+    open, and a row that comes later still is dropped as late.  For event times that
+    follow the clock.  With None the topic's own rows alone move its watermark.
+    """
+    if idle_s is None:
+        return rows.withWatermark(time, watermark)
+    clock = rows.sparkSession.readStream.format("rate").load()
+    late = F.col("timestamp") - F.make_dt_interval(secs=F.lit(idle_s))
+    ticks = clock.select(*[(late if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema],
+                         F.lit(True).alias("_tick"))
+    timed = rows.withColumn("_tick", F.lit(False)).unionByName(ticks).withWatermark(time, watermark)
+    # Spark pushes a filter below the watermark unless it uses the event time.
+    return timed.filter(F.when(~F.col("_tick"), F.col(time)).isNotNull()).drop("_tick")
+
+
 def topic_view(spark: SparkSession, bus: Bus, job: str, topic: str, view: str, schema: str,
                event_time: str, delay: str) -> DataFrame:
     """A topic as a SQL view with a computed event-time column and watermark.

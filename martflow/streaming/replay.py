@@ -7,42 +7,62 @@ Windows the watermark has not passed yet are not emitted, as in a live job.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from martflow import schemas, settings
+from martflow.functions.text import register_word_table_function
 from martflow.functions.times import day_key, from_millis, to_text
-from martflow.operators import orders, routing, stats
+from martflow.operators import enrich, orders, parse, routing, stats
 from martflow.operators import visits as shared
-from martflow.plans.queries import HOURLY, YEAR_S
+from martflow.plans.queries import HOURLY, YEAR_S, plain as _plain
 from martflow.session import fresh_dir, state_partitions_for
-from martflow.sources import testdata as td
-from martflow.streaming import visits
+from martflow.sources import changes, testdata as td
+from martflow.sources.topics import INTAKE, FileBus, to_messages, topic_view
+from martflow.streaming import jobs, visits
+from martflow.streaming.routes import with_routes
 
 DELAY = "3 seconds"
+EVENT_SHIFT_DAYS = 8220   # moves the events of 2024 to July 2001, before the orders end
+CUT = "1998-07-01"        # where two micro-batches of orders part
+CONFIG_CUT = "2024-01-16"
+# What the configuration turns into half-way.
+CHANGED_ROUTES = [("sku_info", "insert", "hbase", "dim_sku_v2", "id,name", "id", None),
+                  ("spu_info", "delete", "kafka", "dwd_spu_gone", "id", "id", None)]
+GONE_ROUTES = [("user_info", "insert", "hbase", "dim_user_info", "id,name", None, None)]
+
+
+def _run(writer: DataStreamWriter, where: str, inputs: Iterable[str]) -> None:
+    with state_partitions_for(writer._spark, inputs):
+        writer.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def run_append(df: DataFrame, name: str, *inputs: str) -> str:
     """Run a stream over all present input; return the file sink's folder."""
     where = fresh_dir(df.sparkSession, name)
-    with state_partitions_for(df.sparkSession, inputs):
-        query = (df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out")
-                 .option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start())
-        query.awaitTermination()
+    _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out"), where, inputs)
     return f"{where}/out"
 
 
-def run_update(df: DataFrame, name: str, *inputs: str) -> str:
-    """The same for a stream in update mode: one folder per micro-batch."""
+def run_batches(df: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame], *inputs: str, mode: str = "append") -> str:
+    """The same with a last step on each micro-batch: one folder per micro-batch."""
     where = fresh_dir(df.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
+        finish(batch).write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
 
-    with state_partitions_for(df.sparkSession, inputs):
-        (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint")
-         .trigger(availableNow=True).start().awaitTermination())
+    _run(df.writeStream.outputMode(mode).foreachBatch(write), where, inputs)
     return f"{where}/out"
 
 
+def run_update(df: DataFrame, name: str, *inputs: str) -> str:
+    """The same for a stream in update mode."""
+    return run_batches(df, name, lambda batch: batch, *inputs, mode="update")
+
+
 def drain(df: DataFrame, name: str, *inputs: str, run=run_append) -> DataFrame:
     """Run the stream and read its sink; ``inputs`` are the files it reads."""
     where = run(df, name, *inputs)
@@ -61,8 +81,30 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return routing.page_logs(_logs(spark, sf))
 
 
+def run_repair(logs: DataFrame, name: str, *inputs: str) -> str:
+    """The new-visitor repair of a log stream; one folder of logs per micro-batch."""
+    where = fresh_dir(logs.sparkSession, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        visits.repaired(batch).write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
+        batch.unpersist()
+
+    rows = visits.with_first_days(logs.select(F.struct("*").alias("row")))
+    _run(rows.writeStream.outputMode("update").foreachBatch(write), where, inputs)
+    return f"{where}/out"
+
+
+def _topic(like: DataFrame, where: str) -> DataFrame:
+    """What a job before has written, as a stream."""
+    return like.sparkSession.readStream.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
+
+
 def stream_is_new_repair(spark, sf):
-    return drain(visits.repair_is_new(_logs(spark, sf)).select("common.mid", "ts", "common.is_new"), "is-new", *_files(sf, "events"))
+    logs = _logs(spark, sf)
+    where = run_repair(logs, "is-new", *_files(sf, "events"))
+    fixed = spark.read.schema(logs.schema).option("recursiveFileLookup", "true").parquet(where)
+    return fixed.select("common.mid", "ts", "common.is_new")
 
 
 def stream_unique_visitor(spark, sf):
@@ -77,45 +119,167 @@ def stream_user_jump(spark, sf):
 
 
 def stream_order_join(spark, sf):
-    lines = orders.order_lines(
-        td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
-        YEAR_S, YEAR_S, watermark=DELAY)
+    lines = _order_lines(spark, sf)
     return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id",
                               to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join",
                  *_files(sf, "orders", "lineitem"))
 
 
 def stream_visitor_stats(spark, sf):
-    """Union of the page stream with the topics of the two other visit jobs."""
-    pages = _pages(spark, sf)
+    """Repaired logs; the union of their pages with the topics of the two visit jobs."""
+    logs = _logs(spark, sf)
+    pages = routing.page_logs(_topic(logs, run_repair(logs, "page-topic", *_files(sf, "events"))))
     uniques = run_update(visits.unique_visitors(pages), "uv-topic", *_files(sf, "events"))
     jumps = run_append(shared.bounces(pages, HOURLY.bounce_timeout_s, watermark="0 seconds"), "jump-topic",
                        *_files(sf, "events"))
-    topic = lambda where: spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(where)
-    rows = stats.visitor_rows(pages, topic(uniques), topic(jumps))
+    rows = stats.visitor_rows(pages, _topic(pages, uniques), _topic(pages, jumps))
     return drain(stats.visitor_stats(rows, "1 hour", DELAY), "visitor-stats", *_files(sf, "events"))
 
 
+def _order_lines(spark, sf, **how) -> DataFrame:
+    return orders.order_lines(
+        td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
+        YEAR_S, YEAR_S, watermark=DELAY, **how)
+
+
+def _payments(spark, sf) -> DataFrame:
+    """Both joins in one query: the watermark of the heads passes through the first."""
+    return orders.payment_wide(td.payment_info(td.table_stream(spark, sf, "orders")),
+                               _order_lines(spark, sf).drop("detail_ts"), watermark=DELAY)
+
+
+def stream_payment_wide(spark, sf):
+    return _plain(drain(_payments(spark, sf).select(
+        "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time", "order_id",
+        "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"), "payment-wide",
+        *_files(sf, "orders", "lineitem")))
+
+
 def stream_product_stats(spark, sf):
-    """Clicks, exposures, favourites and cart additions of the event stream."""
-    events = td.table_stream(spark, sf, "events")
-    pages = _pages(spark, sf)
-    rows = (stats.click_rows(pages).unionByName(stats.display_rows(pages))
-            .unionByName(stats.favor_rows(td.sku_events(events, "click")))
-            .unionByName(stats.cart_rows(td.sku_events(events, "purchase"))))
-    out = drain(stats.product_stats(rows, "1 hour", DELAY), "product-stats", *_files(sf, "events"))
-    return out.select("stt", "edt", "sku_id", "display_ct", "click_ct", "favor_ct", "cart_ct")
+    """Seven inputs, each with a watermark of its own: pages, favourites and cart
+    additions of the event stream (moved to the years of the orders), ordered and
+    paid lines of the two join jobs' topics, refunds and comments."""
+    shift = F.make_dt_interval(days=F.lit(EVENT_SHIFT_DAYS))
+    events = td.table_stream(spark, sf, "events").withColumn("ts", F.col("ts") - shift)
+    lineitem = lambda: td.table_stream(spark, sf, "lineitem")
+    files = _files(sf, "orders", "lineitem")
+    wide = _order_lines(spark, sf).select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time")
+    paid = _payments(spark, sf).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount", "callback_time")
+    rows = stats.product_rows(
+        routing.page_logs(td.raw_logs(events)), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
+        _topic(wide, run_append(wide, "order-wide-topic", *files)), _topic(paid, run_append(paid, "payment-wide-topic", *files)),
+        td.refunds(lineitem()), td.comments(lineitem()), DELAY)
+    return _plain(drain(stats.product_stats(rows, "1 day"), "product-stats", *_files(sf, "events", "orders", "lineitem")))
 
 
 def stream_province_stats(spark, sf):
-    """Daily sums by province over the order_wide topic, which the join job fills."""
-    lines = orders.order_lines(
-        td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
-        YEAR_S, YEAR_S, watermark=DELAY).drop("order_ts", "detail_ts")
-    where = run_append(lines, "order-wide-topic", *_files(sf, "orders", "lineitem"))
-    topic = spark.readStream.schema(lines.schema).parquet(where)
-    out = drain(stats.province_stats(topic, "1 day", DELAY), "province-stats", *_files(sf, "orders"))
-    return out.select("stt", "edt", "province_id", F.col("order_amount").cast("double").alias("order_amount"), "order_count")
+    """Daily sums by province over the order_wide topic, which the join job fills and
+    gives the names as of its micro-batch."""
+    lines, provinces = _order_lines(spark, sf).drop("order_ts", "detail_ts"), td.dims(spark, sf)["province"]
+    where = run_batches(lines, "order-wide-topic", lambda batch: enrich.add_province(batch, provinces),
+                        *_files(sf, "orders", "lineitem"))
+    return _plain(drain(stats.province_stats(_topic(lines, where), "1 day", DELAY, replayed=True), "province-stats",
+                        *_files(sf, "orders")))
+
+
+def _halves(spark, sf, name: str, time: str, cut: str) -> tuple[DataFrame, DataFrame]:
+    rows = td.table(spark, sf, name)
+    return rows.where(F.col(time) < cut), rows.where(F.col(time) >= cut)
+
+
+def stream_order_wide_dims(spark, sf):
+    """Orders and lines before ``CUT``, then those after it; in between all provinces
+    with an even key get a new name, and the users lose their gender."""
+    where = fresh_dir(spark, "order-wide-dims")
+    site = jobs.Site(FileBus(f"{where}/bus"), f"{where}/checkpoints", f"{where}/dims", f"{where}/tables",
+                     trigger={"availableNow": True}, order_before_s=YEAR_S, order_after_s=YEAR_S)
+    for short, dim in td.dims(spark, sf).items():
+        columns = list(jobs.DIMENSIONS[short][1])
+        table = site.dim_table(jobs.DIMENSIONS[short][0], columns, ["id"])
+        table.create(spark)
+        table.upsert(_changed(dim, columns), "seq", 1)
+    heads = [td.order_info(h) for h in _halves(spark, sf, "orders", "o_orderdate", CUT)]
+    lines = [td.order_detail(h) for h in _halves(spark, sf, "lineitem", "l_shipdate", CUT)]
+    for i, (head, line) in enumerate(zip(heads, lines)):
+        if i:
+            renamed = td.dims(spark, sf)["province"].where("id % 2 = 0").select("id", F.concat("name", F.lit(" renamed")).alias("name"))
+            site.dim_table(settings.DIM_PROVINCE, list(jobs.DIMENSIONS["province"][1]), ["id"]).upsert(
+                _changed(renamed, ["name", "area_code", "iso_code", "iso_3166_2", "id"]), "seq", 2)
+            nobody = td.dims(spark, sf)["user"].select("id", F.lit(None).cast("string").alias("gender"))
+            site.dim_table(settings.DIM_USER, list(jobs.DIMENSIONS["user"][1]), ["id"]).upsert(
+                _changed(nobody, ["id", "gender", "birthday"]), "seq", 2)
+        records = [_as_topic(head, settings.FACT_ORDER_INFO), _as_topic(line, settings.FACT_ORDER_DETAIL)]
+        site.bus.write_batch(records[0].unionByName(records[1]), "base_db", i)
+        with state_partitions_for(spark, _files(sf, "orders", "lineitem")):
+            jobs.order_wide(spark, site).awaitTermination()
+    rows = parse.parse_record(site.bus.read_batch(spark, "order_wide", settings.DWM_ORDER_WIDE), schemas.ORDER_WIDE)
+    return _plain(rows.select("detail_id", "order_id", "user_gender", "province_name", "sku_name", "spu_name", "category3_name",
+                              "tm_name", "split_total_amount"))
+
+
+def _changed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Dimension rows as changes; the columns they lack are absent."""
+    have = [c for c in columns if c in rows.columns]
+    return rows.select(F.lit(1).alias("seq"), F.array(*[F.lit(c) for c in have]).alias("present"),
+                       *[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in columns])
+
+
+def _as_topic(rows: DataFrame, topic: str) -> DataFrame:
+    """Records as a fact topic has them: times as text."""
+    times = {f.name: to_text(f.name) for f in rows.schema if f.dataType.typeName() == "timestamp"}
+    return to_messages(rows.withColumns(times), topic)
+
+
+def _config_text(spark, rows: list[tuple], op: str, at: int) -> list[str]:
+    image = [dict(zip(schemas.column_names(schemas.TABLE_PROCESS), row)) for row in rows]
+    return [json.dumps({"op": op, "before": row if op == "d" else None, "after": None if op == "d" else row,
+                        "source": {"db": "conf", "table": "table_process"}, "ts_ms": at}) for row in image]
+
+
+def stream_cdc_route(spark, sf):
+    """Change records before and after ``CONFIG_CUT``; in between the configuration, whose
+    snapshot came first, gets a changed, a new and a deleted row."""
+    where = fresh_dir(spark, "cdc-route")
+    events = td.table(spark, sf, "events")
+    config = [_config_text(spark, td.ROUTING, "r", 1),
+              _config_text(spark, CHANGED_ROUTES, "u", 2) + _config_text(spark, GONE_ROUTES, "d", 2)]
+    parts = [events.where(F.col("ts") < CONFIG_CUT), events.where(F.col("ts") >= CONFIG_CUT)]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        found = routing.route(routing.well_formed(batch.where("row IS NOT NULL").select("row.*")),
+                              batch.where("route IS NOT NULL").select("route.*"))
+        found.write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
+        batch.unpersist()
+
+    for i, part in enumerate(parts):
+        rows = td.change_records(part)
+        rows.write.parquet(f"{where}/records/{i}")
+        spark.createDataFrame([(c,) for c in config[i]], "value string").write.text(f"{where}/config/{i}")
+        feed = spark.readStream.option("recursiveFileLookup", "true").text(f"{where}/config")
+        tagged = with_routes(_topic(rows, f"{where}/records").select(F.struct("*").alias("row")), changes.normalise_envelopes(feed))
+        _run(tagged.writeStream.outputMode("update").foreachBatch(write), where, _files(sf, "events"))
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
+    return out.select("seq", "table", "type", "sink_type", "sink_table", *[F.col("data")[c].alias(c) for c in ("id", "name", "value")],
+                      F.size("data").alias("n_columns"))
+
+
+def stream_replayed_orders(spark, sf):
+    """Province sums over an order_wide topic whose first half is delivered twice: once
+    before and once after a consumer has read it."""
+    where = fresh_dir(spark, "replayed-orders")
+    bus = FileBus(f"{where}/bus")
+    lines = orders.order_lines(td.order_info(td.table(spark, sf, "orders")), td.order_detail(td.table(spark, sf, "lineitem")),
+                               YEAR_S, YEAR_S).drop("order_ts", "detail_ts")
+    late = F.col("create_time") >= CUT
+    for deliveries in ({0: ~late}, {1: ~late, 2: late}):
+        for batch_id, rows in deliveries.items():
+            bus.write_batch(_as_topic(lines.where(rows), settings.DWM_ORDER_WIDE), "order_wide", batch_id)
+        topic = parse.parse_record(bus.read(spark, "order_wide", settings.DWM_ORDER_WIDE), schemas.ORDER_WIDE)
+        sums = stats.province_stats(topic, "1 day", DELAY, replayed=True)
+        _run(sums.writeStream.format("parquet").option("path", f"{where}/out"), where, _files(sf, "orders", "lineitem"))
+    out = spark.read.schema(sums.schema).parquet(f"{where}/out")
+    return _plain(out.select("stt", "edt", "province_id", "order_amount", "order_count"))
 
 
 def stream_keyword_stats(spark, sf):
@@ -124,7 +288,50 @@ def stream_keyword_stats(spark, sf):
     return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats", *_files(sf, "documents"))
 
 
+def stream_keyword_stats_sql(spark, sf):
+    """The keyword job in SQL over a topic of page logs with a computed watermark."""
+    bus = FileBus(fresh_dir(spark, "sql-bus"))
+    pages = routing.page_logs(td.raw_logs(td.table(spark, sf, "events")))
+    both = pages.unionByName(td.search_logs(td.table(spark, sf, "documents")))
+    parse.serialise(both).write.text(f"{bus.root}/{INTAKE}/topic={settings.DWD_PAGE}")
+    topic_view(spark, bus, INTAKE, settings.DWD_PAGE, "martflow_page_topic",
+               "page MAP<STRING, STRING>, ts BIGINT", "timestamp_millis(ts)", DELAY)
+    register_word_table_function(spark, "ik_analyze")
+    # The condition names the event time: the watermark then follows all pages.
+    return drain(spark.sql("""
+        WITH full_word_view AS (
+          SELECT page['item'] AS full_word, rowtime FROM martflow_page_topic
+          WHERE CASE WHEN page['page_id'] = 'good_list' AND page['item'] IS NOT NULL THEN rowtime END IS NOT NULL),
+        keyword_view AS (
+          SELECT t.word AS keyword, rowtime FROM full_word_view, LATERAL ik_analyze(full_word) t)
+        SELECT keyword, count(*) AS ct, 'SEARCH' AS source,
+          date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt, date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt
+        FROM keyword_view GROUP BY window(rowtime, '1 hour'), keyword"""), "keyword-sql", *_files(sf, "documents"))
+
+
+def stream_province_stats_sql(spark, sf):
+    """The province job in SQL over the order_wide topic."""
+    bus = FileBus(fresh_dir(spark, "sql-bus"))
+    lines = orders.order_lines(td.order_info(td.table(spark, sf, "orders")), td.order_detail(td.table(spark, sf, "lineitem")),
+                               YEAR_S, YEAR_S).drop("order_ts", "detail_ts")
+    wide = enrich.add_province(lines, td.dims(spark, sf)["province"])
+    bus.write_batch(_as_topic(wide, settings.DWM_ORDER_WIDE), "order_wide", 0)
+    topic_view(spark, bus, "order_wide", settings.DWM_ORDER_WIDE, "martflow_order_wide_topic", schemas.ORDER_WIDE,
+               "to_timestamp(create_time, 'yyyy-MM-dd HH:mm:ss')", DELAY)
+    return _plain(drain(spark.sql("""
+        WITH per_order AS (
+          SELECT window, province_id, province_name, province_area_code AS area_code, province_iso_code AS iso_code,
+            province_3166_2_code AS iso_3166_2, order_id, sum(split_total_amount) AS amount
+          FROM martflow_order_wide_topic
+          GROUP BY window(rowtime, '1 day'), province_id, province_name, area_code, iso_code, iso_3166_2, order_id)
+        SELECT date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt, date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt,
+          province_id, province_name, area_code, iso_code, iso_3166_2, sum(amount) AS order_amount, count(order_id) AS order_count
+        FROM per_order GROUP BY window, province_id, province_name, area_code, iso_code, iso_3166_2"""),
+        "province-sql", *_files(sf, "orders", "lineitem")))
+
+
 STREAMS = {f.__name__: f for f in (
-    stream_is_new_repair, stream_unique_visitor, stream_user_jump, stream_order_join,
+    stream_is_new_repair, stream_unique_visitor, stream_user_jump, stream_order_join, stream_payment_wide,
     stream_visitor_stats, stream_product_stats, stream_province_stats, stream_keyword_stats,
+    stream_order_wide_dims, stream_replayed_orders, stream_cdc_route, stream_keyword_stats_sql, stream_province_stats_sql,
 )}

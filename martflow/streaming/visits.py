@@ -1,91 +1,55 @@
-"""New-visitor repair and unique visitors with keyed state."""
+"""New-visitor repair and unique visitors with keyed state, inside the JVM."""
 
 from __future__ import annotations
 
-import pickle
-import sys
-import tempfile
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from martflow import settings
-from martflow.functions.times import day_key, from_millis
+from martflow.functions.times import from_millis
 from martflow.operators.parse import is_entry_page
-from martflow.session import use_rocksdb
+
+# Days since 1970 that a state value can hold; clocks beyond are cut to its ends.
+_FIRST, _LAST = -30_000, 69_999
 
 
-# Executors get the processor with the query and need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def _claims(common: str = "common") -> Column:
+    return F.coalesce(F.col(f"{common}.is_new") == "1", F.lit(False))
 
 
-SPOOL_BYTES = 8 << 20   # of a new device's rows kept in memory, the others on disk
+def _day(ts: str) -> Column:
+    return F.greatest(F.least(F.unix_date(F.to_date(from_millis(ts))), F.lit(_LAST)), F.lit(_FIRST))
 
 
-class FirstDay(StatefulProcessor):
-    """Remembers the first day a device called itself new, for good.
+def with_first_days(rows: DataFrame, row: str = "row") -> DataFrame:
+    """A stream of log rows (a struct column) and, next to it, the first day of every
+    device whose claims are in the micro-batch; for update mode and ``repaired``.
 
-    Until the day is known the device's rows of the running micro-batch are held
-    back, so that their earliest day is taken whatever order they come in.  They
-    wait in a temporary file of the task, ``SPOOL_BYTES`` of it in memory, so a
-    device may own any share of the rows.
+    The day is that of the first micro-batch with a claim, the earliest one in it: the
+    smallest (trigger time, day) of the device.  That is one number per device, kept
+    for good, and an aggregate with map-side combine: neither a log row nor a device's
+    share of them passes through the state or through Python.
     """
+    seen = F.unix_millis(F.current_timestamp()) * (_LAST - _FIRST + 1) + _day(f"{row}.ts") - _FIRST
+    claims = rows.filter(_claims(f"{row}.common")).select(F.col(f"{row}.common.mid").alias("mid"), seen.alias("seen"))
+    first = claims.groupBy("mid").agg(F.min("seen").alias("seen"))
+    days = first.select("mid", (F.col("seen") % (_LAST - _FIRST + 1) + _FIRST).cast("int").alias("first_day"),
+                        F.lit(True).alias("is_day"))
+    return rows.withColumn("is_day", F.lit(False)).unionByName(days, allowMissingColumns=True)
+
+
+def repaired(batch: DataFrame, row: str = "row") -> DataFrame:
+    """The log rows of a micro-batch of ``with_first_days``, the flag set right.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getValueState("first_day", "day string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self._first.exists():
-            first = self._first.get()[0]
-        else:
-            first = None
-            with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as spool:
-                for pdf in rows:
-                    pickle.dump(pdf, spool)
-                    day = pdf["day"].min()
-                    first = day if first is None else min(first, day)
-                self._first.update((first,))
-                end = spool.tell()
-                spool.seek(0)
-                while spool.tell() < end:
-                    yield self._judged(pickle.load(spool), first)
-            return
-        for pdf in rows:
-            yield self._judged(pdf, first)
-
-    @staticmethod
-    def _judged(pdf: pd.DataFrame, first: str) -> pd.DataFrame:
-        return pd.DataFrame({"value": pdf["value"], "stale": pdf["day"] != first})
-
-    def close(self) -> None:
-        pass
-
-
-def _as_rows(df: DataFrame, like: DataFrame, *keep: str) -> DataFrame:
-    return df.select(F.from_json("value", like.schema.simpleString()).alias("row"), *keep)
-
-
-def repair_is_new(logs: DataFrame) -> DataFrame:
-    """Streaming twin of ``operators.visits.repair_is_new``; the state never expires.
-
-    Only rows that claim a new visitor pass through the state, as (device, day,
-    JSON text); they are read back with the schema they had.
+    A plain join by device, so a device that owns most of the batch is split over
+    tasks by AQE.  Hand in a persisted batch: it is read twice.
     """
-    use_rocksdb(logs.sparkSession)
-    claims = F.coalesce(F.col("common.is_new") == "1", F.lit(False))
-    keyed = logs.filter(claims).select(
-        F.col("common.mid").alias("mid"), day_key(from_millis("ts")).alias("day"),
-        F.to_json(F.struct(*logs.columns)).alias("value"))
-    judged = keyed.groupBy("mid").transformWithStateInPandas(
-        FirstDay(), "value string, stale boolean", "append", "None")
-    rows = _as_rows(judged, logs, "stale").select("stale", "row.*")
-    repaired = F.when(F.col("stale"), "0").otherwise(F.col("common.is_new"))
-    fixed = rows.withColumn("common", F.col("common").withField("is_new", repaired)).drop("stale")
-    return logs.filter(~claims).unionByName(fixed)
+    days = batch.filter("is_day").select(F.col("mid").alias("_mid"), F.col("first_day").alias("_first"))
+    logs = batch.filter(~F.col("is_day") & F.col(row).isNotNull()).select(f"{row}.*")
+    columns = logs.columns
+    claiming = logs.filter(_claims()).join(days, F.col("common.mid").eqNullSafe(F.col("_mid")))
+    flag = F.when(_day("ts") == F.col("_first"), F.col("common.is_new")).otherwise("0")
+    fixed = claiming.withColumn("common", F.col("common").withField("is_new", flag)).select(*columns)
+    return logs.filter(~_claims()).unionByName(fixed)
 
 
 def unique_visitors(pages: DataFrame, ttl_s: int = settings.VISITOR_STATE_TTL_S,
