@@ -30,6 +30,9 @@ def build_session(app: str = "martflow", master: str | None = None, **conf: str)
         # Hash joins where every shuffled partition is measured to be this small.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        # A commit writes its changes, not a copy of the state; a join keeps one store, not four.
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.join.stateFormatVersion": "3",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -101,8 +104,3 @@ def state_partitions_for(spark: SparkSession, paths: Iterable[str], bytes_each:
         yield
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", setting)
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Custom state needs the RocksDB store; it also keeps state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
