@@ -12,10 +12,10 @@ Equal sets are one class, known by 128 bits.  Of a bucket of n classes not all p
 are made but a star: its centre against the others, at most n - 1 edges.  Edges are
 checked on whole shingle sets, and the links join classes to components.  A centre
 is then done with in its bucket.  Buckets that still hold several components get a
-new centre out of their largest component, for ``STARS`` rounds; a bucket of few
-classes is settled by then.  What remains are classes outside the largest component
-of a large bucket: each is compared with the others there by an exact prefix filter
-(rarest shingles, sizes, places), so that no link between classes of a bucket is lost.
+new centre out of their largest component, for ``STARS`` rounds.  What remains are
+classes that are not linked to the first centre of a bucket; each is held against
+the others there by an exact prefix filter over what sets have that the centre has
+not, and the other way round (``_rest_edges``), so that no link within a bucket is lost.
 
 Texts travel to their checks once per edge.  A centre with many edges is copied to
 several tasks, each with a share of them.
@@ -36,7 +36,7 @@ from martflow.llm.common import Layers, components
 WIDTH = 3             # words in a shingle
 NUM, DEN = 85, 100    # a link needs DEN * intersection >= NUM * union
 BANDS, ROWS = 32, 5
-STARS = 4             # rounds of stars
+STARS = 2             # rounds of stars
 EDGES = 1_000         # edges of one centre that one task checks
 MARK = 0x5DEECE66D1CE4E5B  # keeps single short texts apart from shingles
 
@@ -95,15 +95,18 @@ def band_keys(v: np.ndarray) -> np.ndarray:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.int64)
+    known: set[bytes] = set()   # sets of this task: equal ones give their bands once
     for batch in batches:
         hi, lo, size, bands = [], [], [], []
         for text in batch.column(2):
             v = shingles(text.as_py())
-            whole = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes(), seed=len(v)), np.int64)
+            name = xxhash.xxh3_128_digest(v.tobytes(), seed=len(v))
+            whole = np.frombuffer(name, np.int64)
             hi.append(whole[0])
             lo.append(whole[1])
             size.append(len(v))
-            bands.append(band_keys(v).view(np.int64) if len(v) else none)
+            bands.append(band_keys(v).view(np.int64) if len(v) and name not in known else none)
+            known.add(name)
         ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
         keys = np.concatenate(bands) if bands else none
         yield pa.RecordBatch.from_arrays(
@@ -132,8 +135,9 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(edges: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The edges (hub, member) whose shingle sets are similar enough."""
+def _beside(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows (hub, share, member, text) in the order of the first three: a share of a
+    hub's members after the hub's own text."""
     shares = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("shares"))
     body = bodies.select(F.col("cls").alias("_c"), "text")
     hubs = (shares.join(body, F.col("hub") == F.col("_c"))
@@ -142,8 +146,12 @@ def _links(edges: DataFrame, bodies: DataFrame) -> DataFrame:
     members = (edges.join(shares, "hub").join(body, F.col("member") == F.col("_c"))
                .select("hub", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"), "member", "text"))
     return (hubs.unionByName(members).repartition("hub", "share")
-            .sortWithinPartitions("hub", "share", F.col("member").asc_nulls_first())
-            .mapInArrow(_checked, "a long, b long"))
+            .sortWithinPartitions("hub", "share", F.col("member").asc_nulls_first()))
+
+
+def _links(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The edges (hub, member) whose shingle sets are similar enough."""
+    return _beside(edges, bodies).mapInArrow(_checked, "a long, b long")
 
 
 def _allowed(x: str, y: str) -> Column:
@@ -162,41 +170,59 @@ def _star(now: DataFrame, mixed: DataFrame, rank: Column, layers: Layers) -> tup
     return centres, edges.select("hub", (F.col("lo") + F.col("hi") - F.col("hub")).alias("member"))
 
 
-def _outside(now: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Members of mixed buckets; ``odd`` if not in the component that is the largest there."""
-    members = now.join(mixed, "key")
-    largest = (members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-               .agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top.label").alias("top")))
-    return (members.join(largest, "key").groupBy("cls", "size", "label")
-            .agg(F.max(F.col("label") != F.col("top")).alias("odd")))
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each member of a hub has and the hub has not, or the other way round."""
+    own = np.zeros(0, np.uint64)
     for batch in batches:
-        sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_c", "elements"])
+        hubs, members, sizes, found = [], [], [], []
+        for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            v = shingles(text.as_py())
+            if member is None:
+                own = v
+                continue
+            hubs.append(hub)
+            members.append(member)
+            sizes.append(len(own))
+            found.append(np.setxor1d(own, v, assume_unique=True).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(sizes, pa.int64()),
+             pa.array(found, pa.list_(pa.int64()))], ["hub", "cls", "hub_size", "d"])
 
 
-def _prefix_edges(members: DataFrame, bodies: DataFrame, layers: Layers) -> DataFrame:
-    """Edges from odd members to members of other components that can be linked.
+def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers) -> DataFrame:
+    """Edges that stars left out, among ``members`` (hub, cls, size, label, odd) of hubs
+    that all of them were compared with; ``odd`` are not in the hub's component.
 
-    Linked sets share an element among the ``size - ceil(NUM * size / DEN) + 1`` rarest
-    of each, and its places bound what they can have in common.
+    Let C be the hub, a and b the differences of A and B to C in elements, and x what
+    these have in common.  A and B differ in a + b - 2x elements, and a pair is linked
+    if that is at most s * (|A| + |B|), s = (DEN - NUM) / (DEN + NUM).  So x must reach
+    t = (a + b - s * (|A| + |B|)) / 2, which is above 0 unless both are linked to C.
+    Differences to a common hub are small, and mostly an element's own, so a prefix of
+    their rarest elements, a - t + 1 long, meets few others where whole sets of near
+    copies would all meet.
     """
-    sets = bodies.join(members.select(F.col("cls").alias("_w")), F.col("cls") == F.col("_w"), "left_semi")
-    sets = sets.select("cls", "text").mapInArrow(_elements, "_c long, elements array<long>")
-    rows = layers.write(members.join(sets, F.col("cls") == F.col("_c")).drop("_c"))
-    often = rows.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (rows.select("cls", "size", "label", "odd", F.explode("elements").alias("e")).join(often, "e")
-              .groupBy("cls", "size", "label", "odd").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("rare")))
-    prefix = F.expr(f"slice(rare, 1, CAST(size - ({NUM} * size + {DEN - 1}) div {DEN} + 1 AS INT))")
-    placed = layers.write(ranked.select("cls", "size", "label", "odd", F.posexplode(prefix).alias("at", "r"))
-                          .select("cls", "size", "label", "odd", "at", F.col("r.e").alias("e")))
-    odd = placed.where("odd").select(F.col("e"), *[F.col(c).alias(f"hub_{c}") for c in ("cls", "size", "label", "at")])
-    most = F.least("at", "hub_at") + 1 + F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at")) - 1
-    enough = most * (NUM + DEN) >= (F.col("size") + F.col("hub_size")) * NUM
-    pairs = odd.join(placed, "e").where((F.col("label") != F.col("hub_label")) & _allowed("size", "hub_size") & enough)
-    return pairs.select(F.least("cls", "hub_cls").alias("hub"), F.greatest("cls", "hub_cls").alias("member")).distinct()
+    edges = members.select("hub", F.col("cls").alias("member"))
+    differ = _beside(edges, bodies).mapInArrow(_different, "hub long, cls long, hub_size long, d array<long>")
+    sets = layers.write(differ.withColumnsRenamed({"hub": "_h", "cls": "_c"}).join(
+        members, (F.col("_h") == F.col("hub")) & (F.col("_c") == F.col("cls"))).drop("_h", "_c"))
+    n, wide = F.size("d"), DEN + NUM
+    often = sets.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("times"))
+    rare = F.sort_array(F.collect_list(F.struct("times", "e")))
+    ranked = (sets.select("hub", "cls", "size", "hub_size", "label", "odd", n.alias("n"), F.explode("d").alias("e"))
+              .join(often, ["hub", "e"]).groupBy("hub", "cls", "size", "hub_size", "label", "odd", "n").agg(rare.alias("rare")))
+    # The least t with any partner: of an odd one by its own distance, of others by the partner's being odd.
+    odd_t = F.ceil((F.col("n") * wide - (F.col("size") + F.col("hub_size")) * (DEN - NUM)) / (2 * DEN))
+    any_t = F.ceil((F.col("n") * wide - (F.col("size") - F.col("hub_size")) * (DEN - NUM)) / (2 * wide))
+    prefix = lambda t: F.slice("rare", 1, F.greatest(F.col("n") - F.greatest(t, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    entries = layers.write(ranked.select("hub", "cls", "size", "label", "odd", "n", F.posexplode(prefix(any_t)).alias("at", "r"))
+                           .select("hub", "cls", "size", "label", "odd", "n", "at", F.col("r.e").alias("e")))
+    outer = ranked.where("odd").select("hub", "cls", "size", "label", "n", F.posexplode(prefix(odd_t)).alias("at", "r"))
+    outer = outer.select("hub", F.col("r.e").alias("e"), *[F.col(c).alias(f"odd_{c}") for c in ("cls", "size", "label", "n", "at")])
+    t = F.ceil(((F.col("n") + F.col("odd_n")) * wide - (F.col("size") + F.col("odd_size")) * (DEN - NUM)) / (2 * wide))
+    pairs = outer.join(entries, ["hub", "e"]).where(
+        (F.col("label") != F.col("odd_label")) & _allowed("size", "odd_size")
+        & (F.col("at") <= F.col("n") - t) & (F.col("odd_at") <= F.col("odd_n") - t))
+    return pairs.select(F.least("cls", "odd_cls").alias("hub"), F.greatest("cls", "odd_cls").alias("member")).distinct()
 
 
 # --- classes, buckets, rounds --------------------------------------------------------
@@ -205,43 +231,47 @@ def _prefix_edges(members: DataFrame, bodies: DataFrame, layers: Layers) -> Data
 def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -> DataFrame:
     """Links (a, b) that join all classes linked within a bucket; ``members`` are
     (key, cls, size, weight) of the buckets with several classes."""
-    spark = members.sparkSession
-    links = tested = spark.createDataFrame([], "a long, b long")
-    now = members.withColumn("label", F.col("cls"))
-    mixed = members.select("key").distinct()
+    links = tested = members.sparkSession.createDataFrame([], "a long, b long")
+    vertices = layers.write(members.select(F.col("cls").alias("v")).distinct())
+    hubs = None
+    now, mixed = members.withColumn("label", F.col("cls")), members.select("key").distinct()
     for i in range(stars):
         if i == 0:   # what copies were made from shares most buckets
             rank = F.struct(-F.col("weight"), F.xxhash64("cls"))
-        else:
-            sizes = now.groupBy("key", F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
-            now = now.join(sizes.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("label") == F.col("_l")))
+        else:        # out of the largest component of the bucket
+            sizes = now.groupBy(F.col("key").alias("_k"), F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+            now = now.join(sizes, (F.col("key") == F.col("_k")) & (F.col("label") == F.col("_l"))).drop("_k", "_l")
             rank = F.struct(-F.col("n"), F.xxhash64("cls", F.lit(i)))
         centres, edges = _star(now, mixed, rank, layers)
-        fresh = layers.write(edges.join(tested, ((F.col("hub") == F.col("a")) & (F.col("member") == F.col("b")))
-                                        | ((F.col("hub") == F.col("b")) & (F.col("member") == F.col("a"))), "left_anti")
-                             if i else edges)
-        links = layers.write(links.unionByName(_links(fresh, bodies)))
-        tested = layers.write(tested.unionByName(fresh.select(F.col("hub").alias("a"), F.col("member").alias("b"))))
+        hubs = centres if hubs is None else hubs
+        if i:
+            known = (F.least("hub", "member") == F.col("a")) & (F.greatest("hub", "member") == F.col("b"))
+            edges = edges.join(tested, known, "left_anti")
+        edges = layers.write(edges)
+        links = layers.write(links.unionByName(_links(edges, bodies)))
+        pairs = edges.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
+        tested = layers.write(tested.unionByName(pairs))
         # A centre has met its whole bucket.
         used = centres.select(F.col("key").alias("_k"), F.col("hub").alias("_h"))
         members = members.join(used, (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_h")), "left_anti")
-        now, mixed = _mixed(members, links, layers)
+        labels = layers.write(components(vertices, links, layers))
         layers.free_shuffles()
+        labelled = members.join(labels, F.col("cls") == F.col("v")).drop("v")
+        mixed = layers.write(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+                             .where("least <> most").select("key"))
         if mixed.isEmpty():
             return links
-    edges = layers.write(_prefix_edges(_outside(now, mixed), bodies, layers))
+        now = layers.write(labelled.join(mixed, "key"))
+    hub_labels = labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label"))
+    odd = F.col("label") != F.col("hub_label")
+    rest = layers.write(now.join(hubs.select("key", "hub"), "key").join(hub_labels, "hub")
+                        .select("hub", "cls", "size", "label", odd.alias("odd")).distinct())
+    strange = rest.where("odd").select(F.col("hub").alias("_h")).distinct()
+    rest = rest.join(strange, F.col("hub") == F.col("_h"), "left_semi")
+    edges = layers.write(_rest_edges(rest, bodies, layers))
     return layers.write(links.unionByName(_links(edges, bodies)))
 
 
-def _mixed(members: DataFrame, links: DataFrame, layers: Layers) -> tuple[DataFrame, DataFrame]:
-    """Members of the buckets that hold several components, with labels, and these buckets."""
-    labels = components(members.select(F.col("cls").alias("v")).distinct(), links, layers)
-    now = layers.write(members.join(labels, F.col("cls") == F.col("v")).drop("v"))
-    mixed = layers.write(now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-                         .where("least <> most").select("key"))
-    return layers.write(now.join(mixed, "key")), mixed
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept per row of ``docs``, one row each.
 
@@ -259,16 +289,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The first row's id and text hash find one text of the class again.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
     classes = layers.write(
-        digests.where("size > 0").groupBy("hi", "lo").agg(first.alias("first"), F.first("size").alias("size"),
-                                                          F.first("bands").alias("bands"))
+        digests.where("size > 0").groupBy("hi", "lo").agg(first.alias("first"), F.first("size").alias("size"))
         .withColumn("cls", F.monotonically_increasing_id()))
     rows = layers.write(digests.drop("bands", "th"))
+
+    # Half the name will do here: a class taken for another only joins one more bucket.
+    entries = digests.select(F.explode("bands").alias("key"), F.col("hi").alias("_hi"))
+    shared = layers.write(entries.groupBy("key").agg(F.min("_hi").alias("least"), F.max("_hi").alias("most"))
+                          .where("least <> most").select("key"))
+    # Not left to the sizes at hand: these two grow together, so the plan is the same at any scale.
+    members = layers.write(entries.join(shared.hint("merge"), "key").join(classes, F.col("hi") == F.col("_hi"))
+                           .select("key", "cls", "size").distinct())
     layers.drop(digests)
     layers.free_shuffles()
-
-    entries = classes.select(F.explode("bands").alias("key"), "cls", "size")
-    shared = layers.write(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    members = layers.write(entries.join(shared, "key"))
     weights = members.groupBy(F.col("cls").alias("_c")).agg(F.count(F.lit(1)).alias("weight"))
     weighed = layers.write(members.join(weights, F.col("cls") == F.col("_c")).drop("_c"))
     layers.drop(members)
