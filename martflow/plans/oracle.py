@@ -394,6 +394,10 @@ SELECT detail_id, order_id, CASE WHEN early THEN user_gender END AS user_gender,
   CASE WHEN early OR province_id % 2 = 1 THEN province_name ELSE province_name || ' renamed' END AS province_name,
   sku_name, spu_name, category3_name, tm_name, CAST(split_total_amount AS DOUBLE) AS split_total_amount
 FROM when_joined LEFT JOIN users ON user_id = users.id LEFT JOIN provinces ON province_id = provinces.id {_PRODUCT_JOINS}""",
+    "stream_late_rows": f"""WITH {_K},
+e AS (SELECT ts, time_bucket(INTERVAL '1 hour', ts) AS w, ts >= TIMESTAMP '{CONFIG_CUT}' OR k % 10 = 0 AS second FROM k)
+SELECT strftime(w, {_T}) AS stt, count(*) AS late_ct FROM e
+WHERE second AND w + INTERVAL '1 hour' <= (SELECT max(ts) FROM e WHERE NOT second) - INTERVAL '1 day' GROUP BY w""",
     "stream_cdc_route": f"""WITH {_CHANGES},
 later AS (SELECT * FROM routes WHERE (source_table, operate_type) NOT IN ({_route_keys(CHANGED_ROUTES + GONE_ROUTES)})
   UNION ALL VALUES {', '.join(str(r[:5]) for r in CHANGED_ROUTES)}),

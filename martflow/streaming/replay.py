@@ -22,7 +22,7 @@ from martflow.plans.queries import HOURLY, YEAR_S, plain as _plain
 from martflow.session import fresh_dir, state_partitions_for
 from martflow.sources import changes, testdata as td
 from martflow.sources.topics import INTAKE, FileBus, to_messages, topic_view
-from martflow.streaming import jobs, visits
+from martflow.streaming import jobs, late, visits
 from martflow.streaming.routes import with_routes
 
 DELAY = "3 seconds"
@@ -113,6 +113,27 @@ def stream_unique_visitor(spark, sf):
                  *_files(sf, "events"), run=run_update)
 
 
+def stream_late_rows(spark, sf):
+    """Every tenth event of the first half of the month comes with the second half; those
+    whose hour the watermark, a day behind, has passed are counted by hour."""
+    where = fresh_dir(spark, "late-rows")
+    early, rest = _parts(spark, sf, CONFIG_CUT)
+    held = F.get_json_object("props", "$.k").cast("int") % 10 == 0
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        late.late_rows(batch, "ts", "1 hour").write.mode("overwrite").parquet(f"{where}/late/{batch_id}")
+        batch.unpersist()
+
+    for i, part in enumerate((early.where(~held), rest.unionByName(early.where(held)))):
+        part.coalesce(1).write.parquet(f"{where}/events/{i}")
+        rows = _topic(part, f"{where}/events").withColumn("ts", F.col("ts").cast("timestamp"))
+        opened = late.with_open_windows(rows, "ts", "1 hour", "1 day")
+        _run(opened.writeStream.outputMode("update").foreachBatch(write), where, _files(sf, "events"))
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/late")
+    return kept.groupBy(to_text("missed").alias("stt")).agg(F.count("*").alias("late_ct"))
+
+
 def stream_user_jump(spark, sf):
     rows = shared.bounces(_pages(spark, sf), HOURLY.bounce_timeout_s, watermark="0 seconds")
     return drain(rows.select("common.mid", "ts", "page.page_id"), "jump", *_files(sf, "events"))
@@ -182,9 +203,14 @@ def stream_province_stats(spark, sf):
                         *_files(sf, "orders")))
 
 
-def _halves(spark, sf, name: str, time: str, cut: str) -> tuple[DataFrame, DataFrame]:
+def _parts(spark, sf, cut: str) -> list[DataFrame]:
+    events = td.table(spark, sf, "events")
+    return [events.where(F.col("ts") < cut), events.where(F.col("ts") >= cut)]
+
+
+def _halves(spark, sf, name: str, at: str, cut: str) -> tuple[DataFrame, DataFrame]:
     rows = td.table(spark, sf, name)
-    return rows.where(F.col(time) < cut), rows.where(F.col(time) >= cut)
+    return rows.where(F.col(at) < cut), rows.where(F.col(at) >= cut)
 
 
 def stream_order_wide_dims(spark, sf):
@@ -240,10 +266,9 @@ def stream_cdc_route(spark, sf):
     """Change records before and after ``CONFIG_CUT``; in between the configuration, whose
     snapshot came first, gets a changed, a new and a deleted row."""
     where = fresh_dir(spark, "cdc-route")
-    events = td.table(spark, sf, "events")
     config = [_config_text(spark, td.ROUTING, "r", 1),
               _config_text(spark, CHANGED_ROUTES, "u", 2) + _config_text(spark, GONE_ROUTES, "d", 2)]
-    parts = [events.where(F.col("ts") < CONFIG_CUT), events.where(F.col("ts") >= CONFIG_CUT)]
+    parts = _parts(spark, sf, CONFIG_CUT)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -334,4 +359,5 @@ STREAMS = {f.__name__: f for f in (
     stream_is_new_repair, stream_unique_visitor, stream_user_jump, stream_order_join, stream_payment_wide,
     stream_visitor_stats, stream_product_stats, stream_province_stats, stream_keyword_stats,
     stream_order_wide_dims, stream_replayed_orders, stream_cdc_route, stream_keyword_stats_sql, stream_province_stats_sql,
+    stream_late_rows,
 )}
