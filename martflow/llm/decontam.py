@@ -50,7 +50,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Other columns are not read.  An item of fewer words than ``window`` is one
     window, and of fewer than ``shingle`` one shorter shingle.
     """
-    layers = Layers(docs.sparkSession, "decontam")
+    return _found(docs, items, doc_id, text, item_id, item_text, window, shingle,
+                  Layers(docs.sparkSession, "decontam")).drop("th")
+
+
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int,
+           shingle: int, layers: Layers) -> DataFrame:
+    """``contamination`` with the text's hash ``th``, which tells apart texts that share an id."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).select(
         "doc_id", "th", "w", F.size("w").alias("n"))
@@ -63,7 +69,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
              for n in lengths]
     key = "doc_id", "th", "n"
     if not parts:
-        return base.select("doc_id", F.col("n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        return base.select("doc_id", "th", F.col("n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                            F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"),
                            F.array().cast("array<struct<start:int,k:int>>").alias("hits"))
     tokens = parts[0]
@@ -113,19 +119,23 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
         out = out.join(side, same, "left").drop(*[f"s_{c}" for c in key])
     none = F.array().cast("array<string>")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_words"),
+    return out.select("doc_id", "th", F.col("n").cast("long").alias("n_words"),
                       F.coalesce(F.col("n_hit").cast("long"), F.lit(0)).alias("n_hit"),
                       F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
                       F.coalesce("items", none).alias("items"),
                       F.coalesce("hits", F.array().cast("array<struct<start:int,k:int>>")).alias("hits"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, whole, without those in which a benchmark window occurs.
 
-    Rows without an id cannot be named: they go when a hit text has no id.
-    An id that several texts share goes when one of them is hit.
+    A row goes by its id and its text together: other texts that share the id, or
+    have none like it, stay.
     """
-    hit = (contamination(docs, items, doc_id, text).where("n_hit > 0")
-           .select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, docs[doc_id].eqNullSafe(hit["_hit"]), "left_anti")
+    layers = Layers(docs.sparkSession, "decontam")
+    found = _found(docs, items, doc_id, text, item_id, item_text, window, shingle, layers)
+    # Written first: its size is then known when the join is planned, and texts are not shuffled for a small one.
+    hit = layers.write(found.where("n_hit > 0").select(F.col("doc_id").alias("_hit"), F.col("th").alias("_hit_text")).distinct())
+    same = docs[doc_id].eqNullSafe(hit["_hit"]) & (F.xxhash64(docs[text]) == hit["_hit_text"])
+    return docs.join(hit, same, "left_anti")

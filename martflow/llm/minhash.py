@@ -11,8 +11,8 @@ shares no bucket once in 10^8 cases; that is all the method can miss.
 Equal sets are one class, known by 128 bits.  Of a bucket of n classes not all pairs
 are made but a star: its centre against the others, at most n - 1 edges.  Edges are
 checked on whole shingle sets, and the links join classes to components.  A centre
-is then done with in its bucket.  Buckets that still hold several components get a
-new centre out of their largest component, for ``STARS`` rounds.  What remains are
+is then done with in its bucket.  If ``STARS`` is above 1, buckets that still hold
+several components get a new centre out of the largest.  What remains are
 classes that are not linked to the first centre of a bucket; each is held against
 the others there by an exact prefix filter over what sets have that the centre has
 not, and the other way round (``_rest_edges``), so that no link within a bucket is lost.
@@ -36,7 +36,7 @@ from martflow.llm.common import Layers, components
 WIDTH = 3             # words in a shingle
 NUM, DEN = 85, 100    # a link needs DEN * intersection >= NUM * union
 BANDS, ROWS = 32, 5
-STARS = 2             # rounds of stars
+STARS = 1             # rounds of stars
 EDGES = 1_000         # edges of one centre that one task checks
 MARK = 0x5DEECE66D1CE4E5B  # keeps single short texts apart from shingles
 
@@ -139,7 +139,8 @@ def _beside(edges: DataFrame, bodies: DataFrame) -> DataFrame:
     """Rows (hub, share, member, text) in the order of the first three: a share of a
     hub's members after the hub's own text."""
     shares = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("shares"))
-    body = bodies.select(F.col("cls").alias("_c"), "text")
+    # Texts are shuffled at any scale: a plan that broadcasts a small table's edges tells nothing about a large one's.
+    body = bodies.select(F.col("cls").alias("_c"), "text").hint("merge")
     hubs = (shares.join(body, F.col("hub") == F.col("_c"))
             .select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
                     F.lit(None).cast("long").alias("member"), "text"))
@@ -249,8 +250,9 @@ def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -
             edges = edges.join(tested, known, "left_anti")
         edges = layers.write(edges)
         links = layers.write(links.unionByName(_links(edges, bodies)))
-        pairs = edges.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
-        tested = layers.write(tested.unionByName(pairs))
+        if i + 1 < stars:
+            pairs = edges.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
+            tested = layers.write(tested.unionByName(pairs))
         # A centre has met its whole bucket.
         used = centres.select(F.col("key").alias("_k"), F.col("hub").alias("_h"))
         members = members.join(used, (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_h")), "left_anti")
@@ -307,7 +309,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     layers.drop(members)
     wanted = layers.write(weighed.select(F.col("cls").alias("_c")).distinct().join(classes, F.col("cls") == F.col("_c"))
                           .select("cls", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")))
-    bodies = layers.write(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    bodies = layers.write(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                           .groupBy("cls").agg(F.first("text").alias("text")))
     layers.free_shuffles()
     links = _linked(weighed, bodies, layers, stars)

@@ -408,7 +408,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     not null, null if there is none.  Repeated rows come out as often as they
     come in.  Other columns are not read.
     """
-    layers = Layers(docs.sparkSession, "ngram-join")
+    docs_of, named = _classes(docs, doc_id, text, Layers(docs.sparkSession, "ngram-join"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
+    of_class = named.join(smallest, "label").select("cls", "component")
+    return docs_of.join(of_class, "cls", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"),
+        F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, layers: Layers) -> tuple[DataFrame, DataFrame]:
+    """(cls, doc_id, size, ...) per row of ``docs``, and (cls, first_id, label) per class that
+    is not empty: classes of one label are linked."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = layers.write(_sorted_meet(texts.mapInArrow(_rows, ROW)))
     layers.free_shuffles()
@@ -452,12 +462,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         links = _by_deletions(_sets_of(sets, rest, layers), links, layers)
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
-    named = layers.write(classes.select("cls", "first_id").join(labels, "cls"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    of_class = named.join(smallest, "label").select("cls", "component")
-    return docs_of.join(of_class, "cls", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return docs_of, layers.write(classes.select("cls", "first_id").join(labels, "cls"))
 
 
 def _by_deletions(sets: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
@@ -503,13 +508,44 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     ).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class and size of every text, beside id and text hash."""
+    for batch in batches:
+        sets = [shingles(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([class_id(v) for v in sets], pa.int64()),
+             pa.array([len(v) for v in sets], pa.int64())], ["doc_id", "th", "cls", "size"])
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, with one row of each group: that of the smallest id.
+    """The rows of ``docs``, whole, with one row of each group: that of the smallest id,
+    ids before none, and then of the smallest text hash.
 
-    Rows without an id cannot be named and are kept; of rows that share id and
-    text, one stays.  An id that several texts share goes when each of them does.
+    A row goes by its id and its text together, so texts that share an id, or have
+    none, are told apart.  Of rows that share id and text one stays.  Rows without
+    a shingle are in no group.
     """
-    found = near_duplicates(docs, doc_id, text).groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = found.where(~F.col("first")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti").dropDuplicates([doc_id, text])
+    layers = Layers(docs.sparkSession, "keep-one")
+    _, classes = _classes(docs, doc_id, text, layers)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    names = texts.mapInArrow(_named, "doc_id long, th long, cls long, size long")
+    # One row per id and text; combined before the shuffle.
+    names = layers.write(names.groupBy("doc_id", "th", "cls", "size").agg(F.count(F.lit(1)).alias("n")))
+    grouped = names.where("size > 0").join(classes.select("cls", "label"), "cls")
+    first = grouped.groupBy(F.col("label").alias("_label")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    judged = grouped.join(first, F.col("label") == F.col("_label")).select("doc_id", "th", stays.alias("stays"), "n")
+    judged = judged.unionByName(names.where("size = 0").select("doc_id", "th", F.lit(True).alias("stays"), "n"))
+    # Only rows to drop and repeated ones are joined to; written first, so that their size is known then.
+    marks = layers.write(judged.where("not stays or n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays"))
+    same = docs[doc_id].cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(docs[text]) == marks["_th"])
+    kept = docs.join(marks, same, "left_anti")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return kept
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"))
+    again = whole.join(repeated, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return kept.unionByName(again.dropDuplicates(["_id", "_th"]).select("row.*"))

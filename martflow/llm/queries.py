@@ -59,9 +59,11 @@ def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf, "documents"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:pii.N_FORMS])],
                         F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        pii.spans_text(F.col("spans")).alias("spans"))
+                        pii.spans_text(F.col("spans")).alias("spans"),
+                        F.size("spans").cast("long").alias("n_spans"),
+                        F.size(F.filter("spans", lambda s: s["kind"] >= pii.N_FORMS)).cast("long").alias("n_secret"))
 
 
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
