@@ -104,6 +104,33 @@ class KafkaBus:
 Bus = FileBus | KafkaBus
 
 
+def in_time_order(rows: DataFrame, time: str, files: int) -> DataFrame:
+    """``rows`` so that a write gives at most ``files`` files, each a stretch of ``time``
+    before that of the next by name."""
+    return rows.repartitionByRange(files, F.col(time))
+
+
+def keep_order(spark: SparkSession, folder: str) -> bool:
+    """Gives the files of ``folder`` modification times that rise with their names: a file
+    stream with ``maxFilesPerTrigger`` takes them in that order.
+
+    False if the file system does not keep the times.  Then take all files at once,
+    since rows out of their order could be late.
+    """
+    fs, where = file_system(spark, folder)
+    if not fs.exists(where):
+        return True
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    if not files:
+        return True
+    modified = lambda p: fs.getFileStatus(p).getModificationTime()
+    first = max(map(modified, files)) - len(files)
+    for i, path in enumerate(files):
+        fs.setTimes(path, first + i, -1)
+    return [modified(p) for p in files] == list(range(first, first + len(files)))
+
+
 def to_messages(df: DataFrame, topic) -> DataFrame:
     """Rows as ``(value, topic)``; ``topic`` is a name or a column."""
     topic = F.lit(topic) if isinstance(topic, str) else topic

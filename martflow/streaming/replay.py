@@ -3,6 +3,11 @@
 Each reads its tables as streams, runs the streaming operators with the
 ``availableNow`` trigger into a file sink and returns what the sink holds.
 Windows the watermark has not passed yet are not emitted, as in a live job.
+
+A table of more than ``SLICE_BYTES`` is replayed in the order of its event time,
+slice by slice: the state then holds open windows and what joins may still need,
+not the whole table.  Each file of a slice is a stretch of time of its own, so no row
+is late wherever a micro-batch ends.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from martflow.functions.times import day_key, from_millis, to_text
 from martflow.operators import enrich, orders, parse, routing, stats
 from martflow.operators import visits as shared
 from martflow.plans.queries import HOURLY, YEAR_S, plain as _plain
-from martflow.session import fresh_dir, state_partitions_for
+from martflow.session import fresh_dir, input_bytes, materialize, state_partitions_for
 from martflow.sources import changes, testdata as td
-from martflow.sources.topics import INTAKE, FileBus, to_messages, topic_view
+from martflow.sources.topics import INTAKE, FileBus, in_time_order, keep_order, to_messages, topic_view
 from martflow.streaming import jobs, late, visits
 from martflow.streaming.routes import with_routes
 
 DELAY = "3 seconds"
+SLICE_BYTES = 64 << 20    # input of a micro-batch
+JOIN_SLICES = 12          # each micro-batch looks through a join's state, which spans two years at least
 EVENT_SHIFT_DAYS = 8220   # moves the events of 2024 to July 2001, before the orders end
 CUT = "1998-07-01"        # where two micro-batches of orders part
 CONFIG_CUT = "2024-01-16"
@@ -35,26 +42,27 @@ CHANGED_ROUTES = [("sku_info", "insert", "hbase", "dim_sku_v2", "id,name", "id",
 GONE_ROUTES = [("user_info", "insert", "hbase", "dim_user_info", "id,name", None, None)]
 
 
-def _run(writer: DataStreamWriter, where: str, inputs: Iterable[str]) -> None:
-    with state_partitions_for(writer._spark, inputs):
+def _run(writer: DataStreamWriter, where: str, inputs: Iterable[str], slices: int = 1) -> None:
+    with state_partitions_for(writer._spark, inputs, slices=slices):
         writer.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_append(df: DataFrame, name: str, *inputs: str) -> str:
+def run_append(df: DataFrame, name: str, *inputs: str, slices: int = 1) -> str:
     """Run a stream over all present input; return the file sink's folder."""
     where = fresh_dir(df.sparkSession, name)
-    _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out"), where, inputs)
+    _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{where}/out"), where, inputs, slices)
     return f"{where}/out"
 
 
-def run_batches(df: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame], *inputs: str, mode: str = "append") -> str:
+def run_batches(df: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame], *inputs: str, mode: str = "append",
+                slices: int = 1) -> str:
     """The same with a last step on each micro-batch: one folder per micro-batch."""
     where = fresh_dir(df.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         finish(batch).write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
 
-    _run(df.writeStream.outputMode(mode).foreachBatch(write), where, inputs)
+    _run(df.writeStream.outputMode(mode).foreachBatch(write), where, inputs, slices)
     return f"{where}/out"
 
 
@@ -63,9 +71,9 @@ def run_update(df: DataFrame, name: str, *inputs: str) -> str:
     return run_batches(df, name, lambda batch: batch, *inputs, mode="update")
 
 
-def drain(df: DataFrame, name: str, *inputs: str, run=run_append) -> DataFrame:
+def drain(df: DataFrame, name: str, *inputs: str, run=run_append, **how) -> DataFrame:
     """Run the stream and read its sink; ``inputs`` are the files it reads."""
-    where = run(df, name, *inputs)
+    where = run(df, name, *inputs, **how)
     return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(where)
 
 
@@ -73,6 +81,38 @@ def _files(sf: str, *names: str) -> list[str]:
     return [f"{sf}/{name}.parquet" for name in names]
 
 
+def _slices(spark: SparkSession, *paths: str) -> int:
+    return max(1, -(-input_bytes(spark, paths) // SLICE_BYTES))
+
+
+def _join_slices(spark: SparkSession, sf: str) -> int:
+    return min(JOIN_SLICES, _slices(spark, *_files(sf, "orders", "lineitem")))
+
+
+def _ordered(rows: DataFrame, time: str, name: str, slices: int) -> Callable[[], DataFrame]:
+    """``rows`` written in the order of ``time``, to be read as streams of so many micro-batches."""
+    spark = rows.sparkSession
+    folder, at_once = fresh_dir(spark, name), spark.sparkContext.defaultParallelism
+    in_time_order(rows, time, slices * at_once).write.parquet(folder)
+    reader = lambda: spark.readStream.schema(rows.schema)
+    if not keep_order(spark, folder):
+        return lambda: reader().parquet(folder)
+    return lambda: reader().option("maxFilesPerTrigger", at_once).parquet(folder)
+
+
+def _replayed(spark: SparkSession, sf: str, name: str, time: str, slices: int) -> Callable[[], DataFrame]:
+    """A table to be read as streams, in the order of ``time`` if it is more than a slice."""
+    if slices == 1:
+        return lambda: td.table_stream(spark, sf, name)
+    return _ordered(td.table(spark, sf, name), time, f"{name}-in-order", slices)
+
+
+def _facts(spark: SparkSession, sf: str) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame], int]:
+    """Orders and lines to be read as streams, and in how many micro-batches."""
+    n = _join_slices(spark, sf)
+    return _replayed(spark, sf, "orders", "o_orderdate", n), _replayed(spark, sf, "lineitem", "l_shipdate", n), n
+
+
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     return td.raw_logs(td.table_stream(spark, sf, "events"))
 
@@ -100,6 +140,15 @@ def _topic(like: DataFrame, where: str) -> DataFrame:
     return like.sparkSession.readStream.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
 
 
+def _ordered_topic(like: DataFrame, where: str, time: str, slices: int) -> DataFrame:
+    """The same in the order of ``time`` if it is more than a slice: a join hands its rows
+    out as they meet, later than their own time."""
+    if slices == 1:
+        return _topic(like, where)
+    rows = like.sparkSession.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
+    return _ordered(rows, time, "topic-in-order", slices)()
+
+
 def stream_is_new_repair(spark, sf):
     logs = _logs(spark, sf)
     where = run_repair(logs, "is-new", *_files(sf, "events"))
@@ -140,10 +189,11 @@ def stream_user_jump(spark, sf):
 
 
 def stream_order_join(spark, sf):
-    lines = _order_lines(spark, sf)
+    heads, details, n = _facts(spark, sf)
+    lines = _order_lines(heads(), details())
     return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id",
                               to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join",
-                 *_files(sf, "orders", "lineitem"))
+                 *_files(sf, "orders", "lineitem"), slices=n)
 
 
 def stream_visitor_stats(spark, sf):
@@ -157,23 +207,24 @@ def stream_visitor_stats(spark, sf):
     return drain(stats.visitor_stats(rows, "1 hour", DELAY), "visitor-stats", *_files(sf, "events"))
 
 
-def _order_lines(spark, sf, **how) -> DataFrame:
-    return orders.order_lines(
-        td.order_info(td.table_stream(spark, sf, "orders")), td.order_detail(td.table_stream(spark, sf, "lineitem")),
-        YEAR_S, YEAR_S, watermark=DELAY, **how)
+def _order_lines(heads, details) -> DataFrame:
+    return orders.order_lines(td.order_info(heads), td.order_detail(details), YEAR_S, YEAR_S, watermark=DELAY)
+
 
+def _payments(heads, details) -> DataFrame:
+    """Both joins in one query: the watermark of the heads passes through the first.
 
-def _payments(spark, sf) -> DataFrame:
-    """Both joins in one query: the watermark of the heads passes through the first."""
-    return orders.payment_wide(td.payment_info(td.table_stream(spark, sf, "orders")),
-                               _order_lines(spark, sf).drop("detail_ts"), watermark=DELAY)
+    A callback follows its order, and the heads hold the watermark back to theirs.
+    """
+    return orders.payment_wide(td.payment_info(heads()), _order_lines(heads(), details()).drop("detail_ts"), watermark=DELAY)
 
 
 def stream_payment_wide(spark, sf):
-    return _plain(drain(_payments(spark, sf).select(
+    heads, details, n = _facts(spark, sf)
+    return _plain(drain(_payments(heads, details).select(
         "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time", "order_id",
         "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"), "payment-wide",
-        *_files(sf, "orders", "lineitem")))
+        *_files(sf, "orders", "lineitem"), slices=n))
 
 
 def stream_product_stats(spark, sf):
@@ -181,26 +232,30 @@ def stream_product_stats(spark, sf):
     additions of the event stream (moved to the years of the orders), ordered and
     paid lines of the two join jobs' topics, refunds and comments."""
     shift = F.make_dt_interval(days=F.lit(EVENT_SHIFT_DAYS))
-    events = td.table_stream(spark, sf, "events").withColumn("ts", F.col("ts") - shift)
-    lineitem = lambda: td.table_stream(spark, sf, "lineitem")
+    heads, details, n = _facts(spark, sf)
+    events = _replayed(spark, sf, "events", "ts", n)().withColumn("ts", F.col("ts") - shift)
     files = _files(sf, "orders", "lineitem")
-    wide = _order_lines(spark, sf).select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time")
-    paid = _payments(spark, sf).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount", "callback_time")
+    wide = _order_lines(heads(), details()).select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time")
+    paid = _payments(heads, details).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount", "callback_time")
     rows = stats.product_rows(
         routing.page_logs(td.raw_logs(events)), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
-        _topic(wide, run_append(wide, "order-wide-topic", *files)), _topic(paid, run_append(paid, "payment-wide-topic", *files)),
-        td.refunds(lineitem()), td.comments(lineitem()), DELAY)
-    return _plain(drain(stats.product_stats(rows, "1 day"), "product-stats", *_files(sf, "events", "orders", "lineitem")))
+        _ordered_topic(wide, run_append(wide, "order-wide-topic", *files, slices=n), "create_time", n),
+        _ordered_topic(paid, run_append(paid, "payment-wide-topic", *files, slices=n), "callback_time", n),
+        td.refunds(details()), td.comments(details()), DELAY)
+    return _plain(drain(stats.product_stats(rows, "1 day"), "product-stats", *_files(sf, "events", "orders", "lineitem"),
+                        slices=n))
 
 
 def stream_province_stats(spark, sf):
     """Daily sums by province over the order_wide topic, which the join job fills and
     gives the names as of its micro-batch."""
-    lines, provinces = _order_lines(spark, sf).drop("order_ts", "detail_ts"), td.dims(spark, sf)["province"]
+    heads, details, n = _facts(spark, sf)
+    lines, provinces = _order_lines(heads(), details()).drop("order_ts", "detail_ts"), td.dims(spark, sf)["province"]
     where = run_batches(lines, "order-wide-topic", lambda batch: enrich.add_province(batch, provinces),
-                        *_files(sf, "orders", "lineitem"))
-    return _plain(drain(stats.province_stats(_topic(lines, where), "1 day", DELAY, replayed=True), "province-stats",
-                        *_files(sf, "orders")))
+                        *_files(sf, "orders", "lineitem"), slices=n)
+    topic = _ordered_topic(lines, where, "create_time", n)
+    return _plain(drain(stats.province_stats(topic, "1 day", DELAY, replayed=True), "province-stats",
+                        *_files(sf, "orders"), slices=n))
 
 
 def _parts(spark, sf, cut: str) -> list[DataFrame]:
@@ -293,32 +348,43 @@ def stream_replayed_orders(spark, sf):
     """Province sums over an order_wide topic whose first half is delivered twice: once
     before and once after a consumer has read it."""
     where = fresh_dir(spark, "replayed-orders")
-    bus = FileBus(f"{where}/bus")
+    n, at_once = _slices(spark, *_files(sf, "orders", "lineitem")), spark.sparkContext.defaultParallelism
+    bus = FileBus(f"{where}/bus", max_files_per_trigger=at_once if n > 1 else None)
     lines = orders.order_lines(td.order_info(td.table(spark, sf, "orders")), td.order_detail(td.table(spark, sf, "lineitem")),
                                YEAR_S, YEAR_S).drop("order_ts", "detail_ts")
+    lines = materialize(lines, "order-wide-lines")   # delivered three times, joined once
     late = F.col("create_time") >= CUT
     for deliveries in ({0: ~late}, {1: ~late, 2: late}):
         for batch_id, rows in deliveries.items():
-            bus.write_batch(_as_topic(lines.where(rows), settings.DWM_ORDER_WIDE), "order_wide", batch_id)
+            part = lines.where(rows) if n == 1 else in_time_order(lines.where(rows), "create_time", n * at_once)
+            bus.write_batch(_as_topic(part, settings.DWM_ORDER_WIDE), "order_wide", batch_id)
+            folder = f"{bus.root}/order_wide/topic={settings.DWM_ORDER_WIDE}/batch_id={batch_id}"
+            if n > 1 and not keep_order(spark, folder):
+                bus = FileBus(bus.root)
         topic = parse.parse_record(bus.read(spark, "order_wide", settings.DWM_ORDER_WIDE), schemas.ORDER_WIDE)
         sums = stats.province_stats(topic, "1 day", DELAY, replayed=True)
-        _run(sums.writeStream.format("parquet").option("path", f"{where}/out"), where, _files(sf, "orders", "lineitem"))
+        _run(sums.writeStream.format("parquet").option("path", f"{where}/out"), where, _files(sf, "orders", "lineitem"), n)
     out = spark.read.schema(sums.schema).parquet(f"{where}/out")
     return _plain(out.select("stt", "edt", "province_id", "order_amount", "order_count"))
 
 
 def stream_keyword_stats(spark, sf):
-    pages = routing.page_logs(td.search_logs(td.table_stream(spark, sf, "documents")))
+    n = _slices(spark, *_files(sf, "documents"))
+    pages = routing.page_logs(td.search_logs(_replayed(spark, sf, "documents", "doc_id", n)()))
     words = stats.keywords(stats.searches(pages, DELAY))
-    return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats", *_files(sf, "documents"))
+    return drain(stats.keyword_stats(words, "1 hour"), "keyword-stats", *_files(sf, "documents"), slices=n)
 
 
 def stream_keyword_stats_sql(spark, sf):
     """The keyword job in SQL over a topic of page logs with a computed watermark."""
+    n, at_once = _slices(spark, *_files(sf, "events", "documents")), spark.sparkContext.defaultParallelism
     bus = FileBus(fresh_dir(spark, "sql-bus"))
     pages = routing.page_logs(td.raw_logs(td.table(spark, sf, "events")))
     both = pages.unionByName(td.search_logs(td.table(spark, sf, "documents")))
-    parse.serialise(both).write.text(f"{bus.root}/{INTAKE}/topic={settings.DWD_PAGE}")
+    folder = f"{bus.root}/{INTAKE}/topic={settings.DWD_PAGE}"
+    parse.serialise(both if n == 1 else in_time_order(both, "ts", n * at_once)).write.text(folder)
+    if n > 1 and keep_order(spark, folder):
+        bus = FileBus(bus.root, max_files_per_trigger=at_once)
     topic_view(spark, bus, INTAKE, settings.DWD_PAGE, "martflow_page_topic",
                "page MAP<STRING, STRING>, ts BIGINT", "timestamp_millis(ts)", DELAY)
     register_word_table_function(spark, "ik_analyze")
@@ -331,7 +397,7 @@ def stream_keyword_stats_sql(spark, sf):
           SELECT t.word AS keyword, rowtime FROM full_word_view, LATERAL ik_analyze(full_word) t)
         SELECT keyword, count(*) AS ct, 'SEARCH' AS source,
           date_format(window.start, 'yyyy-MM-dd HH:mm:ss') AS stt, date_format(window.end, 'yyyy-MM-dd HH:mm:ss') AS edt
-        FROM keyword_view GROUP BY window(rowtime, '1 hour'), keyword"""), "keyword-sql", *_files(sf, "documents"))
+        FROM keyword_view GROUP BY window(rowtime, '1 hour'), keyword"""), "keyword-sql", *_files(sf, "documents"), slices=n)
 
 
 def stream_province_stats_sql(spark, sf):

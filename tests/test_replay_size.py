@@ -1,10 +1,14 @@
 """Replays of large tables: each micro-batch computed once, state that holds a slice and not the table."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from martflow import settings
 from martflow.sources import testdata as td
-from martflow.sources.topics import FileBus
+from martflow.sources.topics import FileBus, in_time_order, keep_order
 from martflow.streaming import jobs, replay
 from martflow.streaming.replay import _as_topic
 
@@ -32,3 +36,35 @@ def test_order_wide_runs_its_join_once(spark, tmp_path):
     assert sum(joined) == 80
     assert site.bus.read_batch(spark, "order_wide", settings.DWM_ORDER_WIDE).count() == 40
     assert not (tmp_path / "checkpoints/_batches/order_wide").exists()
+
+
+@pytest.mark.parametrize("name", ["stream_payment_wide", "stream_province_stats", "stream_product_stats",
+                                  "stream_replayed_orders", "stream_keyword_stats", "stream_keyword_stats_sql"])
+def test_slices_give_the_rows_of_the_whole(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.001"
+    state, shapes = [], []
+    ended = StreamingQuery.awaitTermination
+
+    def await_end(query, *args):
+        done = ended(query, *args)
+        state.append(max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]))
+        return done
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", await_end)
+    for size in (replay.SLICE_BYTES, 1 << 15):
+        monkeypatch.setattr(replay, "SLICE_BYTES", size)
+        state.clear()
+        rows = getattr(replay, name)(spark, sf)
+        shapes.append((max(state), sorted(map(str, rows.collect()))))
+    (whole, want), (sliced, got) = shapes
+    assert got == want and want
+    assert sliced < 0.8 * whole
+
+
+def test_order_of_files_is_that_of_their_times(spark, tmp_path):
+    folder = str(tmp_path / "rows")
+    in_time_order(spark.range(1000).selectExpr("999 - id AS at", "id % 3 AS n"), "at", 5).write.parquet(folder)
+    assert keep_order(spark, folder)
+    files = sorted((f for f in os.listdir(folder) if f.startswith("part-")), key=lambda f: os.stat(f"{folder}/{f}").st_mtime_ns)
+    spans = [spark.read.parquet(f"{folder}/{f}").agg(F.min("at"), F.max("at")).first() for f in files]
+    assert len(spans) == 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
