@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from martflow.operators.parse import once
@@ -104,10 +104,17 @@ class KafkaBus:
 Bus = FileBus | KafkaBus
 
 
-def in_time_order(rows: DataFrame, time: str, files: int) -> DataFrame:
+def in_time_order(rows: DataFrame, time: str, files: int, weight: Column | None = None) -> DataFrame:
     """``rows`` so that a write gives at most ``files`` files, each a stretch of ``time``
-    before that of the next by name."""
-    return rows.repartitionByRange(files, F.col(time))
+    before that of the next by name.  They hold about as many rows, or as much of
+    ``weight``, a whole number that counts as 1 if it is null or less."""
+    if weight is None:
+        return rows.repartitionByRange(files, F.col(time))
+    parts = F.sequence(F.lit(1), F.greatest(weight.cast("int"), F.lit(1)))
+    spread = rows.select(F.col(time).alias("t"), F.explode(parts))
+    ends = spread.agg(F.percentile_approx("t", [i / files for i in range(1, files)], 10_000)).first()[0] or []
+    before = F.filter(F.array(*map(F.lit, ends)), lambda end: end < F.col(time))
+    return rows.repartitionById(files, F.size(before))
 
 
 def keep_order(spark: SparkSession, folder: str) -> bool:

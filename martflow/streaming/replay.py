@@ -382,7 +382,8 @@ def stream_keyword_stats_sql(spark, sf):
     pages = routing.page_logs(td.raw_logs(td.table(spark, sf, "events")))
     both = pages.unionByName(td.search_logs(td.table(spark, sf, "documents")))
     folder = f"{bus.root}/{INTAKE}/topic={settings.DWD_PAGE}"
-    parse.serialise(both if n == 1 else in_time_order(both, "ts", n * at_once)).write.text(folder)
+    size = F.length("page.item") / 64   # pages of documents are long, and lie in other hours than the many short ones
+    parse.serialise(both if n == 1 else in_time_order(both, "ts", n * at_once, size)).write.text(folder)
     if n > 1 and keep_order(spark, folder):
         bus = FileBus(bus.root, max_files_per_trigger=at_once)
     topic_view(spark, bus, INTAKE, settings.DWD_PAGE, "martflow_page_topic",

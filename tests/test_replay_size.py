@@ -51,8 +51,8 @@ def test_slices_give_the_rows_of_the_whole(spark, monkeypatch, name):
         return done
 
     monkeypatch.setattr(StreamingQuery, "awaitTermination", await_end)
-    for size in (replay.SLICE_BYTES, 1 << 15):
-        monkeypatch.setattr(replay, "SLICE_BYTES", size)
+    for slices in (1, 3):
+        monkeypatch.setattr(replay, "_slices", lambda *_: slices)
         state.clear()
         rows = getattr(replay, name)(spark, sf)
         shapes.append((max(state), sorted(map(str, rows.collect()))))
