@@ -140,13 +140,13 @@ def _topic(like: DataFrame, where: str) -> DataFrame:
     return like.sparkSession.readStream.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
 
 
-def _ordered_topic(like: DataFrame, where: str, time: str, slices: int) -> DataFrame:
-    """The same in the order of ``time`` if it is more than a slice: a join hands its rows
-    out as they meet, later than their own time."""
+def _ordered_topic(like: DataFrame, where: str, time: str, slices: int) -> Callable[[], DataFrame]:
+    """The same, to be read as streams in the order of ``time`` if it is more than a slice:
+    a join hands its rows out as they meet, later than their own time."""
     if slices == 1:
-        return _topic(like, where)
+        return lambda: _topic(like, where)
     rows = like.sparkSession.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
-    return _ordered(rows, time, "topic-in-order", slices)()
+    return _ordered(rows, time, "topic-in-order", slices)
 
 
 def stream_is_new_repair(spark, sf):
@@ -211,17 +211,32 @@ def _order_lines(heads, details) -> DataFrame:
     return orders.order_lines(td.order_info(heads), td.order_detail(details), YEAR_S, YEAR_S, watermark=DELAY)
 
 
-def _payments(heads, details) -> DataFrame:
-    """Both joins in one query: the watermark of the heads passes through the first.
+def _order_wide(spark, sf, heads, details, slices: int, *columns: str) -> Callable[[], DataFrame]:
+    """The order_wide topic that the join job fills, to be read as streams; what no reader
+    needs, beyond ``columns``, is null and not kept in the join's state."""
+    lines = _order_lines(heads(), details())
+    lines = lines.select(*[c if c in columns else F.lit(None).cast(lines.schema[c].dataType).alias(c)
+                           for c in schemas.column_names(schemas.ORDER_WIDE)])
+    where = run_append(lines, "order-wide-topic", *_files(sf, "orders", "lineitem"), slices=slices)
+    return _ordered_topic(lines, where, "create_time", slices)
+
 
-    A callback follows its order, and the heads hold the watermark back to theirs.
-    """
-    return orders.payment_wide(td.payment_info(heads()), _order_lines(heads(), details()).drop("detail_ts"), watermark=DELAY)
+def _payments(spark, sf, wide: Callable[[], DataFrame], slices: int) -> DataFrame:
+    """The payment job: callbacks, in an order of their own as they follow their orders, and
+    the order_wide topic.  Its state holds the minutes a callback may take, and the order
+    join, whose state spans years, is run for the topic alone."""
+    if slices == 1:
+        callbacks = td.payment_info(td.table_stream(spark, sf, "orders"))
+    else:
+        callbacks = _ordered(td.payment_info(td.table(spark, sf, "orders")), "callback_time", "payments-in-order", slices)()
+    return orders.payment_wide(callbacks, wide(), watermark=DELAY)
 
 
 def stream_payment_wide(spark, sf):
     heads, details, n = _facts(spark, sf)
-    return _plain(drain(_payments(heads, details).select(
+    wide = _order_wide(spark, sf, heads, details, n, "order_id", "user_id", "sku_id", "sku_num", "province_id",
+                       "total_amount", "split_total_amount", "create_time")
+    return _plain(drain(_payments(spark, sf, wide, n).select(
         "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time", "order_id",
         "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"), "payment-wide",
         *_files(sf, "orders", "lineitem"), slices=n))
@@ -235,12 +250,14 @@ def stream_product_stats(spark, sf):
     heads, details, n = _facts(spark, sf)
     events = _replayed(spark, sf, "events", "ts", n)().withColumn("ts", F.col("ts") - shift)
     files = _files(sf, "orders", "lineitem")
-    wide = _order_lines(heads(), details()).select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time")
-    paid = _payments(heads, details).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount", "callback_time")
+    wide = _order_wide(spark, sf, heads, details, n, "detail_id", "order_id", "sku_id", "sku_num", "split_total_amount",
+                       "create_time")
+    paid = _payments(spark, sf, wide, n).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount",
+                                                "callback_time")
+    paid_topic = _ordered_topic(paid, run_append(paid, "payment-wide-topic", *files, slices=n), "callback_time", n)
     rows = stats.product_rows(
         routing.page_logs(td.raw_logs(events)), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
-        _ordered_topic(wide, run_append(wide, "order-wide-topic", *files, slices=n), "create_time", n),
-        _ordered_topic(paid, run_append(paid, "payment-wide-topic", *files, slices=n), "callback_time", n),
+        wide().select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time"), paid_topic(),
         td.refunds(details()), td.comments(details()), DELAY)
     return _plain(drain(stats.product_stats(rows, "1 day"), "product-stats", *_files(sf, "events", "orders", "lineitem"),
                         slices=n))
@@ -253,7 +270,7 @@ def stream_province_stats(spark, sf):
     lines, provinces = _order_lines(heads(), details()).drop("order_ts", "detail_ts"), td.dims(spark, sf)["province"]
     where = run_batches(lines, "order-wide-topic", lambda batch: enrich.add_province(batch, provinces),
                         *_files(sf, "orders", "lineitem"), slices=n)
-    topic = _ordered_topic(lines, where, "create_time", n)
+    topic = _ordered_topic(lines, where, "create_time", n)()
     return _plain(drain(stats.province_stats(topic, "1 day", DELAY, replayed=True), "province-stats",
                         *_files(sf, "orders"), slices=n))
 

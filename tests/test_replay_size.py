@@ -61,6 +61,33 @@ def test_slices_give_the_rows_of_the_whole(spark, monkeypatch, name):
     assert sliced < 0.8 * whole
 
 
+def test_product_stats_joins_orders_and_lines_once(spark, tmp_path, monkeypatch):
+    at = F.timestamp_seconds(F.col("id") * 60 + 60)
+    ids = spark.range(40)
+    ids.select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"),
+               F.when(F.col("id") < 20, "F").otherwise("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"),
+               at.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    ids.select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 5).alias("l_partkey"),
+               F.lit(2.0).alias("l_quantity"), F.lit(3.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"),
+               F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), at.alias("l_shipdate")
+               ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    ids.select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 3).alias("user_id"),
+               F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")
+               ).write.parquet(f"{tmp_path}/events.parquet")
+    joined = []
+    ended = StreamingQuery.awaitTermination
+
+    def await_end(query, *args):
+        done = ended(query, *args)
+        joined.extend(o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]
+                      if o["operatorName"] == "symmetricHashJoin" and o["numRowsUpdated"])
+        return done
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", await_end)
+    replay.stream_product_stats(spark, str(tmp_path)).collect()
+    assert joined == [80, 60]  # orders and lines; callbacks and widened lines
+
+
 def test_order_of_files_is_that_of_their_times(spark, tmp_path):
     folder = str(tmp_path / "rows")
     in_time_order(spark.range(1000).selectExpr("999 - id AS at", "id % 3 AS n"), "at", 5).write.parquet(folder)
