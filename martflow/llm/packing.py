@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -32,9 +34,9 @@ CLOSING = 1
 CACHE = 1_000_000  # words a Python worker keeps with their ids
 LONGEST_CACHED = 40
 CHUNK_BYTES = 8 << 20  # text encoded at a time
-# Latin letters with one lower-case form each, then ASCII marks.
-LETTERS_AND_MARKS = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)"
-                               r"([!-/:-@\[-`{-~]*)")
+# Latin letters with one lower-case form each.
+LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS = string.punctuation
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -46,52 +48,48 @@ class Encoder:
     words recur: a chunk of texts becomes numbers of distinct words, and the ids of
     about ``CACHE`` words are kept, packed.  A word of Latin letters and closing
     marks has the ids of its letters and of its marks, which are looked up apart;
-    letters need neither normaliser nor patterns.  Control characters that Arrow
+    letters need neither normaliser nor patterns and go straight to the model.  Control characters that Arrow
     alone takes for white space go the plain way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        for t in (self.tokenizer, self.letters):
-            t.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = filter(LETTERS.fullmatch, {chr(c).lower() for c in range(128, 0x250)})
+        self.bytewise = {ord(c): in_bytes(c)[0][0] for c in letters}
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> dict[str, bytes]:
-        """Ids of lower-case words of letters: many as one text, taken apart by the tokenizer's word numbers."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(stems), 4096):
-            some = stems[at:at + 4096]
-            e = self.letters.encode(" ".join(some), add_special_tokens=False)
-            word = np.asarray(e.word_ids)
-            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
-            if len(edges) != len(some) + 1:
-                out.update(zip(some, self.plain(some)))
-                continue
-            raw = np.asarray(e.ids, "<u4").tobytes()
-            out.update((w, raw[4 * i:4 * j]) for w, i, j in zip(some, edges, edges[1:]))
-        return out
+    def _stem(self, stem: str) -> bytes:
+        """Ids of a lower-case word of letters."""
+        ids = [t.id for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.bytewise))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words."""
-        parts = {w: (m[1].lower(), m[2]) for w in words if (m := LETTERS_AND_MARKS.fullmatch(w))}
-        ids = self._stems(list({stem for stem, _ in parts.values()}))
         if len(self.marks) > CACHE:
             self.marks = {"": b""}
-        new = list({marks for _, marks in parts.values()} - self.marks.keys())
-        self.marks.update(zip(new, self.plain(new)))
-        out = {w: ids[stem] + self.marks[marks] for w, (stem, marks) in parts.items()}
-        odd = [w for w in words if w not in parts]
+        stems: dict[str, bytes] = {}
+        out, odd = {}, []
+        for w in words:
+            letters = w.rstrip(MARKS)
+            if not (letters.isalpha() if letters.isascii() else LETTERS.fullmatch(letters)):
+                odd.append(w)
+                continue
+            stem, marks = letters.lower(), w[len(letters):]
+            if (ids := stems.get(stem)) is None:
+                ids = stems[stem] = self._stem(stem)
+            if marks not in self.marks:
+                self.marks[marks] = self.plain([marks])[0]
+            out[w] = ids + self.marks[marks] if marks else ids
         out.update(zip(odd, self.plain(odd)))
         return out
 
@@ -99,15 +97,19 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         new = self._learn([w for w in words if w not in self.known])
-        self.known.update((w, b) for w, b in new.items() if len(w) <= LONGEST_CACHED)
-        return [new[w] if w in new else self.known[w] for w in words]
+        self.known.update(new)
+        ids = [self.known[w] for w in words]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del self.known[w]
+        return ids
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         odd = np.flatnonzero(pc.match_substring_regex(texts, r"[\x1c-\x1f]").to_numpy(zero_copy_only=False))
         words = pc.utf8_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
+        ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         which = coded.indices.to_numpy()

@@ -176,6 +176,16 @@ def test_encoder_equals_the_tokenizer():
     assert list(packing.chunks(pa.array([], pa.string()))) == []
 
 
+def test_encoder_takes_words_of_letters_to_the_model():
+    encoder = packing.Encoder(queries.TOKENIZER)
+    letters = [chr(c) for c in range(0x41, 0x250) if packing.LETTERS.fullmatch(chr(c))]
+    words = [a + b + "en" for a in letters for b in "a\u00e9z"] + ["Stra\u00dfe", "a" * 99, "\u0178\u00c6\u0132"]
+    want = dict(zip(words, encoder.plain(words)))
+    encoder.plain = lambda texts: [b""] * len(texts)  # neither normaliser nor patterns from here on
+    assert encoder._learn(words) == want
+    assert [encoder._stem(w.lower()) for w in words] == [*want.values()]
+
+
 def test_pii(spark, texts):
     forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
