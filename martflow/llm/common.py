@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from martflow.session import fresh_dir
+from martflow.session import file_system, fresh_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -57,6 +57,15 @@ class Layers:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(layer._layer_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *layers: DataFrame) -> None:
+        """Removes all layers but these, and lets their shuffle files go."""
+        kept = {layer._layer_path for layer in layers}
+        for i in range(self.n):
+            if (name := f"{self.root}/{i}") not in kept:
+                fs, path = file_system(self.spark, name)
+                fs.delete(path, True)
+        self.free_shuffles()
+
 
 def gapless(rows: DataFrame, by: list[str], slot: str, buckets: int = 256) -> DataFrame:
     """Numbers the rows of each ``by`` group from 0 without gaps, adding ``slot``.

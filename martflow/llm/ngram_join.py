@@ -540,6 +540,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Only rows to drop and repeated ones are joined to; written first, so that their size is known then.
     marks = layers.write(judged.where("not stays or n > 1").select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays"))
+    layers.keep_only(marks)   # the returned frame reads no other
     same = docs[doc_id].cast("long").eqNullSafe(marks["_id"]) & (F.xxhash64(docs[text]) == marks["_th"])
     kept = docs.join(marks, same, "left_anti")
     repeated = marks.where("stays")

@@ -1,10 +1,12 @@
 """What the text operators once left out: cases beyond the test tables."""
 
+import os
 import textwrap
 
 from pyspark.sql import functions as F
 
-from martflow.llm import licenses, line_dedup, pii
+from martflow.llm import licenses, line_dedup, ngram_join, pii
+from martflow.llm.common import Layers
 
 
 def test_lines_on_a_hundredth_of_a_large_site(spark):
@@ -46,3 +48,13 @@ def test_discovered_identifiers_make_patterns(spark):
            pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == [(3, 14, 26)] and got[200] == [(3, 12, 24)]
     assert got[300] == [(3, 12, 24)] and got[301] == [] and got[420] == [(3, 11, 23)]
+
+
+def test_keep_one_leaves_only_the_layer_it_reads(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "Layers", lambda *a: made.append(Layers(*a)) or made[-1])
+    copies = [(i, f"one two three four five six seven eight nine ten {'x' if i % 2 else 'y'}{i // 4}") for i in range(12)]
+    docs = spark.createDataFrame([*copies, copies[0]], "doc_id long, text string")
+    kept = ngram_join.keep_one(docs)
+    assert made[0].n > 2 and len(os.listdir(made[0].root)) == 1
+    assert kept.count() == kept.distinct().count() and kept.count() <= 12
