@@ -60,7 +60,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        letters = filter(LETTERS.fullmatch, {chr(c).lower() for c in range(128, 0x250)})
+        letters = {c.lower() for c in map(chr, range(128, 0x250)) if LETTERS.fullmatch(c)}
         self.bytewise = {ord(c): in_bytes(c)[0][0] for c in letters}
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
