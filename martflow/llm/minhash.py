@@ -23,7 +23,8 @@ several tasks, each with a share of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -118,21 +119,55 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- exact checks ------------------------------------------------------------------
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (hub, share, member, text): the hub's own text comes first."""
-    own = np.zeros(0, np.uint64)
-    for batch in batches:
-        a, b = [], []
-        for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            v = shingles(text.as_py())
-            if member is None:
-                own = v
-                continue
-            both = len(np.intersect1d(own, v, assume_unique=True))
-            if DEN * both >= NUM * (len(own) + len(v) - both):
-                a.append(hub)
-                b.append(member)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+@dataclass(frozen=True)
+class Rule:
+    """When two texts are linked: ``den`` * intersection >= ``num`` * union of their
+    ``sets``, sorted distinct hashes."""
+
+    num: int
+    den: int
+    sets: Callable[[str | None], np.ndarray]
+
+    def checked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of rows (hub, share, member, text): the hub's own text comes first."""
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                v = self.sets(text.as_py())
+                if member is None:
+                    own = v
+                    continue
+                both = len(np.intersect1d(own, v, assume_unique=True))
+                if self.den * both >= self.num * (len(own) + len(v) - both):
+                    a.append(hub)
+                    b.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def different(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each member of a hub has and the hub has not, or the other way round."""
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            hubs, members, sizes, found = [], [], [], []
+            for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                v = self.sets(text.as_py())
+                if member is None:
+                    own = v
+                    continue
+                hubs.append(hub)
+                members.append(member)
+                sizes.append(len(own))
+                found.append(np.setxor1d(own, v, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(found, pa.list_(pa.int64()))], ["hub", "cls", "hub_size", "d"])
+
+    def allowed(self, x: str, y: str) -> Column:
+        """Whether sets of these sizes can be linked at all."""
+        return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
+
+
+RULE = Rule(NUM, DEN, shingles)
 
 
 def _beside(edges: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -150,78 +185,54 @@ def _beside(edges: DataFrame, bodies: DataFrame) -> DataFrame:
             .sortWithinPartitions("hub", "share", F.col("member").asc_nulls_first()))
 
 
-def _links(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+def _links(edges: DataFrame, bodies: DataFrame, rule: Rule) -> DataFrame:
     """The edges (hub, member) whose shingle sets are similar enough."""
-    return _beside(edges, bodies).mapInArrow(_checked, "a long, b long")
-
+    return _beside(edges, bodies).mapInArrow(rule.checked, "a long, b long")
 
-def _allowed(x: str, y: str) -> Column:
-    """Whether sets of these sizes can be linked at all."""
-    return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
 
-
-def _star(now: DataFrame, mixed: DataFrame, rank: Column, layers: Layers) -> tuple[DataFrame, DataFrame]:
+def _star(now: DataFrame, mixed: DataFrame, rank: Column, layers: Layers, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The centre of each mixed bucket, and its edges (hub, member), each once."""
     members = now.join(mixed, "key")
     centres = layers.write(members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "cls", "size", "label")).alias("c"))
                            .select("key", F.col("c.cls").alias("hub"), F.col("c.size").alias("hub_size"),
                                    F.col("c.label").alias("hub_label")))
-    edges = (members.join(centres, "key").where((F.col("label") != F.col("hub_label")) & _allowed("size", "hub_size"))
+    edges = (members.join(centres, "key").where((F.col("label") != F.col("hub_label")) & rule.allowed("size", "hub_size"))
              .groupBy(F.least("hub", "cls").alias("lo"), F.greatest("hub", "cls").alias("hi")).agg(F.min("hub").alias("hub")))
-    return centres, edges.select("hub", (F.col("lo") + F.col("hi") - F.col("hub")).alias("member"))
-
-
-def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each member of a hub has and the hub has not, or the other way round."""
-    own = np.zeros(0, np.uint64)
-    for batch in batches:
-        hubs, members, sizes, found = [], [], [], []
-        for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            v = shingles(text.as_py())
-            if member is None:
-                own = v
-                continue
-            hubs.append(hub)
-            members.append(member)
-            sizes.append(len(own))
-            found.append(np.setxor1d(own, v, assume_unique=True).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(found, pa.list_(pa.int64()))], ["hub", "cls", "hub_size", "d"])
+    return centres, edges.select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member"))
 
 
-def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers) -> DataFrame:
+def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers, rule: Rule) -> DataFrame:
     """Edges that stars left out, among ``members`` (hub, cls, size, label, odd) of hubs
     that all of them were compared with; ``odd`` are not in the hub's component.
 
     Let C be the hub, a and b the differences of A and B to C in elements, and x what
     these have in common.  A and B differ in a + b - 2x elements, and a pair is linked
-    if that is at most s * (|A| + |B|), s = (DEN - NUM) / (DEN + NUM).  So x must reach
+    if that is at most s * (|A| + |B|), s = (den - num) / (den + num).  So x must reach
     t = (a + b - s * (|A| + |B|)) / 2, which is above 0 unless both are linked to C.
     Differences to a common hub are small, and mostly an element's own, so a prefix of
     their rarest elements, a - t + 1 long, meets few others where whole sets of near
     copies would all meet.
     """
     edges = members.select("hub", F.col("cls").alias("member"))
-    differ = _beside(edges, bodies).mapInArrow(_different, "hub long, cls long, hub_size long, d array<long>")
+    differ = _beside(edges, bodies).mapInArrow(rule.different, "hub long, cls long, hub_size long, d array<long>")
     sets = layers.write(differ.withColumnsRenamed({"hub": "_h", "cls": "_c"}).join(
         members, (F.col("_h") == F.col("hub")) & (F.col("_c") == F.col("cls"))).drop("_h", "_c"))
-    n, wide = F.size("d"), DEN + NUM
+    n, wide, narrow = F.size("d"), rule.den + rule.num, rule.den - rule.num
     often = sets.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("times"))
     rare = F.sort_array(F.collect_list(F.struct("times", "e")))
     ranked = (sets.select("hub", "cls", "size", "hub_size", "label", "odd", n.alias("n"), F.explode("d").alias("e"))
               .join(often, ["hub", "e"]).groupBy("hub", "cls", "size", "hub_size", "label", "odd", "n").agg(rare.alias("rare")))
     # The least t with any partner: of an odd one by its own distance, of others by the partner's being odd.
-    odd_t = F.ceil((F.col("n") * wide - (F.col("size") + F.col("hub_size")) * (DEN - NUM)) / (2 * DEN))
-    any_t = F.ceil((F.col("n") * wide - (F.col("size") - F.col("hub_size")) * (DEN - NUM)) / (2 * wide))
+    odd_t = F.ceil((F.col("n") * wide - (F.col("size") + F.col("hub_size")) * narrow) / (2 * rule.den))
+    any_t = F.ceil((F.col("n") * wide - (F.col("size") - F.col("hub_size")) * narrow) / (2 * wide))
     prefix = lambda t: F.slice("rare", 1, F.greatest(F.col("n") - F.greatest(t, F.lit(1)) + 1, F.lit(0)).cast("int"))
     entries = layers.write(ranked.select("hub", "cls", "size", "label", "odd", "n", F.posexplode(prefix(any_t)).alias("at", "r"))
                            .select("hub", "cls", "size", "label", "odd", "n", "at", F.col("r.e").alias("e")))
     outer = ranked.where("odd").select("hub", "cls", "size", "label", "n", F.posexplode(prefix(odd_t)).alias("at", "r"))
     outer = outer.select("hub", F.col("r.e").alias("e"), *[F.col(c).alias(f"odd_{c}") for c in ("cls", "size", "label", "n", "at")])
-    t = F.ceil(((F.col("n") + F.col("odd_n")) * wide - (F.col("size") + F.col("odd_size")) * (DEN - NUM)) / (2 * wide))
+    t = F.ceil(((F.col("n") + F.col("odd_n")) * wide - (F.col("size") + F.col("odd_size")) * narrow) / (2 * wide))
     pairs = outer.join(entries, ["hub", "e"]).where(
-        (F.col("label") != F.col("odd_label")) & _allowed("size", "odd_size")
+        (F.col("label") != F.col("odd_label")) & rule.allowed("size", "odd_size")
         & (F.col("at") <= F.col("n") - t) & (F.col("odd_at") <= F.col("odd_n") - t))
     return pairs.select(F.least("cls", "odd_cls").alias("hub"), F.greatest("cls", "odd_cls").alias("member")).distinct()
 
@@ -229,9 +240,12 @@ def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers) -> DataFr
 # --- classes, buckets, rounds --------------------------------------------------------
 
 
-def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -> DataFrame:
+def linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int, rule: Rule = RULE,
+           open_only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join all classes linked within a bucket; ``members`` are
-    (key, cls, size, weight) of the buckets with several classes."""
+    (key, cls, size, weight) of the buckets with several classes.  After each star
+    ``open_only`` may take out members, now with a ``label``, that can have no partner
+    of another label left."""
     links = tested = members.sparkSession.createDataFrame([], "a long, b long")
     vertices = layers.write(members.select(F.col("cls").alias("v")).distinct())
     hubs = None
@@ -243,13 +257,13 @@ def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -
             sizes = now.groupBy(F.col("key").alias("_k"), F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
             now = now.join(sizes, (F.col("key") == F.col("_k")) & (F.col("label") == F.col("_l"))).drop("_k", "_l")
             rank = F.struct(-F.col("n"), F.xxhash64("cls", F.lit(i)))
-        centres, edges = _star(now, mixed, rank, layers)
+        centres, edges = _star(now, mixed, rank, layers, rule)
         hubs = centres if hubs is None else hubs
         if i:
             known = (F.least("hub", "member") == F.col("a")) & (F.greatest("hub", "member") == F.col("b"))
             edges = edges.join(tested, known, "left_anti")
         edges = layers.write(edges)
-        links = layers.write(links.unionByName(_links(edges, bodies)))
+        links = layers.write(links.unionByName(_links(edges, bodies, rule)))
         if i + 1 < stars:
             pairs = edges.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
             tested = layers.write(tested.unionByName(pairs))
@@ -259,6 +273,9 @@ def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -
         labels = layers.write(components(vertices, links, layers))
         layers.free_shuffles()
         labelled = members.join(labels, F.col("cls") == F.col("v")).drop("v")
+        if open_only:
+            labelled = members = open_only(labelled)
+            members = members.drop("label")
         mixed = layers.write(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
                              .where("least <> most").select("key"))
         if mixed.isEmpty():
@@ -270,8 +287,8 @@ def _linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int) -
                         .select("hub", "cls", "size", "label", odd.alias("odd")).distinct())
     strange = rest.where("odd").select(F.col("hub").alias("_h")).distinct()
     rest = rest.join(strange, F.col("hub") == F.col("_h"), "left_semi")
-    edges = layers.write(_rest_edges(rest, bodies, layers))
-    return layers.write(links.unionByName(_links(edges, bodies)))
+    edges = layers.write(_rest_edges(rest, bodies, layers, rule))
+    return layers.write(links.unionByName(_links(edges, bodies, rule)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
@@ -312,7 +329,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bodies = layers.write(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                           .groupBy("cls").agg(F.first("text").alias("text")))
     layers.free_shuffles()
-    links = _linked(weighed, bodies, layers, stars)
+    links = linked(weighed, bodies, layers, stars)
 
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     labels = components(ends, links, layers).withColumnRenamed("v", "_v")

@@ -5,25 +5,20 @@ depending on the two sizes.  The hashed universe of shingles is cut into m
 segments, m fixed per band of sizes, so at most H segments differ and the others
 are equal: two linked sets share the signature of a segment.
 
-*Exact allocation.*  Every set writes one signature per non-empty segment of its
-own band and of the next lower band (sizes of a link are at most 1/t apart, as
-wide as a band).  Signatures are sorted; a signature of few sets gives pairs: first
-those with its first set are verified, and then the others whose sets still lie in
-different components.
-One of many sets is *heavy* and gives none: a set that still has more than H
-light non-empty segments has met all its partners in them.
-
-*Other sets*, those with too few light segments, are few: large groups of near
-copies, texts made of common passages, tiny sets with empty segments.  In each
-heavy signature all of them are compared with one pivot, which joins a group of
-near copies into one component in linear work; sets whose heavy signatures hold
-one component are done.  The rest buys the dearer allocation: half as many
-segments with all one-deletion neighbours (a segment then counts for two
-differences, and longer segments are rarer).  Heavy signatures there are treated
-the same way; what then still lies in different components within one signature
-is paired by the rarest elements of its sets, so that no link is lost.
-
-Candidates are verified on the whole sets.  Elements are 64-bit hashes of
+*Signatures.*  Every set writes one signature per non-empty segment of its own band
+and of the next lower band (sizes of a link are at most 1/t apart, as wide as a
+band).  A set with no more than H non-empty segments might share an empty one alone;
+two such sets are linked only if they share one of the ``size - ceil(t * size) + 1``
+smallest elements of each, so these are written too.  Copies in a task write theirs
+once.  Signatures are dealt out by value, and those of a single set go no further.
+
+*Buckets.*  Linked sets have all but H segments of a band in common, so a set that
+shares no more than what is above H with any other has no partner in that band
+and leaves it.  In what remains a signature is a bucket: its sets are compared
+with one centre, and those not linked to it by their differences to it
+(``minhash.linked``), so that no link is lost and no group is paired all by all.
+
+Candidates are checked on whole sets.  Elements are 64-bit hashes of
 shingles and equal sets are one class, known by a 64-bit hash of elements and
 size; both are exact up to collisions of 64-bit hashes.
 """
@@ -40,16 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from martflow.llm.common import Layers, components
+from martflow.llm.minhash import Rule, linked
 
 WORDS = 5
 NUM, DEN = 80, 100  # a link needs DEN * intersection >= NUM * union
-FEW = 16            # sets of one signature that are paired without more ado
+STARS = 2           # centres of a bucket before differences to the first are compared
 CHUNK = 200_000     # signature rows handed over at a time
 
-ROW = "key long, id long, info long"
-FOUND = "kind int, a long, b long, size long, spare long"
-DOC, OWN, LOWER = 0, 1, 2
-FIRST, HEAVY, OTHER = 1, 2, 3  # kinds of found rows besides documents
+ROW = "key long, id long, info long, th long"
+FOUND = "kind int, a long, b long, size long, spare long, th long"
+DOC, OWN, LOWER, ELEMENT = 0, 1, 2, 3
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                          0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -104,14 +99,13 @@ def band_of(size: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def segments_of(band: int, deletions: bool) -> int:
+def segments_of(band: int) -> int:
     """Segments of a band: what the widest pair needs, and some to spare."""
     end = _ENDS[band]
     most = max(differences(end, s) for s in range(end, largest_partner(end) + 1)[-3:])
     if most == 0:
         return 1
-    need = most // 2 + 1 if deletions else most + 1
-    return need + -(-need * 15 // 100)
+    return most + 1 + -(-(most + 1) * 15 // 100)
 
 
 @lru_cache(maxsize=None)
@@ -138,25 +132,14 @@ def _cut(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact_keys(v: np.ndarray, band: int) -> np.ndarray:
-    part, starts = _cut(v, segments_of(band, False))
+    part, starts = _cut(v, segments_of(band))
     sums = np.add.reduceat(_mix(v + np.uint64(0x51)), starts)
     return _mix(sums ^ _mix(part[starts] * np.uint64(4096) + np.uint64(band)))
 
 
-def deletion_keys(v: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of all segments, empty ones too, and of their one-deletion neighbours.
-
-    Both kinds share one key space.  That also meets segments which differ by a
-    replacement; verification drops what is too far.
-    """
-    m = segments_of(band, True)
-    part, starts = _cut(v, m)
-    h = _mix(v + np.uint64(0x52))
-    sums = np.zeros(m, np.uint64)
-    sums[part[starts].astype(np.int64)] = np.add.reduceat(h, starts)
-    seeds = _mix(np.arange(m, dtype=np.uint64) * np.uint64(4096) + np.uint64(band) + np.uint64(1 << 60))
-    at = part.astype(np.int64)
-    return np.unique(np.concatenate((_mix(sums ^ seeds), _mix((sums[at] - h) ^ seeds[at]))))
+def element_keys(v: np.ndarray) -> np.ndarray:
+    """The smallest elements of a set, at least one of which it shares with each partner."""
+    return _mix(v[:len(v) + NUM * len(v) // -DEN + 1] + np.uint64(0x53))
 
 
 def _as_long(v: np.ndarray) -> np.ndarray:
@@ -169,36 +152,43 @@ def _info(kind: int, size: int, spare_own: int = 0, spare_lower: int = 0) -> int
 
 
 def _rows(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document and one per signature of its set."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """One row per document and one per signature of its set; equal sets of a task
+    write theirs once."""
+    out: list[tuple[np.ndarray, ...]] = []
     held = 0
+    known: set[int] = set()
 
     def flush() -> pa.RecordBatch:
-        parts = [np.concatenate(x) for x in zip(*out)]
-        ids = pa.array(parts[1], pa.int64(), mask=(parts[2] & 3 == 3))
-        # kind 3 marks a document without an id
-        return pa.RecordBatch.from_arrays([pa.array(parts[0]), ids, pa.array(parts[2])], ["key", "id", "info"])
+        key, ids, info, th, nameless = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(ids, pa.int64(), mask=nameless), pa.array(info),
+             pa.array(th, pa.int64(), mask=info & 3 != DOC)], ["key", "id", "info", "th"])
+
+    def add(keys: np.ndarray, ids: int, info: int, th: int = 0, nameless: bool = False) -> int:
+        n = len(keys)
+        out.append((keys, np.full(n, ids), np.full(n, info), np.full(n, th), np.full(n, nameless)))
+        return n
 
     for batch in docs:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             v = shingles(text.as_py())
             size, cls = len(v), class_id(v)
             spare_own = spare_lower = 0
             if size:
                 band = band_of(size)
-                keys = exact_keys(v, band)
-                spare_own = len(keys) - own_budget(size) - 1
-                out.append((_as_long(keys), np.full(len(keys), cls), np.full(len(keys), _info(OWN, size))))
-                held += len(keys)
+                own, lower = exact_keys(v, band), None
+                spare_own = len(own) - own_budget(size) - 1
                 if band and size <= largest_partner(_ENDS[band - 1]):
-                    keys = exact_keys(v, band - 1)
-                    spare_lower = len(keys) - lower_budget(size) - 1
-                    out.append((_as_long(keys), np.full(len(keys), cls), np.full(len(keys), _info(LOWER, size))))
-                    held += len(keys)
-            kind = DOC if doc_id is not None else 3
-            out.append((np.array([cls]), np.array([doc_id or 0]),
-                        np.array([_info(kind, size, spare_own, spare_lower)])))
-            held += 1
+                    lower = exact_keys(v, band - 1)
+                    spare_lower = len(lower) - lower_budget(size) - 1
+                if cls not in known:
+                    known.add(cls)
+                    held += add(_as_long(own), cls, OWN)
+                    if lower is not None:
+                        held += add(_as_long(lower), cls, LOWER)
+                    if min(spare_own, spare_lower) < 0:
+                        held += add(_as_long(element_keys(v)), cls, ELEMENT)
+            held += add(np.array([cls]), doc_id or 0, _info(DOC, size, spare_own, spare_lower), th, doc_id is None)
             if held >= CHUNK:
                 yield flush()
                 out, held = [], 0
@@ -206,199 +196,47 @@ def _rows(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pairs_of(ids: np.ndarray, sizes: np.ndarray, lower: np.ndarray, starts: np.ndarray, counts: np.ndarray
-              ) -> list[np.ndarray]:
-    """Pairs of ids within each group of ``counts`` rows that sizes allow: those with
-    the group's first row, and the others."""
-    found = [], []
-    for g in np.unique(counts):
-        at = starts[counts == g][:, None] + np.arange(g)
-        i, j = np.triu_indices(g, 1)
-        left, right = at[:, i].ravel(), at[:, j].ravel()
-        a, b = sizes[left], sizes[right]
-        ok = ((np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM) & ~(lower[left] & lower[right])
-              & (ids[left] != ids[right]))
-        first = np.tile(i == 0, len(at))[ok]
-        left, right = ids[left[ok]], ids[right[ok]]
-        pairs = np.stack((np.minimum(left, right), np.maximum(left, right)), 1)
-        found[0].append(pairs[first])
-        found[1].append(pairs[~first])
-    return [np.unique(np.concatenate(f), axis=0) if f else np.empty((0, 2), np.int64) for f in found]
-
-
-def _meet(few: int):
-    """Turns rows sorted by (key, id) into documents, pairs and heavy members."""
-
-    def table(kind: int, a, b, size, spare, mask=None) -> pa.RecordBatch:
-        n = len(a)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, and the signatures of several sets, out of rows sorted by (key, id)."""
+
+    def table(kind, a, b, size, spare, th) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b, pa.int64(), mask=mask),
-             pa.array(size), pa.array(spare)], ["kind", "a", "b", "size", "spare"])
-
-    def meet(key: np.ndarray, ids: np.ndarray, info: np.ndarray, big_before: int | None) -> tuple[list, int | None]:
-        """Handles whole keys; ``big_before`` is a key whose first rows were heavy."""
-        out = []
-        kind, size = info & 3, info >> 2 & 0xFFFFFFFF
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        counts = np.diff(np.append(starts, len(key)))
-        heavy = counts > few
-        if big_before is not None:
-            heavy |= key[starts] == big_before
-        some = (counts > 1) & ~heavy
-        for pair_kind, pairs in zip((FIRST, OTHER), _pairs_of(ids, size, kind == LOWER, starts[some], counts[some])):
-            if len(pairs):
-                zero = np.zeros(len(pairs), np.int64)
-                out.append(table(pair_kind, pairs[:, 0], pairs[:, 1], zero, zero))
-        at = np.repeat(heavy, counts)
-        if at.any():
-            out.append(table(HEAVY, ids[at], key[at], size[at], kind[at] | info[at] >> 34 << 2))
-        last = int(key[-1])
-        return out, last if heavy[-1] else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        big: int | None = None
-        for batch in batches:
-            cols = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(3)]
-            kind = cols[2] & 3
-            doc = (kind == DOC) | (kind == 3)
-            if doc.any():
-                key, ids, info = (c[doc] for c in cols)
-                yield table(0, key, ids, info >> 2 & 0xFFFFFFFF, info >> 34, mask=kind[doc] == 3)
-                cols = [c[~doc] for c in cols]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            key, ids = cols[:2]
-            if not len(key):
-                continue
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # copies count once
-            cols = [c[fresh] for c in cols]
-            key = cols[0]
-            # The last key may go on; it is held back unless it is heavy already.
-            end = int(np.searchsorted(key, key[-1]))
-            if len(key) - end > few:
-                end = len(key)
-            ready, held = [c[:end] for c in cols], [c[end:] for c in cols]
-            if end:
-                out, big = meet(*ready, big)
-                yield from out
-        if held and len(held[0]):
-            yield from meet(*held, big)[0]
-
-    return run
-
-
-def _keys_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One-deletion signatures of (cls, elements) rows."""
-    for batch in batches:
-        out, held = [], 0
-        for cls, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            v = np.asarray(v.values).view(np.uint64)
-            size, band = len(v), band_of(len(v))
-            for kind, at in ((OWN, band), (LOWER, band - 1)):
-                if at >= 0 and size <= largest_partner(_ENDS[at]):
-                    keys = deletion_keys(v, at)
-                    # A light segment covers two differences; so many may be heavy.
-                    budget = own_budget(size) if kind == OWN else lower_budget(size)
-                    spare = (2 * segments_of(at, True) - budget - 1) // 2
-                    info = kind | size << 2 | spare << 34
-                    out.append((_as_long(keys), np.full(len(keys), cls), np.full(len(keys), info)))
-                    held += len(keys)
-            if held >= CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "info"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "info"])
+            [pa.array(kind, pa.int32()), pa.array(a), b, pa.array(size), pa.array(spare), th],
+            ["kind", "a", "b", "size", "spare", "th"])
 
+    def members(key: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        zero = np.zeros(len(key), np.int64)
+        return table(kind, ids, pa.array(key), zero, zero, pa.nulls(len(key), pa.int64()))
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.zeros(0, np.int64)] * 3   # the last row, whose key may go on
+    met = False                          # whether the row before it has its key
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            sets = [shingles(t.as_py()) for t in batch.column(1)[at:at + 256]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[at:at + 256], pa.array([class_id(v) for v in sets], pa.int64()),
-                 pa.array([_as_long(v) for v in sets], pa.list_(pa.int64()))], ["wanted", "cls", "elements"])
+        key, info = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        doc = info & 3 == DOC
+        if doc.any():
+            at = pa.array(doc)
+            more = info[doc]
+            yield table(more & 3, key[doc], batch.column(1).filter(at), more >> 2 & 0xFFFFFFFF, more >> 34,
+                        batch.column(3).filter(at))
+        ids = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+        key, ids, kind = (np.concatenate((h, c[~doc])) for h, c in zip(held, (key, ids, info)))
+        if not len(key):
+            continue
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # copies count once
+        key, ids, kind = key[fresh], ids[fresh], kind[fresh]
+        same = key[1:] == key[:-1]
+        before = np.concatenate(([met], same))
+        some = (before[:-1] | same).nonzero()[0]
+        if len(some):
+            yield members(key[some], ids[some], kind[some])
+        held, met = [key[-1:], ids[-1:], kind[-1:]], bool(before[-1])
+    if met:
+        yield members(*held)
 
 
 # --- the join --------------------------------------------------------------------
 
 
-def _sorted_meet(rows: DataFrame) -> DataFrame:
-    return (rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet(FEW), FOUND))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links; the whole sets are compared."""
-    left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return (pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-            .select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("n"))
-            .where(F.col("i") * DEN >= (F.col("n") - F.col("i")) * NUM).select("a", "b"))
-
-
-def _light_links(found: DataFrame, sets: DataFrame, layers: Layers, known: DataFrame | None = None) -> DataFrame:
-    """Links among the pairs of light signatures, enough of them to join all that are linked.
-
-    Only the sets' components matter, so a pair within one is not verified.
-    """
-    links = _verified(found.where(f"kind = {FIRST}"), sets)
-    links = layers.write(links if known is None else known.unionByName(links))
-    layers.free_shuffles()
-    others = layers.write(found.where(f"kind = {OTHER}").select("a", "b").distinct())
-    if others.isEmpty():
-        return links
-    ends = others.select(F.col("a").alias("v")).union(others.select("b")).distinct()
-    labels = layers.write(components(ends, links, layers))
-    apart = (others.join(labels.select(F.col("v").alias("a"), F.col("label").alias("label_a")), "a")
-             .join(labels.select(F.col("v").alias("b"), F.col("label").alias("label_b")), "b")
-             .where("label_a <> label_b"))
-    links = layers.write(links.unionByName(_verified(apart, sets)))
-    layers.free_shuffles()
-    return links
-
-
-def _sets_of(sets: DataFrame, classes: DataFrame, layers: Layers) -> DataFrame:
-    """The sets that a later step needs, written by themselves: each step shuffles only its own."""
-    return layers.write(sets.join(classes.select("cls").distinct(), "cls", "left_semi"))
-
-
-def _labelled(members: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
-    labels = components(members.select(F.col("cls").alias("v")).distinct(), links, layers)
-    return layers.write(members.join(labels.withColumnRenamed("v", "cls"), "cls"))
-
-
-def _mixed_keys(members: DataFrame) -> DataFrame:
-    return (members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo <> hi").select("key"))
-
-
-def _pivot_rounds(members: DataFrame, links: DataFrame, sets: DataFrame, layers: Layers, rounds: int = 2
-                  ) -> tuple[DataFrame, DataFrame]:
-    """Compares the members of a heavy signature with one pivot each, round by round.
-
-    Linear in the members.  Returns all links and the members, labelled, of
-    signatures that still hold several components.
-    """
-    weight = members.groupBy(F.col("cls").alias("w_cls")).agg(F.count(F.lit(1)).alias("shared"))
-    members = members.join(weight, F.col("cls") == F.col("w_cls")).drop("w_cls")
-    now = _labelled(members, links, layers)
-    mixed = layers.write(now.join(_mixed_keys(now), "key"))
-    for i in range(rounds):
-        if mixed.isEmpty():
-            break
-        # What copies were made from shares most: it has the heavy signatures of all.
-        rank = F.struct(-F.col("shared") if i == 0 else F.lit(0), F.xxhash64("cls", F.lit(i)), "cls", "label", "size")
-        pivots = mixed.groupBy("key").agg(F.min(rank).alias("p"))
-        tried = (mixed.join(pivots, "key")
-                 .where("label <> p.label and least(size, p.size) * %d >= greatest(size, p.size) * %d" % (DEN, NUM))
-                 .select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")))
-        links = layers.write(links.unionByName(_verified(tried, sets)))
-        now = _labelled(mixed.drop("label"), links, layers)
-        mixed = layers.write(now.join(_mixed_keys(now), "key"))
-    return links, mixed
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id per row of ``docs``.
 
@@ -419,93 +257,71 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _classes(docs: DataFrame, doc_id: str, text: str, layers: Layers) -> tuple[DataFrame, DataFrame]:
     """(cls, doc_id, size, ...) per row of ``docs``, and (cls, first_id, label) per class that
     is not empty: classes of one label are linked."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = layers.write(_sorted_meet(texts.mapInArrow(_rows, ROW)))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
+                        F.col(text).cast("string").alias("text"))
+    # A document only passes through: its row goes by itself, not to all copies of its text.
+    place = F.when(F.col("info").bitwiseAND(3) == DOC, F.xxhash64("id", "th", "key")).otherwise(F.col("key"))
+    found = layers.write(texts.mapInArrow(_rows, ROW).repartition(place).sortWithinPartitions("key", "id")
+                         .mapInArrow(_shared, FOUND))
     layers.free_shuffles()
-    docs_of = found.where("kind = 0").select(
-        F.col("a").alias("cls"), F.col("b").alias("doc_id"), "size",
+    docs_of = layers.write(found.where(f"kind = {DOC}").select(
+        F.col("a").alias("cls"), F.col("b").alias("doc_id"), "th", "size",
         ((F.col("spare").bitwiseAND(16383)) - 1).alias("spare_own"),
-        (F.shiftright("spare", 14) - 1).alias("spare_lower"))
-    pairs = found.where(f"kind in ({FIRST}, {OTHER})").select("a", "b")
-    heavy = found.where(f"kind = {HEAVY}").select(F.col("a").alias("cls"), F.col("b").alias("key"), "size",
-                                           F.expr("spare & 3").alias("role"))
-
-    classes = docs_of.groupBy("cls", "size").agg(
-        F.min("doc_id").alias("first_id"), F.first("spare_own").alias("spare_own"),
-        F.first("spare_lower").alias("spare_lower")).where("size > 0")
-    weighed = heavy.groupBy("cls").agg(F.count(F.when(F.col("role") == OWN, 1)).alias("own"),
-                                       F.count(F.when(F.col("role") == LOWER, 1)).alias("lower"))
-    judged = classes.join(weighed, "cls", "left").select(
-        "cls", "first_id",
-        (F.coalesce("own", F.lit(0)) > F.col("spare_own")).alias("open_own"),
-        (F.coalesce("lower", F.lit(0)) > F.col("spare_lower")).alias("open_lower"),
-        ((F.col("spare_own") < 0) | (F.col("spare_lower") < 0)).alias("sparse"))
-    open_sets = layers.write(judged.where("open_own or open_lower"))
-
-    wanted = layers.write(pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
-                          .union(open_sets.select("cls")).distinct().join(classes.select("cls", "first_id"), "cls"))
-    wanted_ids = wanted.select(F.col("cls").alias("wanted"), F.col("first_id"))
-    sets = layers.write(texts.join(wanted_ids, F.col("doc_id").eqNullSafe(F.col("first_id")))
-                        .select("wanted", "text").mapInArrow(_elements, "wanted long, cls long, elements array<long>")
-                        .where("wanted = cls").select("cls", "elements").dropDuplicates(["cls"]))
+        (F.shiftright("spare", 14) - 1).alias("spare_lower")))
+    # The first row's id and text hash find one text of the class again.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th"))
+    classes = layers.write(docs_of.where("size > 0").groupBy("cls", "size").agg(
+        first.alias("first"), F.first("spare_own").alias("spare_own"), F.first("spare_lower").alias("spare_lower")))
+    weighed = _buckets(found.where(f"kind <> {DOC}").select(F.col("a").alias("cls"), F.col("b").alias("key"), "kind"),
+                       classes, layers)
+    layers.drop(found)
+
+    wanted = layers.write(weighed.select(F.col("cls").alias("_c")).distinct().join(classes, F.col("cls") == F.col("_c"))
+                          .select("cls", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")))
+    bodies = layers.write(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+                          .groupBy("cls").agg(F.first("text").alias("text")))
     layers.free_shuffles()
-    links = _light_links(found, sets, layers)
-
-    if not open_sets.isEmpty():
-        members = layers.write(heavy.join(open_sets, "cls")
-                               .where(f"(role = {OWN} and open_own) or (role = {LOWER} and open_lower)")
-                               .select("cls", "key", "size").distinct())
-        sets = _sets_of(sets, open_sets, layers)
-        links, mixed = _pivot_rounds(members, links, sets, layers)
-        rest = mixed.select("cls").union(open_sets.where("sparse").select("cls"))
-        layers.free_shuffles()
-        links = _by_deletions(_sets_of(sets, rest, layers), links, layers)
+    links = linked(weighed, bodies, layers, STARS, Rule(NUM, DEN, shingles), lambda rows: _open_only(rows, layers))
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
-    return docs_of, layers.write(classes.select("cls", "first_id").join(labels, "cls"))
-
-
-def _by_deletions(sets: DataFrame, links: DataFrame, layers: Layers) -> DataFrame:
-    """Links among the sets that exact segments could not settle."""
-    again = layers.write(_sorted_meet(sets.select("cls", "elements").mapInArrow(_keys_again, ROW)))
-    links = _light_links(again, sets, layers, links)
-    heavy = again.where(f"kind = {HEAVY}").select(
-        F.col("a").alias("cls"), F.col("b").alias("key"), "size", F.expr("spare & 3").alias("role"),
-        F.shiftright("spare", 2).alias("spare")).distinct()
-    still = (heavy.groupBy("cls", "role", "spare").agg(F.count(F.lit(1)).alias("n")).where("n > spare")
-             .select("cls", "role"))
-    members = layers.write(heavy.join(still, ["cls", "role"]).select("cls", "key", "size").distinct())
-    if members.isEmpty():
-        return links
-    links, mixed = _pivot_rounds(members, links, sets, layers)
-    return layers.write(links.unionByName(_verified(_prefix_pairs(mixed, sets), sets)))
-
-
-def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among the members, none that links left out.
-
-    Small sets share the signature of an empty segment with many they have nothing
-    else in common with, so a signature's members are not paired as they are.  Linked
-    sets share an element among the rarest ``size - ceil(NUM * size / DEN) + 1`` of
-    each, and their places bound what they can have in common.
-    """
-    own = members.select("cls", "label", "size").distinct()
-    elements = own.join(sets, "cls").select("cls", "label", "size", F.explode("elements").alias("e"))
-    often = elements.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (elements.join(often, "e").groupBy("cls", "label", "size")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("rare")))
-    prefix = F.expr(f"slice(rare, 1, CAST(size - (({NUM} * size + {DEN - 1}) div {DEN}) + 1 AS INT))")
-    # Shared elements follow one another: a pair that met just before needs no other row.
-    before = F.expr(f"slice(p.e, greatest(at - {FEW} + 1, 1), least(at, {FEW}))")
-    left = (ranked.select("cls", "label", "size", prefix.alias("p"))
-            .select("cls", "label", "size", "p", F.posexplode("p").alias("at", "rare")).where("rare.n > 1")
-            .select("cls", "label", "size", "at", "rare.e", before.alias("before")))
-    right = left.select("e", *[F.col(c).alias(f"{c}2") for c in ("cls", "label", "size", "at", "before")])
-    most = "least(at, at2) + 1 + least(size - at, size2 - at2) - 1"
-    return left.join(right, "e").where(
-        f"cls < cls2 and label <> label2 and {NUM + DEN} * ({most}) >= {NUM} * (size + size2)"
-        " and not arrays_overlap(before, before2)"
-    ).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+    named = layers.write(classes.select("cls", F.col("first.doc_id").alias("first_id")).join(labels, "cls"))
+    layers.drop(bodies, weighed, wanted)
+    return docs_of, named
+
+
+def _buckets(members: DataFrame, classes: DataFrame, layers: Layers) -> DataFrame:
+    """(key, cls, size, kind, spare, weight) of the ``members`` (key, cls, kind) that may have
+    a partner in their bucket; ``weight`` counts the buckets of a set."""
+    sizes = classes.select(F.col("cls").alias("_c"), "size", "spare_own", "spare_lower")
+    spare = F.when(F.col("kind") == OWN, F.col("spare_own")).when(F.col("kind") == LOWER, F.col("spare_lower")).otherwise(-1)
+    counts = layers.write(_enough(members.groupBy("cls", "kind").agg(F.count(F.lit(1)).alias("n"))
+                                  .join(sizes, F.col("cls") == F.col("_c")).withColumn("spare", spare)))
+    kept = layers.write(_of(members, counts))
+    kept = _open_only(kept.withColumn("label", F.col("cls")), layers, 1)
+    weights = kept.groupBy(F.col("cls").alias("_c")).agg(F.count(F.lit(1)).alias("weight"))
+    return layers.write(kept.drop("label").join(weights, F.col("cls") == F.col("_c")).drop("_c"))
+
+
+def _enough(counts: DataFrame) -> DataFrame:
+    return counts.where("n > spare").select(F.col("cls").alias("_c"), F.col("kind").alias("_k"), "size", "spare")
+
+
+def _of(members: DataFrame, counts: DataFrame) -> DataFrame:
+    return (members.join(counts, (F.col("cls") == F.col("_c")) & (F.col("kind") == F.col("_k")))
+            .select(*members.columns, "size", "spare"))
+
+
+def _open_only(members: DataFrame, layers: Layers, rounds: int = 2) -> DataFrame:
+    """Without the members that have no partner of another label left: such a pair shares
+    more than ``spare`` buckets, all of them of several labels."""
+    for _ in range(rounds):
+        several = (members.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
+                   .where("least <> most").select("_key"))
+        mixed = layers.write(members.join(several, F.col("key") == F.col("_key")).drop("_key"))
+        enough = layers.write(_enough(mixed.groupBy("cls", "kind", "size", "spare").agg(F.count(F.lit(1)).alias("n"))))
+        members = layers.write(_of(mixed.drop("size", "spare"), enough))
+        layers.drop(mixed, enough)
+    return members
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
