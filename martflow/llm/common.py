@@ -104,7 +104,11 @@ def components(vertices: DataFrame, links: DataFrame, layers: Layers) -> DataFra
                         .distinct())
     labels = layers.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
                           .select("v", F.least("v", "m").alias("label")))
+    rounds = 0
     while True:
+        rounds += 1
+        if rounds % 3 == 0:
+            layers.free_shuffles()
         near = (both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near")))
         lower = labels.join(near, labels.v == near.a, "left").select(
             "v", F.col("label").alias("old"), F.least("label", "near").alias("low"))

@@ -241,11 +241,13 @@ def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers, rule: Rul
 
 
 def linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int, rule: Rule = RULE,
-           open_only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           open_only: Callable[[DataFrame], DataFrame] | None = None,
+           main_hubs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join all classes linked within a bucket; ``members`` are
     (key, cls, size, weight) of the buckets with several classes.  After each star
     ``open_only`` may take out members, now with a ``label``, that can have no partner
-    of another label left."""
+    of another label left; ``main_hubs`` may leave out centres (``hub``) of a class that
+    it needs to meet none of its partners."""
     links = tested = members.sparkSession.createDataFrame([], "a long, b long")
     vertices = layers.write(members.select(F.col("cls").alias("v")).distinct())
     hubs = None
@@ -283,7 +285,10 @@ def linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int, ru
         now = layers.write(labelled.join(mixed, "key"))
     hub_labels = labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label"))
     odd = F.col("label") != F.col("hub_label")
-    rest = layers.write(now.join(hubs.select("key", "hub"), "key").join(hub_labels, "hub")
+    around = now.join(hubs.select("key", "hub"), "key")
+    if main_hubs:
+        around = main_hubs(around)
+    rest = layers.write(around.join(hub_labels, "hub")
                         .select("hub", "cls", "size", "label", odd.alias("odd")).distinct())
     strange = rest.where("odd").select(F.col("hub").alias("_h")).distinct()
     rest = rest.join(strange, F.col("hub") == F.col("_h"), "left_semi")

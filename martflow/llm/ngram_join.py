@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from martflow.llm.common import Layers, components
 from martflow.llm.minhash import Rule, linked
@@ -197,7 +197,11 @@ def _rows(docs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents, and the signatures of several sets, out of rows sorted by (key, id)."""
+    """Documents, and the signatures of several sets, out of rows sorted by key.
+
+    A signature that goes on in the next batch is handed over as it is: it may be of
+    one set, and a set may come again.
+    """
 
     def table(kind, a, b, size, spare, th) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -222,14 +226,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, kind = (np.concatenate((h, c[~doc])) for h, c in zip(held, (key, ids, info)))
         if not len(key):
             continue
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # copies count once
-        key, ids, kind = key[fresh], ids[fresh], kind[fresh]
         same = key[1:] == key[:-1]
         before = np.concatenate(([met], same))
         some = (before[:-1] | same).nonzero()[0]
-        if len(some):
-            yield members(key[some], ids[some], kind[some])
         held, met = [key[-1:], ids[-1:], kind[-1:]], bool(before[-1])
+        edges = key[0], key[-1]
+        key, ids, kind = key[some], ids[some], kind[some]
+        order = np.lexsort((ids, key))
+        key, ids, kind = key[order], ids[order], kind[order]
+        fresh = np.ones(len(key), bool)   # copies count once
+        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, ids, kind = key[fresh], ids[fresh], kind[fresh]
+        several = np.isin(key, edges)
+        several[1:] |= key[1:] == key[:-1]
+        several[:-1] |= key[1:] == key[:-1]
+        if several.any():
+            yield members(key[several], ids[several], kind[several])
     if met:
         yield members(*held)
 
@@ -261,7 +273,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, layers: Layers) -> tuple[D
                         F.col(text).cast("string").alias("text"))
     # A document only passes through: its row goes by itself, not to all copies of its text.
     place = F.when(F.col("info").bitwiseAND(3) == DOC, F.xxhash64("id", "th", "key")).otherwise(F.col("key"))
-    found = layers.write(texts.mapInArrow(_rows, ROW).repartition(place).sortWithinPartitions("key", "id")
+    found = layers.write(texts.mapInArrow(_rows, ROW).repartition(place).sortWithinPartitions("key")
                          .mapInArrow(_shared, FOUND))
     layers.free_shuffles()
     docs_of = layers.write(found.where(f"kind = {DOC}").select(
@@ -281,7 +293,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, layers: Layers) -> tuple[D
     bodies = layers.write(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                           .groupBy("cls").agg(F.first("text").alias("text")))
     layers.free_shuffles()
-    links = linked(weighed, bodies, layers, STARS, Rule(NUM, DEN, shingles), lambda rows: _open_only(rows, layers))
+    links = linked(weighed, bodies, layers, STARS, Rule(NUM, DEN, shingles), lambda rows: _open_only(rows, layers), _main_hubs)
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
     named = layers.write(classes.select("cls", F.col("first.doc_id").alias("first_id")).join(labels, "cls"))
@@ -294,23 +306,12 @@ def _buckets(members: DataFrame, classes: DataFrame, layers: Layers) -> DataFram
     a partner in their bucket; ``weight`` counts the buckets of a set."""
     sizes = classes.select(F.col("cls").alias("_c"), "size", "spare_own", "spare_lower")
     spare = F.when(F.col("kind") == OWN, F.col("spare_own")).when(F.col("kind") == LOWER, F.col("spare_lower")).otherwise(-1)
-    counts = layers.write(_enough(members.groupBy("cls", "kind").agg(F.count(F.lit(1)).alias("n"))
-                                  .join(sizes, F.col("cls") == F.col("_c")).withColumn("spare", spare)))
-    kept = layers.write(_of(members, counts))
-    kept = _open_only(kept.withColumn("label", F.col("cls")), layers, 1)
+    sized = members.distinct().join(sizes, F.col("cls") == F.col("_c")).withColumn("spare", spare)
+    kept = _open_only(sized.select("key", "cls", "kind", "size", "spare", F.col("cls").alias("label")), layers)
     weights = kept.groupBy(F.col("cls").alias("_c")).agg(F.count(F.lit(1)).alias("weight"))
     return layers.write(kept.drop("label").join(weights, F.col("cls") == F.col("_c")).drop("_c"))
 
 
-def _enough(counts: DataFrame) -> DataFrame:
-    return counts.where("n > spare").select(F.col("cls").alias("_c"), F.col("kind").alias("_k"), "size", "spare")
-
-
-def _of(members: DataFrame, counts: DataFrame) -> DataFrame:
-    return (members.join(counts, (F.col("cls") == F.col("_c")) & (F.col("kind") == F.col("_k")))
-            .select(*members.columns, "size", "spare"))
-
-
 def _open_only(members: DataFrame, layers: Layers, rounds: int = 2) -> DataFrame:
     """Without the members that have no partner of another label left: such a pair shares
     more than ``spare`` buckets, all of them of several labels."""
@@ -318,12 +319,25 @@ def _open_only(members: DataFrame, layers: Layers, rounds: int = 2) -> DataFrame
         several = (members.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
                    .where("least <> most").select("_key"))
         mixed = layers.write(members.join(several, F.col("key") == F.col("_key")).drop("_key"))
-        enough = layers.write(_enough(mixed.groupBy("cls", "kind", "size", "spare").agg(F.count(F.lit(1)).alias("n"))))
-        members = layers.write(_of(mixed.drop("size", "spare"), enough))
-        layers.drop(mixed, enough)
+        enough = (mixed.groupBy(F.col("cls").alias("_c"), F.col("kind").alias("_k"), "spare").agg(F.count(F.lit(1)).alias("n"))
+                  .where("n > spare").select("_c", "_k"))
+        members = layers.write(mixed.join(enough, (F.col("cls") == F.col("_c")) & (F.col("kind") == F.col("_k"))).drop("_c", "_k"))
+        layers.drop(mixed)
     return members
 
 
+def _main_hubs(members: DataFrame) -> DataFrame:
+    """The centres of each set's buckets, without the rarest of them.
+
+    Two linked sets share more buckets than either's ``spare``; if each leaves out half
+    its ``spare`` at most, there is one that both keep.
+    """
+    counts = members.groupBy("cls", "kind", "size", "label", "spare", "hub").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("cls", "kind").orderBy("n", "hub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (counts.withColumn("upto", F.sum("n").over(upto)).where("upto > greatest(spare, 0) div 2")
+            .select("hub", "cls", "size", "label"))
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The class and size of every text, beside id and text hash."""
     for batch in batches:

@@ -1,11 +1,12 @@
 """What the text operators once left out: cases beyond the test tables."""
 
 import os
+import random
 import textwrap
 
 from pyspark.sql import functions as F
 
-from martflow.llm import licenses, line_dedup, ngram_join, pii
+from martflow.llm import licenses, line_dedup, minhash, ngram_join, pii
 from martflow.llm.common import Layers
 
 
@@ -58,3 +59,51 @@ def test_keep_one_leaves_only_the_layer_it_reads(spark, monkeypatch):
     kept = ngram_join.keep_one(docs)
     assert made[0].n > 2 and len(os.listdir(made[0].root)) == 1
     assert kept.count() == kept.distinct().count() and kept.count() <= 12
+
+
+def test_equal_texts_write_their_signatures_once():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = lambda n: pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array([7] * n, pa.int64()), pa.array([text] * n)], ["doc_id", "th", "text"])
+    rows = lambda n: sum(b.num_rows for b in ngram_join._rows(iter([docs(n)])))
+    assert rows(50) == rows(1) + 49
+
+
+def test_group_below_the_limit_is_not_paired(spark, monkeypatch):
+    """Copies, each too far from the others but for a chain of four: near enough to share most signatures."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(400), 14):
+            copy[at] = f"n{i}x{at}"
+        texts.append(copy)
+    for _ in range(3):
+        step = list(texts[-1])
+        step[rng.randrange(400)] = f"c{rng.random()}"
+        texts.append(step)
+    sets = [{" ".join(w[a:a + 5]) for a in range(len(w) - 4)} for w in texts]
+    label = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and label[x] != label[y]:
+                old, new = max(label[x], label[y]), min(label[x], label[y])
+                label = [new if v == old else v for v in label]
+    assert len(set(label)) > 100
+    edges = []
+    beside = minhash._beside
+    monkeypatch.setattr(minhash, "_beside", lambda e, bodies: edges.append(e.count()) or beside(e, bodies))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(label))
+    assert sum(edges) < len(texts) * (len(texts) - 1) / 4
+
+
+def test_rows_without_id_meet_their_own_texts(spark):
+    text = lambda i, last: " ".join(f"t{i}w{j}" for j in range(60)) + last
+    rows = [(None, text(i, last)) for i in range(20) for last in (" x", " y")] + [(5, text(3, " z"))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.component_id or 0) for r in got) == [0] * 38 + [5] * 3
