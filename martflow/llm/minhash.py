@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martflow.llm.common import Layers, components
 
@@ -190,25 +190,32 @@ def _links(edges: DataFrame, bodies: DataFrame, rule: Rule) -> DataFrame:
     return _beside(edges, bodies).mapInArrow(rule.checked, "a long, b long")
 
 
-def _star(now: DataFrame, mixed: DataFrame, rank: Column, layers: Layers, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """The centre of each mixed bucket, and its edges (hub, member), each once."""
-    members = now.join(mixed, "key")
-    centres = layers.write(members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "cls", "size", "label")).alias("c"))
-                           .select("key", F.col("c.cls").alias("hub"), F.col("c.size").alias("hub_size"),
-                                   F.col("c.label").alias("hub_label")))
-    edges = (members.join(centres, "key").where((F.col("label") != F.col("hub_label")) & rule.allowed("size", "hub_size"))
-             .groupBy(F.least("hub", "cls").alias("lo"), F.greatest("hub", "cls").alias("hi")).agg(F.min("hub").alias("hub")))
-    return centres, edges.select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member"))
+def _starred(now: DataFrame, rank: Column) -> DataFrame:
+    """``now`` with the centre of each bucket: hub, its size, label and weight."""
+    first = F.min(F.struct(rank.alias("rank"), "cls", "size", "label", "weight")).over(Window.partitionBy("key"))
+    return now.withColumn("c", first).select(
+        *now.columns, F.col("c.cls").alias("hub"), F.col("c.size").alias("hub_size"), F.col("c.label").alias("hub_label"),
+        F.col("c.weight").alias("hub_weight"))
+
+
+def _edges(starred: DataFrame, rule: Rule) -> DataFrame:
+    """The edges (hub, member) of the stars, each once."""
+    apart = (F.col("label") != F.col("hub_label")) & rule.allowed("size", "hub_size")
+    edges = (starred.where(apart).groupBy(F.least("hub", "cls").alias("lo"), F.greatest("hub", "cls").alias("hi"))
+             .agg(F.min("hub").alias("hub")))
+    return edges.select("hub", F.when(F.col("hub") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member"))
 
 
 def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers, rule: Rule) -> DataFrame:
-    """Edges that stars left out, among ``members`` (hub, cls, size, label, odd) of hubs
-    that all of them were compared with; ``odd`` are not in the hub's component.
+    """Edges that stars left out, among ``members`` (hub, cls, size, label, odd) of a hub;
+    ``odd`` are not in the hub's component.
 
     Let C be the hub, a and b the differences of A and B to C in elements, and x what
     these have in common.  A and B differ in a + b - 2x elements, and a pair is linked
     if that is at most s * (|A| + |B|), s = (den - num) / (den + num).  So x must reach
     t = (a + b - s * (|A| + |B|)) / 2, which is above 0 unless both are linked to C.
+    An odd one linked to C is one more edge and joins C's component; any pair left
+    has an odd one that is not.
     Differences to a common hub are small, and mostly an element's own, so a prefix of
     their rarest elements, a - t + 1 long, meets few others where whole sets of near
     copies would all meet.
@@ -222,19 +229,24 @@ def _rest_edges(members: DataFrame, bodies: DataFrame, layers: Layers, rule: Rul
     rare = F.sort_array(F.collect_list(F.struct("times", "e")))
     ranked = (sets.select("hub", "cls", "size", "hub_size", "label", "odd", n.alias("n"), F.explode("d").alias("e"))
               .join(often, ["hub", "e"]).groupBy("hub", "cls", "size", "hub_size", "label", "odd", "n").agg(rare.alias("rare")))
+    ranked = layers.write(ranked)
+    close = n * wide <= (F.col("size") + F.col("hub_size")) * narrow
+    own = sets.where(F.col("odd") & close).select("hub", F.col("cls").alias("member"))
     # The least t with any partner: of an odd one by its own distance, of others by the partner's being odd.
     odd_t = F.ceil((F.col("n") * wide - (F.col("size") + F.col("hub_size")) * narrow) / (2 * rule.den))
     any_t = F.ceil((F.col("n") * wide - (F.col("size") - F.col("hub_size")) * narrow) / (2 * wide))
     prefix = lambda t: F.slice("rare", 1, F.greatest(F.col("n") - F.greatest(t, F.lit(1)) + 1, F.lit(0)).cast("int"))
     entries = layers.write(ranked.select("hub", "cls", "size", "label", "odd", "n", F.posexplode(prefix(any_t)).alias("at", "r"))
                            .select("hub", "cls", "size", "label", "odd", "n", "at", F.col("r.e").alias("e")))
-    outer = ranked.where("odd").select("hub", "cls", "size", "label", "n", F.posexplode(prefix(odd_t)).alias("at", "r"))
+    far = F.col("odd") & (F.col("n") * wide > (F.col("size") + F.col("hub_size")) * narrow)
+    outer = ranked.where(far).select("hub", "cls", "size", "label", "n", F.posexplode(prefix(odd_t)).alias("at", "r"))
     outer = outer.select("hub", F.col("r.e").alias("e"), *[F.col(c).alias(f"odd_{c}") for c in ("cls", "size", "label", "n", "at")])
     t = F.ceil(((F.col("n") + F.col("odd_n")) * wide - (F.col("size") + F.col("odd_size")) * narrow) / (2 * wide))
     pairs = outer.join(entries, ["hub", "e"]).where(
         (F.col("label") != F.col("odd_label")) & rule.allowed("size", "odd_size")
         & (F.col("at") <= F.col("n") - t) & (F.col("odd_at") <= F.col("odd_n") - t))
-    return pairs.select(F.least("cls", "odd_cls").alias("hub"), F.greatest("cls", "odd_cls").alias("member")).distinct()
+    pairs = pairs.select(F.least("cls", "odd_cls").alias("hub"), F.greatest("cls", "odd_cls").alias("member")).distinct()
+    return own.unionByName(pairs)
 
 
 # --- classes, buckets, rounds --------------------------------------------------------
@@ -250,17 +262,16 @@ def linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int, ru
     it needs to meet none of its partners."""
     links = tested = members.sparkSession.createDataFrame([], "a long, b long")
     vertices = layers.write(members.select(F.col("cls").alias("v")).distinct())
-    hubs = None
-    now, mixed = members.withColumn("label", F.col("cls")), members.select("key").distinct()
+    now = members.withColumn("label", F.col("cls"))
     for i in range(stars):
-        if i == 0:   # what copies were made from shares most buckets
-            rank = F.struct(-F.col("weight"), F.xxhash64("cls"))
-        else:        # out of the largest component of the bucket
-            sizes = now.groupBy(F.col("key").alias("_k"), F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("n"))
-            now = now.join(sizes, (F.col("key") == F.col("_k")) & (F.col("label") == F.col("_l"))).drop("_k", "_l")
-            rank = F.struct(-F.col("n"), F.xxhash64("cls", F.lit(i)))
-        centres, edges = _star(now, mixed, rank, layers, rule)
-        hubs = centres if hubs is None else hubs
+        # Dealt out by bucket once; the windows in a bucket need no other shuffle.
+        now = now.repartition("key")
+        rank = F.struct(-F.col("weight"), F.xxhash64("cls"))   # what copies were made from shares most buckets
+        if i:   # out of the largest component of the bucket
+            now = now.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+            rank = F.struct(-F.col("n"), rank)
+        starred = layers.write(_starred(now, rank))
+        edges = _edges(starred, rule)
         if i:
             known = (F.least("hub", "member") == F.col("a")) & (F.greatest("hub", "member") == F.col("b"))
             edges = edges.join(tested, known, "left_anti")
@@ -269,33 +280,41 @@ def linked(members: DataFrame, bodies: DataFrame, layers: Layers, stars: int, ru
         if i + 1 < stars:
             pairs = edges.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
             tested = layers.write(tested.unionByName(pairs))
-        # A centre has met its whole bucket.
-        used = centres.select(F.col("key").alias("_k"), F.col("hub").alias("_h"))
-        members = members.join(used, (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_h")), "left_anti")
+        # A centre has met its whole bucket.  The first one stands for the bucket later on.
+        left = starred.where("cls <> hub").drop("label", "n", "hub_size", "hub_label")
+        left = left.drop("hub", "hub_weight") if i else left.withColumnsRenamed({"hub": "main", "hub_weight": "main_weight"})
         labels = layers.write(components(vertices, links, layers))
         layers.free_shuffles()
-        labelled = members.join(labels, F.col("cls") == F.col("v")).drop("v")
-        if open_only:
-            labelled = members = open_only(labelled)
-            members = members.drop("label")
-        mixed = layers.write(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-                             .where("least <> most").select("key"))
-        if mixed.isEmpty():
+        now = _several(left.join(labels, F.col("cls") == F.col("v")).drop("v"))
+        now = layers.write(open_only(now) if open_only else now)
+        layers.drop(starred)
+        layers.free_shuffles()
+        if now.isEmpty():
             return links
-        now = layers.write(labelled.join(mixed, "key"))
-    hub_labels = labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label"))
-    odd = F.col("label") != F.col("hub_label")
-    around = now.join(hubs.select("key", "hub"), "key")
+    # Centres of one component are near each other, and any set may serve to tell the
+    # differences: one centre for all, or a member would go with as many as its group is large.
+    centres = now.select("main", "main_weight").distinct().join(
+        labels.select(F.col("v").alias("main"), F.col("label").alias("hub_label")), "main")
+    of_label = centres.groupBy("hub_label").agg(F.min(F.struct(-F.col("main_weight"), "main")).alias("c"))
+    centres = layers.write(centres.join(of_label, "hub_label").select("main", F.col("c.main").alias("hub"), "hub_label"))
+    around = now.join(centres, "main")
     if main_hubs:
         around = main_hubs(around)
-    rest = layers.write(around.join(hub_labels, "hub")
-                        .select("hub", "cls", "size", "label", odd.alias("odd")).distinct())
+    odd = F.col("label") != F.col("hub_label")
+    rest = layers.write(around.where("cls <> hub").select("hub", "cls", "size", "label", odd.alias("odd")).distinct())
     strange = rest.where("odd").select(F.col("hub").alias("_h")).distinct()
     rest = rest.join(strange, F.col("hub") == F.col("_h"), "left_semi")
     edges = layers.write(_rest_edges(rest, bodies, layers, rule))
     return layers.write(links.unionByName(_links(edges, bodies, rule)))
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """The members of buckets with several labels."""
+    bucket = Window.partitionBy("key")
+    return (members.withColumns({"least": F.min("label").over(bucket), "most": F.max("label").over(bucket)})
+            .where("least <> most").drop("least", "most"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept per row of ``docs``, one row each.
 

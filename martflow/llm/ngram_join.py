@@ -290,10 +290,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, layers: Layers) -> tuple[D
 
     wanted = layers.write(weighed.select(F.col("cls").alias("_c")).distinct().join(classes, F.col("cls") == F.col("_c"))
                           .select("cls", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th")))
-    bodies = layers.write(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    layers.free_shuffles()
+    # Not left to the sizes at hand: these two grow together, so the plan is the same at any scale.
+    bodies = layers.write(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
                           .groupBy("cls").agg(F.first("text").alias("text")))
     layers.free_shuffles()
-    links = linked(weighed, bodies, layers, STARS, Rule(NUM, DEN, shingles), lambda rows: _open_only(rows, layers), _main_hubs)
+    links = linked(weighed, bodies, layers, STARS, Rule(NUM, DEN, shingles), _open_only, _main_hubs)
 
     labels = components(classes.select(F.col("cls").alias("v")), links, layers).withColumnRenamed("v", "cls")
     named = layers.write(classes.select("cls", F.col("first.doc_id").alias("first_id")).join(labels, "cls"))
@@ -306,24 +308,18 @@ def _buckets(members: DataFrame, classes: DataFrame, layers: Layers) -> DataFram
     a partner in their bucket; ``weight`` counts the buckets of a set."""
     sizes = classes.select(F.col("cls").alias("_c"), "size", "spare_own", "spare_lower")
     spare = F.when(F.col("kind") == OWN, F.col("spare_own")).when(F.col("kind") == LOWER, F.col("spare_lower")).otherwise(-1)
-    sized = members.distinct().join(sizes, F.col("cls") == F.col("_c")).withColumn("spare", spare)
-    kept = _open_only(sized.select("key", "cls", "kind", "size", "spare", F.col("cls").alias("label")), layers)
-    weights = kept.groupBy(F.col("cls").alias("_c")).agg(F.count(F.lit(1)).alias("weight"))
-    return layers.write(kept.drop("label").join(weights, F.col("cls") == F.col("_c")).drop("_c"))
-
-
-def _open_only(members: DataFrame, layers: Layers, rounds: int = 2) -> DataFrame:
-    """Without the members that have no partner of another label left: such a pair shares
-    more than ``spare`` buckets, all of them of several labels."""
-    for _ in range(rounds):
-        several = (members.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("least"), F.max("label").alias("most"))
-                   .where("least <> most").select("_key"))
-        mixed = layers.write(members.join(several, F.col("key") == F.col("_key")).drop("_key"))
-        enough = (mixed.groupBy(F.col("cls").alias("_c"), F.col("kind").alias("_k"), "spare").agg(F.count(F.lit(1)).alias("n"))
-                  .where("n > spare").select("_c", "_k"))
-        members = layers.write(mixed.join(enough, (F.col("cls") == F.col("_c")) & (F.col("kind") == F.col("_k"))).drop("_c", "_k"))
-        layers.drop(mixed)
-    return members
+    # Dealt out by set once: repeats, sizes and both counts need no other shuffle.
+    sized = (members.repartition("cls").distinct().join(sizes.hint("merge"), F.col("cls") == F.col("_c"))
+             .select("key", "cls", "kind", "size", spare.alias("spare")))
+    weight = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    return layers.write(_open_only(sized).withColumn("weight", weight))
+
+
+def _open_only(members: DataFrame) -> DataFrame:
+    """Without the members that share too few buckets: a pair, which both sides would
+    still have to meet, shares more than ``spare``."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("cls", "kind"))
+    return members.withColumn("n", n).where("n > spare").drop("n")
 
 
 def _main_hubs(members: DataFrame) -> DataFrame:
@@ -332,10 +328,11 @@ def _main_hubs(members: DataFrame) -> DataFrame:
     Two linked sets share more buckets than either's ``spare``; if each leaves out half
     its ``spare`` at most, there is one that both keep.
     """
-    counts = members.groupBy("cls", "kind", "size", "label", "spare", "hub").agg(F.count(F.lit(1)).alias("n"))
+    counts = (members.repartition("cls").groupBy("cls", "kind", "size", "label", "spare", "hub", "hub_label")
+              .agg(F.count(F.lit(1)).alias("n")))
     upto = Window.partitionBy("cls", "kind").orderBy("n", "hub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (counts.withColumn("upto", F.sum("n").over(upto)).where("upto > greatest(spare, 0) div 2")
-            .select("hub", "cls", "size", "label"))
+            .select("hub", "hub_label", "cls", "size", "label"))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

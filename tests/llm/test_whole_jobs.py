@@ -107,3 +107,31 @@ def test_rows_without_id_meet_their_own_texts(spark):
     rows = [(None, text(i, last)) for i in range(20) for last in (" x", " y")] + [(5, text(3, " z"))]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.component_id or 0) for r in got) == [0] * 38 + [5] * 3
+
+
+def test_a_group_of_several_steps_goes_with_few_centres(spark, monkeypatch):
+    """Copies of copies share buckets with each step; differences to one of them will do."""
+    rng = random.Random(7)
+
+    def edited(words, times, mark):
+        copy = list(words)
+        for at in rng.sample(range(5, 395, 5), times):
+            copy[at] = f"{mark}x{at}"
+        return copy
+
+    base = [f"w{i}" for i in range(400)]
+    steps = [edited(base, 5, f"s{k}") for k in range(8)]
+    texts = [base] + steps + [edited(step, 11, f"c{k}n{i}") for k, step in enumerate(steps) for i in range(20)]
+    around = []
+    rest = minhash._rest_edges
+
+    def counted(members, *how):
+        around.append((members.count(), members.select("cls").distinct().count()))
+        return rest(members, *how)
+
+    monkeypatch.setattr(minhash, "_rest_edges", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i <= len(steps) else i for i in range(len(texts))}
+    [(rows, classes)] = around
+    assert len(texts) - 1 - len(steps) <= rows <= 2 * classes   # 802 of 167 classes with a centre per bucket
