@@ -211,12 +211,17 @@ def _order_lines(heads, details) -> DataFrame:
     return orders.order_lines(td.order_info(heads), td.order_detail(details), YEAR_S, YEAR_S, watermark=DELAY)
 
 
+def _wide_lines(heads, details, *columns: str) -> DataFrame:
+    """Rows of the order_wide topic; what no reader needs, beyond ``columns``, is null and
+    not kept in the join's state."""
+    lines = _order_lines(heads, details)
+    return lines.select(*[c if c in columns else F.lit(None).cast(lines.schema[c].dataType).alias(c)
+                          for c in schemas.column_names(schemas.ORDER_WIDE)])
+
+
 def _order_wide(spark, sf, heads, details, slices: int, *columns: str) -> Callable[[], DataFrame]:
-    """The order_wide topic that the join job fills, to be read as streams; what no reader
-    needs, beyond ``columns``, is null and not kept in the join's state."""
-    lines = _order_lines(heads(), details())
-    lines = lines.select(*[c if c in columns else F.lit(None).cast(lines.schema[c].dataType).alias(c)
-                           for c in schemas.column_names(schemas.ORDER_WIDE)])
+    """The order_wide topic that the join job fills, to be read as streams."""
+    lines = _wide_lines(heads(), details(), *columns)
     where = run_append(lines, "order-wide-topic", *_files(sf, "orders", "lineitem"), slices=slices)
     return _ordered_topic(lines, where, "create_time", slices)
 
@@ -267,7 +272,8 @@ def stream_province_stats(spark, sf):
     """Daily sums by province over the order_wide topic, which the join job fills and
     gives the names as of its micro-batch."""
     heads, details, n = _facts(spark, sf)
-    lines, provinces = _order_lines(heads(), details()).drop("order_ts", "detail_ts"), td.dims(spark, sf)["province"]
+    lines = _wide_lines(heads(), details(), "detail_id", "order_id", "province_id", "split_total_amount", "create_time")
+    provinces = td.dims(spark, sf)["province"]
     where = run_batches(lines, "order-wide-topic", lambda batch: enrich.add_province(batch, provinces),
                         *_files(sf, "orders", "lineitem"), slices=n)
     topic = _ordered_topic(lines, where, "create_time", n)()

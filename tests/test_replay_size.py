@@ -95,3 +95,14 @@ def test_order_of_files_is_that_of_their_times(spark, tmp_path):
     files = sorted((f for f in os.listdir(folder) if f.startswith("part-")), key=lambda f: os.stat(f"{folder}/{f}").st_mtime_ns)
     spans = [spark.read.parquet(f"{folder}/{f}").agg(F.min("at"), F.max("at")).first() for f in files]
     assert len(spans) == 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_province_join_keeps_only_what_its_reader_needs(spark, monkeypatch):
+    topics = []
+    run = replay.run_batches
+    monkeypatch.setattr(replay, "run_batches", lambda *a, **b: topics.append(run(*a, **b)) or topics[-1])
+    assert replay.stream_province_stats(spark, "/root/testdata/sf0.001").count()
+    topic = spark.read.option("recursiveFileLookup", "true").parquet(topics[0])
+    kept = topic.agg(*[F.count(c).alias(c) for c in topic.columns]).first().asDict()
+    assert kept["detail_id"] and kept["split_total_amount"] and kept["province_name"]
+    assert not kept["total_amount"] and not kept["sku_id"] and not kept["create_date"]
