@@ -14,8 +14,9 @@ checked on whole shingle sets, and the links join classes to components.  A cent
 is then done with in its bucket.  If ``STARS`` is above 1, buckets that still hold
 several components get a new centre out of the largest.  What remains are
 classes that are not linked to the first centre of a bucket; each is held against
-the others there by an exact prefix filter over what sets have that the centre has
-not, and the other way round (``_rest_edges``), so that no link within a bucket is lost.
+the others there by an exact prefix filter over what sets have that a centre of its
+component has not, and the other way round (``_rest_edges``), so that no link within a
+bucket is lost.
 
 Texts travel to their checks once per edge.  A centre with many edges is copied to
 several tasks, each with a share of them.

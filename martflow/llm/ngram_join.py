@@ -15,8 +15,9 @@ once.  Signatures are dealt out by value, and those of a single set go no furthe
 *Buckets.*  Linked sets have all but H segments of a band in common, so a set that
 shares no more than what is above H with any other has no partner in that band
 and leaves it.  In what remains a signature is a bucket: its sets are compared
-with one centre, and those not linked to it by their differences to it
-(``minhash.linked``), so that no link is lost and no group is paired all by all.
+with one centre, and those not linked to it by their differences to one centre of
+its component (``minhash.linked``), so that no link is lost and no group is paired
+all by all.
 
 Candidates are checked on whole sets.  Elements are 64-bit hashes of
 shingles and equal sets are one class, known by a 64-bit hash of elements and
