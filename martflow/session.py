@@ -118,9 +118,16 @@ def state_partitions_for(spark: SparkSession, paths: Iterable[str], bytes_each:
     """
     setting = spark.conf.get("spark.sql.shuffle.partitions")
     total = input_bytes(spark, paths) // slices
-    if total:
-        wanted = max(spark.sparkContext.defaultParallelism, -(-total // bytes_each))
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(setting), wanted)))
+    wanted = max(spark.sparkContext.defaultParallelism, -(-total // bytes_each))
+    with shuffle_partitions(spark, min(int(setting), wanted) if total else int(setting)):
+        yield
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int):
+    """So many shuffle partitions in the block; a stream started in it keeps them for its state."""
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
     try:
         yield
     finally:

@@ -24,15 +24,18 @@ from martflow.functions.times import day_key, from_millis, to_text
 from martflow.operators import enrich, orders, parse, routing, stats
 from martflow.operators import visits as shared
 from martflow.plans.queries import HOURLY, YEAR_S, plain as _plain
-from martflow.session import fresh_dir, input_bytes, materialize, state_partitions_for
+from martflow.session import fresh_dir, input_bytes, materialize, shuffle_partitions, state_partitions_for
 from martflow.sources import changes, testdata as td
 from martflow.sources.topics import INTAKE, FileBus, in_time_order, keep_order, to_messages, topic_view
 from martflow.streaming import jobs, late, visits
 from martflow.streaming.routes import with_routes
+from martflow.streaming.waiting import Input, Waiting
 
-DELAY = "3 seconds"
+DELAY_S = 3
+DELAY = f"{DELAY_S} seconds"
+DAY_S = 86400
 SLICE_BYTES = 64 << 20    # input of a micro-batch
-JOIN_SLICES = 12          # each micro-batch looks through a join's state, which spans two years at least
+JOIN_SLICES = 6           # each micro-batch reads what waits for the join, rows of a year at least
 EVENT_SHIFT_DAYS = 8220   # moves the events of 2024 to July 2001, before the orders end
 CUT = "1998-07-01"        # where two micro-batches of orders part
 CONFIG_CUT = "2024-01-16"
@@ -71,6 +74,23 @@ def run_update(df: DataFrame, name: str, *inputs: str) -> str:
     return run_batches(df, name, lambda batch: batch, *inputs, mode="update")
 
 
+def run_waiting(inputs: dict[str, Input], name: str, finish: Callable[[Waiting, DataFrame, int], DataFrame]) -> str:
+    """The same for streams whose waiting rows lie in files; ``finish`` gives the rows of a
+    micro-batch."""
+    spark = next(iter(inputs.values())).rows.sparkSession
+    where = fresh_dir(spark, name)
+    waiting = Waiting(inputs, f"{where}/waiting", DELAY_S)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        finish(waiting, batch, batch_id).write.mode("overwrite").parquet(f"{where}/out/{batch_id}")
+
+    writer = waiting.stream().writeStream.outputMode("update").foreachBatch(write)
+    with shuffle_partitions(spark, 1):   # of the state alone: it holds a time per input
+        query = writer.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{where}/out"
+
+
 def drain(df: DataFrame, name: str, *inputs: str, run=run_append, **how) -> DataFrame:
     """Run the stream and read its sink; ``inputs`` are the files it reads."""
     where = run(df, name, *inputs, **how)
@@ -100,17 +120,23 @@ def _ordered(rows: DataFrame, time: str, name: str, slices: int) -> Callable[[],
     return lambda: reader().option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
-def _replayed(spark: SparkSession, sf: str, name: str, time: str, slices: int) -> Callable[[], DataFrame]:
-    """A table to be read as streams, in the order of ``time`` if it is more than a slice."""
+def _replayed(spark: SparkSession, sf: str, name: str, time: str, slices: int, *columns: str) -> Callable[[], DataFrame]:
+    """A table to be read as streams, in the order of ``time`` if it is more than a slice;
+    then ``columns`` alone, if given, are written in that order."""
     if slices == 1:
         return lambda: td.table_stream(spark, sf, name)
-    return _ordered(td.table(spark, sf, name), time, f"{name}-in-order", slices)
+    rows = td.table(spark, sf, name)
+    return _ordered(rows.select(*columns) if columns else rows, time, f"{name}-in-order", slices)
 
 
-def _facts(spark: SparkSession, sf: str) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame], int]:
-    """Orders and lines to be read as streams, and in how many micro-batches."""
+def _facts(spark: SparkSession, sf: str, *more: str) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame], int]:
+    """Orders and lines to be read as streams, and in how many micro-batches: the columns
+    of heads and lines, and ``more`` of the lines."""
     n = _join_slices(spark, sf)
-    return _replayed(spark, sf, "orders", "o_orderdate", n), _replayed(spark, sf, "lineitem", "l_shipdate", n), n
+    return (_replayed(spark, sf, "orders", "o_orderdate", n, "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                      "o_orderdate"),
+            _replayed(spark, sf, "lineitem", "l_shipdate", n, "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+                      "l_extendedprice", "l_discount", "l_shipdate", *more), n)
 
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +161,11 @@ def run_repair(logs: DataFrame, name: str, *inputs: str) -> str:
     return f"{where}/out"
 
 
+def _written(spark: SparkSession, where: str) -> DataFrame:
+    """What a job has written, whole."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(where)
+
+
 def _topic(like: DataFrame, where: str) -> DataFrame:
     """What a job before has written, as a stream."""
     return like.sparkSession.readStream.schema(like.schema).option("recursiveFileLookup", "true").parquet(where)
@@ -190,10 +221,12 @@ def stream_user_jump(spark, sf):
 
 def stream_order_join(spark, sf):
     heads, details, n = _facts(spark, sf)
-    lines = _order_lines(heads(), details())
-    return drain(lines.select("detail_id", "order_id", "sku_id", "sku_num", "user_id",
-                              to_text("create_time").alias("create_time"), to_text("detail_ts").alias("detail_time")), "order-join",
-                 *_files(sf, "orders", "lineitem"), slices=n)
+    picked = lambda lines: lines.select(
+        "detail_id", "order_id", "sku_id", "sku_num", "user_id", to_text("create_time").alias("create_time"),
+        to_text("detail_ts").alias("detail_time"))
+    if n > 1:
+        return _written(spark, _joined(heads, details, "order-join", picked))
+    return drain(picked(_order_lines(heads(), details())), "order-join", *_files(sf, "orders", "lineitem"))
 
 
 def stream_visitor_stats(spark, sf):
@@ -211,6 +244,14 @@ def _order_lines(heads, details) -> DataFrame:
     return orders.order_lines(td.order_info(heads), td.order_detail(details), YEAR_S, YEAR_S, watermark=DELAY)
 
 
+def _joined(heads, details, name: str, finish: Callable[[DataFrame], DataFrame]) -> str:
+    """The order join of large tables: heads and lines wait for each other in files.  The
+    folder of what ``finish`` makes of its rows."""
+    join = lambda h, d: orders.order_lines(td.order_info(h), td.order_detail(d), YEAR_S, YEAR_S)
+    return run_waiting({"heads": Input(heads(), "o_orderdate", YEAR_S), "lines": Input(details(), "l_shipdate", YEAR_S)}, name,
+                        lambda waiting, batch, batch_id: finish(waiting.joined(batch, batch_id, join)))
+
+
 def _wide_lines(heads, details, *columns: str) -> DataFrame:
     """Rows of the order_wide topic; what no reader needs, beyond ``columns``, is null and
     not kept in the join's state."""
@@ -237,6 +278,21 @@ def _payments(spark, sf, wide: Callable[[], DataFrame], slices: int) -> DataFram
     return orders.payment_wide(callbacks, wide(), watermark=DELAY)
 
 
+# Event time and record key of the inputs of product statistics.
+PRODUCT_TIMES = {"pages": ("ts",), "favors": ("create_time",), "carts": ("create_time",),
+                 "order_wide": ("create_time", "detail_id", "order_id"),
+                 "payment_wide": ("callback_time", "payment_id", "detail_id"),
+                 "refunds": ("create_time", "order_id", "sku_id"), "comments": ("create_time",)}
+
+
+def _closed(inputs: dict[str, DataFrame], name: str, times: dict[str, tuple[str, ...]],
+            count: Callable[[dict[str, DataFrame]], DataFrame]) -> str:
+    """Daily statistics of large topics: rows wait in files until their day is over.  The
+    folder of what ``count`` makes of the rows of whole days."""
+    return run_waiting({i: Input(rows, times[i][0], DAY_S, times[i][1:], millis=times[i][0] == "ts") for i, rows in inputs.items()}, name,
+                       lambda waiting, batch, batch_id: count(waiting.closed(batch, batch_id, "1 day")))
+
+
 def stream_payment_wide(spark, sf):
     heads, details, n = _facts(spark, sf)
     wide = _order_wide(spark, sf, heads, details, n, "order_id", "user_id", "sku_id", "sku_num", "province_id",
@@ -252,7 +308,7 @@ def stream_product_stats(spark, sf):
     additions of the event stream (moved to the years of the orders), ordered and
     paid lines of the two join jobs' topics, refunds and comments."""
     shift = F.make_dt_interval(days=F.lit(EVENT_SHIFT_DAYS))
-    heads, details, n = _facts(spark, sf)
+    heads, details, n = _facts(spark, sf, "l_returnflag", "l_linestatus")
     events = _replayed(spark, sf, "events", "ts", n)().withColumn("ts", F.col("ts") - shift)
     files = _files(sf, "orders", "lineitem")
     wide = _order_wide(spark, sf, heads, details, n, "detail_id", "order_id", "sku_id", "sku_num", "split_total_amount",
