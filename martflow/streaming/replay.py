@@ -271,15 +271,18 @@ def _order_wide(spark, sf, heads, details, slices: int, *columns: str,
     return _ordered_topic(_written(spark, where), where, "create_time", slices)
 
 
-def _payments(spark, sf, wide: Callable[[], DataFrame], slices: int) -> DataFrame:
+def _payments(spark, sf, wide: Callable[[], DataFrame], slices: int, name: str, *columns: str) -> str:
     """The payment job: callbacks, in an order of their own as they follow their orders, and
-    the order_wide topic.  Its state holds the minutes a callback may take, and the order
-    join, whose state spans years, is run for the topic alone."""
+    the order_wide topic.  They wait for the minutes a callback may take; the order join,
+    where rows wait for years, is run for the topic alone.  The folder of its rows."""
     if slices == 1:
-        callbacks = td.payment_info(td.table_stream(spark, sf, "orders"))
-    else:
-        callbacks = _ordered(td.payment_info(td.table(spark, sf, "orders")), "callback_time", "payments-in-order", slices)()
-    return orders.payment_wide(callbacks, wide(), watermark=DELAY)
+        paid = orders.payment_wide(td.payment_info(td.table_stream(spark, sf, "orders")), wide(), watermark=DELAY)
+        return run_append(paid.select(*columns), name, *_files(sf, "orders", "lineitem"))
+    callbacks = _ordered(td.payment_info(td.table(spark, sf, "orders")), "callback_time", "payments-in-order", slices)()
+    inputs = {"payments": Input(callbacks, "callback_time", settings.PAYMENT_JOIN_AFTER_S),
+              "wide": Input(wide(), "create_time", settings.PAYMENT_JOIN_BEFORE_S)}
+    return run_waiting(inputs, name, lambda waiting, batch, batch_id:
+                       waiting.joined(batch, batch_id, orders.payment_wide).select(*columns))
 
 
 # Event time and record key of the inputs of product statistics.
@@ -301,10 +304,9 @@ def stream_payment_wide(spark, sf):
     heads, details, n = _facts(spark, sf)
     wide = _order_wide(spark, sf, heads, details, n, "order_id", "user_id", "sku_id", "sku_num", "province_id",
                        "total_amount", "split_total_amount", "create_time")
-    return _plain(drain(_payments(spark, sf, wide, n).select(
-        "payment_id", "subject", "payment_type", "payment_create_time", "callback_time", "order_create_time", "order_id",
-        "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount"), "payment-wide",
-        *_files(sf, "orders", "lineitem"), slices=n))
+    return _plain(_written(spark, _payments(
+        spark, sf, wide, n, "payment-wide", "payment_id", "subject", "payment_type", "payment_create_time", "callback_time",
+        "order_create_time", "order_id", "user_id", "sku_id", "sku_num", "province_id", "total_amount", "split_total_amount")))
 
 
 def stream_product_stats(spark, sf):
@@ -314,18 +316,18 @@ def stream_product_stats(spark, sf):
     shift = F.make_dt_interval(days=F.lit(EVENT_SHIFT_DAYS))
     heads, details, n = _facts(spark, sf, "l_returnflag", "l_linestatus")
     events = _replayed(spark, sf, "events", "ts", n)().withColumn("ts", F.col("ts") - shift)
-    files = _files(sf, "orders", "lineitem")
     wide = _order_wide(spark, sf, heads, details, n, "detail_id", "order_id", "sku_id", "sku_num", "split_total_amount",
                        "create_time")
-    paid = _payments(spark, sf, wide, n).select("payment_id", "detail_id", "order_id", "sku_id", "split_total_amount",
-                                                "callback_time")
-    paid_topic = _ordered_topic(paid, run_append(paid, "payment-wide-topic", *files, slices=n), "callback_time", n)
-    rows = stats.product_rows(
-        routing.page_logs(td.raw_logs(events)), td.sku_events(events, "click"), td.sku_events(events, "purchase"),
-        wide().select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time"), paid_topic(),
-        td.refunds(details()), td.comments(details()), DELAY)
-    return _plain(drain(stats.product_stats(rows, "1 day"), "product-stats", *_files(sf, "events", "orders", "lineitem"),
-                        slices=n))
+    paid = _payments(spark, sf, wide, n, "payment-wide-topic", "payment_id", "detail_id", "order_id", "sku_id",
+                     "split_total_amount", "callback_time")
+    paid_topic = _ordered_topic(_written(spark, paid), paid, "callback_time", n)
+    inputs = {
+        "pages": routing.page_logs(td.raw_logs(events)), "favors": td.sku_events(events, "click"),
+        "carts": td.sku_events(events, "purchase"),
+        "order_wide": wide().select("detail_id", "order_id", "sku_id", "sku_num", "split_total_amount", "create_time"),
+        "payment_wide": paid_topic(), "refunds": td.refunds(details()), "comments": td.comments(details())}
+    return _plain(drain(stats.product_stats(stats.product_rows(**inputs, watermark=DELAY), "1 day"), "product-stats",
+                        *_files(sf, "events", "orders", "lineitem"), slices=n))
 
 
 def stream_province_stats(spark, sf):
